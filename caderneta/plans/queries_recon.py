@@ -191,16 +191,11 @@ def schema_align_union(spark, sf_dir):
 
 @query(
     "q_new_categories",
-    with_tx(
-        """SELECT p_brand FROM tx WHERE l_quantity > 49 AND p_type = 'PROMO'
-           EXCEPT SELECT p_brand FROM tx WHERE l_quantity < 2 AND p_type = 'SMALL'"""
-    ),
+    "SELECT l_partkey FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3",
 )
 def new_categories(spark, sf_dir):
-    tx = transactions(spark, sf_dir)
-    return report.new_categories(
-        tx.filter("l_quantity < 2 AND p_type = 'SMALL'"), tx.filter("l_quantity > 49 AND p_type = 'PROMO'"), "p_brand"
-    )
+    rows = table(spark, sf_dir, "lineitem")
+    return report.new_categories(rows.filter("l_quantity < 3"), rows.filter("l_quantity > 49"), "l_partkey")
 
 
 @query(
