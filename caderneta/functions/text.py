@@ -37,8 +37,16 @@ def sub(text: Column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
 
 
+@lru_cache(maxsize=1)
+def _blanks() -> str:
+    """The characters of ``WS``."""
+    codes = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85]
+    codes += [c for c in range(0x80, 0x3001) if unicodedata.category(chr(c)).startswith("Z")]
+    return "".join(map(chr, codes))
+
+
 def strip(text: Column) -> Column:
-    return sub(text, rf"^{WS}+|{WS}+$")
+    return F.btrim(text, F.lit(_blanks()))
 
 
 def squeeze(text: Column) -> Column:
@@ -86,7 +94,12 @@ def _accent_table() -> tuple[str, str]:
 
 def strip_accents(text: Column) -> Column:
     accented, plain = _accent_table()
-    return sub(F.translate(text, accented, plain), r"\p{Mn}+")
+    return F.when(is_ascii(text), text).otherwise(sub(F.translate(text, accented, plain), r"\p{Mn}+"))
+
+
+def is_ascii(text: Column) -> Column:
+    """Cheap test: as many bytes as characters."""
+    return F.octet_length(text) == F.length(text)
 
 
 def scoring_text(text: Column) -> Column:

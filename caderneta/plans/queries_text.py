@@ -79,15 +79,13 @@ def train_clean(spark, sf_dir):
 
 
 # RE2 has no look-ahead, so the digit after dd/mm is captured and put back.
-SIMILARITY = tidy_sql(
-    rx(
-        rx(
-            rx(rx(rx("descr", r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), r"[0-9]{2}/[0-9]{2}([^0-9]|$)", r"\1"), r"\([0-9/]+\)"),
-            r"^[\p{L}\p{N}_]+\*",
-        ),
-        GENERIC,
-    )
-)
+def similarity_sql(expr: str) -> str:
+    out = rx(rx(expr, r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), r"[0-9]{2}/[0-9]{2}([^0-9]|$)", r"\1")
+    out = rx(rx(out, r"\([0-9/]+\)"), r"^[\p{L}\p{N}_]+\*")
+    return tidy_sql(rx(out, GENERIC))
+
+
+SIMILARITY = similarity_sql("descr")
 
 
 @query("q_similarity_clean", with_tx(f"SELECT tx_id, {SIMILARITY} AS clean FROM tx"))
