@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caderneta.functions.numbers import clamp01
+from caderneta.operators.once import evaluate_once
 
-ANSWER = "struct<label:string,confidence:double>"
+DECIDED = "struct<label:string,confidence:double,method:string>"
 
 
 @dataclass(frozen=True)
@@ -77,41 +78,31 @@ def classify(
 ) -> DataFrame:
     """``df`` with ``label``, ``confidence`` and ``method_used``; every input row comes out once.
 
-    Consecutive column stages fold into one projection. A text stage only sees the texts of
-    rows no earlier stage has answered.
+    A column stage is evaluated for open rows only; a text stage only sees the texts of rows no
+    earlier stage has answered.
     """
-    out = df
-    pending: Column | None = None
-    carried = False
-
-    def merged(new: Column) -> Column:
-        return new if pending is None else F.coalesce(pending, new)
-
+    nothing = F.lit(None).cast(DECIDED)
+    out = df.withColumn("__answer", nothing)
     for number, stage in enumerate(stages):
+        open_row = F.col("__answer").isNull()
         if isinstance(stage, ColumnStage):
-            pending = merged(_as_answer(_accepted(stage.answer, stage.threshold), stage.method))
-            continue
-        key = f"__text{number}"
-        so_far = pending if pending is not None else F.lit(None).cast("struct<label:string,confidence:double,method:string>")
-        out = out.withColumns({key: stage.text, "__answer": so_far})
-        carried = True
-        pending = F.col("__answer")
-        texts = out.filter(pending.isNull() & F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("text")).distinct()
-        scored = stage.score(texts).select(
-            F.col("text").alias(key), F.struct(F.col("label"), F.col("confidence")).alias("__scored")
-        )
-        out = out.join(scored, key, "left")
-        found = _as_answer(_accepted(F.col("__scored"), stage.threshold), stage.method)
-        out = out.withColumn("__answer", F.coalesce(pending, found)).drop("__scored", key)
-    answer = pending if pending is not None else F.lit(None).cast("struct<label:string,confidence:double,method:string>")
-    done = out.withColumn("__final", answer)
-    result = done.select(
+            out = evaluate_once(out, {"__raw": F.when(open_row, stage.answer)})
+        else:
+            key = f"__text{number}"
+            out = evaluate_once(out, {key: stage.text})
+            unanswered = out.filter(open_row & (F.col(key) != "")).select(F.col(key).alias("text")).distinct()
+            scored = stage.score(unanswered).select(
+                F.col("text").alias(key), F.struct("label", "confidence").alias("__raw")
+            )
+            out = out.join(scored, key, "left").drop(key)
+        found = _as_answer(_accepted(F.col("__raw"), stage.threshold), stage.method)
+        out = out.withColumn("__answer", F.coalesce("__answer", found)).drop("__raw")
+    return out.select(
         *df.columns,
-        F.coalesce(F.col("__final.label"), F.lit(default_label)).alias("label"),
-        F.coalesce(F.col("__final.confidence"), F.lit(default_confidence)).alias("confidence"),
-        F.coalesce(F.col("__final.method"), F.lit(default_method)).alias("method_used"),
+        F.coalesce(F.col("__answer.label"), F.lit(default_label)).alias("label"),
+        F.coalesce(F.col("__answer.confidence"), F.lit(default_confidence)).alias("confidence"),
+        F.coalesce(F.col("__answer.method"), F.lit(default_method)).alias("method_used"),
     )
-    return result.drop("__answer") if carried else result
 
 
 def standard_stages(

@@ -120,8 +120,8 @@ def _conditions(rule: Rule, has: Sequence[str]) -> Column | None:
     return out
 
 
-def first_rule(rules: Sequence[Rule], text: Column, has: Sequence[str] = ()) -> Column:
-    """struct(label, confidence, rule) of the first match, null without one.
+def first_rule(rules: Sequence[Rule], text: Column, has: Sequence[str] = (), named: bool = True) -> Column:
+    """struct(label, confidence[, rule]) of the first match, null without one.
 
     One CASE expression: evaluated per row until a branch matches, no join and no shuffle.
     ``has`` names the condition columns of the frame (``holder``, ``origin``).
@@ -130,13 +130,11 @@ def first_rule(rules: Sequence[Rule], text: Column, has: Sequence[str] = ()) ->
     for rule in rules:
         hit, extra = _pattern_match(rule, text), _conditions(rule, has)
         hit = hit if extra is None else hit & extra
-        value = F.struct(
-            F.lit(rule.category).alias("label"), F.lit(float(rule.confidence)).alias("confidence"),
-            F.lit(rule.name).alias("rule"),
-        )
+        parts = [F.lit(rule.category).alias("label"), F.lit(float(rule.confidence)).alias("confidence")]
+        value = F.struct(*parts, *([F.lit(rule.name).alias("rule")] if named else []))
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     if chain is None:
-        return F.lit(None).cast("struct<label:string,confidence:double,rule:string>")
+        return F.lit(None).cast(f"struct<label:string,confidence:double{',rule:string' if named else ''}>")
     return chain
 
 
@@ -230,8 +228,7 @@ def rules_stage(
     Card and holder rules yield a card type or a sharing label, not a category. They only take
     part with ``card_as_category``, which reproduces the older mixed column.
     """
-    match = first_rule(rules, text, has)
-    pattern = F.when(match.isNotNull(), F.struct(match["label"].alias("label"), match["confidence"].alias("confidence")))
+    pattern = first_rule(rules, text, has, named=False)
     if not card_as_category or card is None:
         return pattern
     return F.coalesce(card_stage(card), holder_stage(card, holders), pattern)
