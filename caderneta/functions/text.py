@@ -182,7 +182,7 @@ def tokens(text: Column) -> Column:
 
 def header_name(name: str, light: bool = False) -> str:
     """Canonical column name. ``light`` only trims, lower-cases and folds "ã"."""
-    name = name.lstrip("﻿").strip().lower()
+    name = name.lstrip("\ufeff").strip().lower()
     if light:
         return name.replace("ã", "a")
     folded = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()

@@ -1 +1,116 @@
-"""Queries."""
+"""Corrections, files, ledger, versions and streaming ingestion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caderneta.functions import text as T
+from caderneta.plans.catalog import query
+from caderneta.plans.tx import table, transactions, with_tx
+from caderneta.session import scratch_path
+from caderneta.sources import feedback, files, sinks
+from caderneta.streaming import feedback_stream
+
+
+@query(
+    "q_feedback_items",
+    with_tx(
+        """SELECT tx_id, CASE WHEN l_linenumber = 6 THEN 'amount not positive' WHEN l_linenumber = 7 THEN 'date not ISO' ELSE 'ok' END AS reason,
+             CASE WHEN l_linenumber >= 6 THEN -1 ELSE round(l_quantity * CASE WHEN l_linenumber = 1 THEN 1 ELSE l_linenumber END, 6) END AS total,
+             CASE WHEN l_linenumber >= 6 THEN '-' WHEN l_linenumber = 1 THEN '1' ELSE CAST(l_linenumber AS VARCHAR) END AS parcelas
+           FROM tx"""
+    ),
+)
+def feedback_items(spark, sf_dir):
+    """JSON bodies are built from the transactions, parsed, checked and mapped to file columns."""
+    item = F.struct(
+        F.col("tx_id").cast("string").alias("transactionId"), F.col("merchant").alias("description"),
+        F.when(F.col("l_linenumber") == 6, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("amount"),
+        F.lit("kept out").alias("unknown_key"),
+        F.when(F.col("l_linenumber") == 7, F.date_format("l_shipdate", "dd/MM/yyyy"))
+        .otherwise(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("date"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("parcelas"),
+    )
+    one = F.to_json(F.struct(item.alias("feedback")))
+    many = F.to_json(F.struct(F.array(item).alias("feedback")))
+    bodies = transactions(spark, sf_dir).select(F.when(F.col("l_linenumber") % 2 == 0, many).otherwise(one).alias("body"))
+    good, bad = feedback.check_items(feedback.parse_items(bodies, "body"), F.lit("2024-01-01").cast("timestamp"))
+    rows = feedback.to_rows(good).select(
+        F.col("transactionId").cast("bigint").alias("tx_id"), F.lit("ok").alias("reason"),
+        F.round(F.col("`valor total`").cast("double"), 6).alias("total"), F.col("parcelas"),
+    )
+    refused = bad.select(
+        F.col("transactionId").cast("bigint").alias("tx_id"), "reason", F.lit(-1.0).alias("total"), F.lit("-").alias("parcelas")
+    )
+    return rows.unionByName(refused)
+
+
+@query(
+    "q_incremental_ingest",
+    "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2",
+)
+def incremental_ingest(spark, sf_dir):
+    """The events file arrives as a stream; the first row per user and type is new."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    target, checkpoint = scratch_path(spark, "ingest-target"), scratch_path(spark, "ingest-checkpoint")
+    keys = ["user_id", "event_type"]
+    feedback_stream.ingest(spark, sf_dir, schema, target, checkpoint, keys, ["event_id"], glob="events.parquet")
+    # A second run finds no new file and adds nothing.
+    feedback_stream.ingest(spark, sf_dir, schema, target, checkpoint, keys, ["event_id"], glob="events.parquet")
+    return feedback_stream.target_table(spark, target).select("user_id", "event_type", "event_id")
+
+
+@query(
+    "q_csv_round_trip",
+    """SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS brand, CAST(p_retailprice AS DOUBLE) AS price FROM part""",
+)
+def csv_round_trip(spark, sf_dir):
+    """Written with blank fields for nulls, read back as strings and typed."""
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("Nome do Produto"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("Marca (R$)"), "p_retailprice",
+    )
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(rows, path)
+    back = files.read_csv_with_headers(spark, path)
+    return back.select(
+        F.col("p_partkey").try_cast("bigint").alias("p_partkey"), F.col("nome_do_produto").alias("p_name"),
+        F.coalesce(T.header_name("Marca (R$)"), F.lit("")).alias("brand"), F.col("p_retailprice").try_cast("double").alias("price"),
+    )
+
+
+@query(
+    "q_ledger_pending",
+    """WITH f AS (SELECT DISTINCT strftime(ts, 'feedback_%Y-%m-%d.csv') AS file_name FROM events),
+         l AS (SELECT DISTINCT strftime(ts, 'feedback_%Y-%m-%d.csv') AS file_name FROM events WHERE day(ts) % 3 = 0)
+       SELECT file_name FROM f WHERE file_name NOT IN (SELECT file_name FROM l)""",
+)
+def ledger_pending(spark, sf_dir):
+    days = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("feedback_"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv")).alias("file_name"), F.dayofmonth("ts").alias("d")
+    ).distinct()
+    return feedback.new_files(days.select("file_name"), days.filter("d % 3 = 0"))
+
+
+@query(
+    "q_snapshot_retention",
+    """SELECT v, CAST(row_number() OVER (ORDER BY v DESC) <= 5 AS BIGINT) AS kept, n FROM (
+         SELECT strftime(o_orderdate, '%Y-%m') AS v, count(*) AS n FROM orders GROUP BY 1)""",
+)
+def snapshot_retention(spark, sf_dir):
+    """One snapshot per month of orders."""
+    snapshots = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("v")).agg(F.count("*").alias("n"))
+    return sinks.retention(snapshots).select("v", F.col("keep").cast("bigint").alias("kept"), "n")
+
+
+@query(
+    "q_versioned_write",
+    "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1",
+)
+def versioned_write(spark, sf_dir):
+    """A good version, then one with the wrong columns: the first stays current."""
+    root = scratch_path(spark, "versions")
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
+    sinks.write_version(counts, root, "2024-01", ["category", "n"])
+    sinks.write_version(counts.withColumnRenamed("n", "m"), root, "2024-02", ["category", "n"])
+    return sinks.current(spark, root)
