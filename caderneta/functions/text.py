@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -29,7 +29,8 @@ ESTABLISHMENT_WORDS = (
 # Merchant prefixes dropped from the start of a description.
 MERCHANT_PREFIXES = (r"Hyundai\s+", r"Hb\s*-\s*")
 
-FULL_DATE = rf"{NOT_AFTER_WORD}[0-9]{{2,4}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}{NOT_BEFORE_WORD}"
+# The look-ahead in front spares most positions the costlier look-behind.
+FULL_DATE = rf"(?=[0-9]){NOT_AFTER_WORD}[0-9]{{2,4}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}{NOT_BEFORE_WORD}"
 BRACKETED_INSTALLMENT = rf"[(\[]{WS}*([0-9]{{1,2}}){WS}*/{WS}*([0-9]{{1,2}}){WS}*[)\]]"
 
 
@@ -45,16 +46,23 @@ def _blanks() -> str:
     return "".join(map(chr, codes))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_blanks()))
 
 
 def squeeze(text: Column) -> Column:
-    return sub(text, rf"{WS}+", " ")
+    """Every run of blanks becomes one space; single spaces are left alone."""
+    return sub(text, rf"{WS}{{2,}}|[\t-\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]", " ")
 
 
 def without_words(text: Column, words: Sequence[str]) -> Column:
-    return sub(text, rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(words)}){NOT_BEFORE_WORD}")
+    initials = "".join(sorted({c for w in words for c in (w[0].lower(), w[0].upper())}))
+    return sub(text, rf"(?=[{initials}]){NOT_AFTER_WORD}(?iu:{'|'.join(words)}){NOT_BEFORE_WORD}")
 
 
 def without_full_dates(text: Column) -> Column:
@@ -62,8 +70,8 @@ def without_full_dates(text: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    edges = sub(text, rf"^(?:{WS}|-)+|(?:{WS}|-)+$")
-    return strip(F.lower(sub(squeeze(edges), r"[()]+")))
+    edges = F.btrim(text, F.lit(_blanks() + "-"))
+    return strip(F.lower(F.translate(squeeze(edges), "()", "")))
 
 
 def normalize_description(text: Column) -> Column:

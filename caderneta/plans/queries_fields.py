@@ -8,6 +8,7 @@ from caderneta.functions import dates as D
 from caderneta.functions import fields as P
 from caderneta.functions import numbers as N
 from caderneta.functions import prompts as R
+from caderneta.operators.once import evaluate_once
 from caderneta.plans.catalog import query
 from caderneta.plans.queries_text import rx, strip_sql
 from caderneta.plans.tx import table, transactions, with_tx
@@ -162,13 +163,13 @@ def installments(spark, sf_dir):
         .when(kind == 3, F.lit(" (13/7)"))
         .otherwise(F.lit(" (100/200)")),
     )
-    parsed, simple = P.installments(text), P.bracketed_installments(text)
-    return transactions(spark, sf_dir).select(
-        "tx_id",
-        F.when(parsed.isNull(), "-")
-        .otherwise(F.concat_ws("/", parsed["number"].cast("string"), parsed["total"].cast("string")))
-        .alias("checked"),
-        F.coalesce(simple["number"].cast("string"), F.lit("-")).alias("bracketed"),
+    rows = evaluate_once(
+        transactions(spark, sf_dir), {"parsed": P.installments(text), "simple": P.bracketed_installments(text)}
+    )
+    pair = F.concat_ws("/", F.col("parsed.number").cast("string"), F.col("parsed.total").cast("string"))
+    return rows.select(
+        "tx_id", F.when(F.col("parsed").isNull(), "-").otherwise(pair).alias("checked"),
+        F.coalesce(F.col("simple.number").cast("string"), F.lit("-")).alias("bracketed"),
     )
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from caderneta.functions import lines as L
 from caderneta.functions.numbers import to_ptbr
 from caderneta.operators import export, layout, statement
+from caderneta.operators.once import evaluate_once
 from caderneta.plans.catalog import query
 from caderneta.plans.queries_fields import PTBR_TEXT
 from caderneta.plans.tx import transactions, with_tx
+from caderneta.session import materialise
 
 
 def printed(spark, sf_dir):
@@ -44,7 +46,8 @@ def printed(spark, sf_dir):
             )
         ).alias("r"),
     ).select("doc_id", "r.*")
-    return items.unionByName(frame)
+    # Statement lines arrive as a table.
+    return materialise(items.unionByName(frame), "statement-lines")
 
 
 ITEMS_SQL = """d AS (SELECT l_orderkey AS doc_id, l_linenumber, arg_min(struct_pack(p_name, amount, flux, l_shipdate),
@@ -96,7 +99,8 @@ def explode_transactions(spark, sf_dir):
         F.lit("0731/03"), "s_name", F.concat(F.lit("- "), to_ptbr(F.col("amount"))),
     )
     rows = transactions(spark, sf_dir).select("tx_id", F.posexplode(L.line_transactions(line)).alias("match_no", "t"))
-    number, total, rest = L.last_installment(F.col("t.text"))
+    rows = evaluate_once(rows, {"i": L.last_installment(F.col("t.text"))})
+    number, total, rest = F.col("i.number"), F.col("i.total"), F.col("i.rest")
     return rows.select(
         "tx_id", F.col("match_no").cast("bigint").alias("match_no"), F.col("t.date").alias("date_token"),
         F.trim(F.regexp_replace(rest, r"\s+", " ")).alias("description"),
