@@ -144,9 +144,9 @@ def test_retrain(spark, folder, tmp_path):
     base = spark.createDataFrame([(t, c, "10.0", "1", "", "10.0", "crédito", "", "", "base") for t, c in rows], schemas.all_strings(schemas.BASE_COLUMNS))
     sinks.write_version(base, root, "0", schemas.BASE_COLUMNS)
     small = model.Training(features=1 << 10, max_iter=15)
-    out = jobs.retrain(spark, str(folder), ledger, root, saved, "1", small, folds=2)
+    out = jobs.retrain(spark, str(folder), ledger, root, saved, "1", small, kinds=(model.LOGISTIC,), folds=2)
     assert out["success"] and out["write"]["new_rows"] == 3
-    assert out["hold_out"]["f1_macro"].first()[0] > 0.5 and out["cv"].count() == 2
+    assert out["hold_out"]["f1_macro"].first()[0] > 0.5 and out["cv"].count() == 1
     assert feedback.read_ledger(spark, ledger).count() == 4
     loaded = model.TextModel.load(saved)
     cases = spark.createDataFrame([("Netflix Com", "S"), ("Posto Shell", "P")], "text string, expected string")
