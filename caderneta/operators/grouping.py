@@ -31,7 +31,7 @@ def merge_trailing(
     numbered = scan(
         flagged, keys, [order], chunk, [RunningSum("__grp", F.when(F.col("__tail"), 0).otherwise(1).cast("bigint"))]
     )
-    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    parts = F.sort_array(F.collect_list(F.struct(order, text)))
     return (
         numbered.groupBy(*keys, "__grp")
         .agg(F.min(order).alias(order), parts.alias("__parts"))
@@ -98,7 +98,7 @@ def anchored_groups(
     slices = (
         points.withColumn("__slice", F.floor(F.col("__v") / span))
         .groupBy(*keys, "__slice")
-        .agg(F.array_sort(F.collect_list("__v")).alias("__vs"))
+        .agg(F.sort_array(F.collect_list("__v")).alias("__vs"))
     )
 
     def chain(values: Column, anchor: Column) -> Column:
@@ -120,7 +120,7 @@ def anchored_groups(
         ),
     )
     linked = entries.select(*keys, "__slice", exits.alias("__exits")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("__slice", "__exits"))).alias("__all")
+        F.sort_array(F.collect_list(F.struct("__slice", "__exits"))).alias("__all")
     )
 
     def step(acc: Column, s: Column) -> Column:

@@ -50,7 +50,7 @@ def char_lines(chars: DataFrame, tolerance: float = CHAR_TOLERANCE) -> DataFrame
     """Lines of a page given as characters."""
     placed = chars.filter(F.col("top").isNotNull()).withColumn("top", F.col("top").cast("double"))
     grouped = grouping.anchored_groups(placed, PAGE, "top", tolerance, "row_top")
-    parts = F.array_sort(F.collect_list(F.struct("x0", "word_no", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("x0", "word_no", "text")))
     return grouped.groupBy(*PAGE, "row_top").agg(parts.alias("p")).select(
         *PAGE, "row_top", F.array_join(F.col("p.text"), "").alias("line")
     )
@@ -74,7 +74,7 @@ def _parts(row_words: DataFrame) -> DataFrame:
     after_closing = F.coalesce(F.lag("closes").over(row), F.lit(False)) & ~F.col("opens")
     fresh = F.when(F.col("first") | after_closing | (F.col("opens") & ~F.col("closes")), 1).otherwise(0)
     w = w.withColumn("piece", F.sum(fresh).over(row.rowsBetween(W.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "word_no", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("x0", "word_no", "text")))
     return w.groupBy(*PAGE, "row_top", "piece").agg(ordered.alias("p")).select(
         *PAGE, "row_top", "piece", F.col("p")[0]["x0"].alias("x"), strip(F.array_join(F.col("p.text"), " ")).alias("text")
     )
@@ -84,7 +84,7 @@ def _joined(parts: DataFrame, text: Column, keep: Column, side: int) -> DataFram
     chosen = parts.select(*PAGE, "row_top", "piece", F.when(keep, text).alias("t")).filter(
         F.col("t").isNotNull() & (F.col("t") != "")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("piece", "t")))
+    ordered = F.sort_array(F.collect_list(F.struct("piece", "t")))
     return chosen.groupBy(*PAGE, "row_top").agg(ordered.alias("p")).select(
         *PAGE, "row_top", F.lit(side).alias("side"), F.array_join(F.col("p.t"), " ").alias("line")
     )

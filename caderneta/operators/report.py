@@ -39,7 +39,7 @@ def batch_stats(df: DataFrame, sure: float = 0.7) -> DataFrame:
         (F.sum("c") / F.sum("n")).alias("mean_confidence"),
         F.sum("low").alias("low_confidence"),
         F.sum("fb").alias("fallbacks"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("distribution"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("distribution"),
     )
 
 
@@ -56,7 +56,7 @@ def balance(base: DataFrame, feedback: DataFrame, category: str) -> DataFrame:
         F.count_if(F.col("b") > 0).alias("base_categories"),
         F.count_if(F.col("f") > 0).alias("feedback_categories"),
         F.count_if((F.col("f") > 0) & (F.col("b") == 0)).alias("new_categories"),
-        F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(seen)))).alias("distribution"),
+        F.map_from_entries(F.sort_array(F.array_compact(F.collect_list(seen)))).alias("distribution"),
     )
 
 

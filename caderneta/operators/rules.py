@@ -160,13 +160,12 @@ def admissible(rules: DataFrame, categories: DataFrame) -> tuple[DataFrame, Data
 
 
 def match_rule_table(
-    df: DataFrame, rules: DataFrame, text: str, row_id: Sequence[str], batch: int = BROADCAST_ROWS
+    df: DataFrame, rules: DataFrame, text: str, batch: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``df`` with ``rule`` = struct(label, confidence, rule), from a rule table of any size.
 
-    Texts are matched once each. Rules go out in priority batches of at most ``batch`` rows; a
-    text that has found its rule leaves before the next batch. ``row_id`` is kept for callers
-    that need the original columns only.
+    Texts are matched once each. Rules go out in batches of at most ``batch`` priorities; a
+    text that has found its rule leaves before the next batch.
     """
     texts = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct()
     found = None

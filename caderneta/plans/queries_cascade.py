@@ -82,7 +82,7 @@ def rule_hits(spark, sf_dir):
 def rule_table_join(spark, sf_dir):
     plain = [r for r in DEMO_RULES if r.amount_range is None and r.origin is None]
     texts = cleaned(spark, sf_dir).groupBy("clean").agg(F.count("*").alias("n"))
-    out = rules.match_rule_table(texts, rules.rule_table(spark, plain), "clean", ["clean"])
+    out = rules.match_rule_table(texts, rules.rule_table(spark, plain), "clean")
     return out.select("clean", F.coalesce(F.col("rule.rule"), F.lit("none")).alias("rule"), "n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caderneta.functions import lines as L
 from caderneta.functions.numbers import to_ptbr
-from caderneta.operators import export, layout, statement
+from caderneta.operators import export, layout, ordered, statement
 from caderneta.operators.once import evaluate_once
 from caderneta.plans.catalog import query
 from caderneta.plans.queries_fields import PTBR_TEXT
@@ -113,7 +113,7 @@ def explode_transactions(spark, sf_dir):
 @query(
     "q_line_fields",
     with_tx(
-        f"""SELECT tx_id, CAST(amount AS DOUBLE) AS value, CAST(CASE WHEN amount > 2500 AND amount > 0 THEN amount ELSE amount END AS DOUBLE) AS first_value,
+        f"""SELECT tx_id, CAST(amount AS DOUBLE) AS value, CAST(amount AS DOUBLE) AS first_value,
              CAST(l_linenumber AS VARCHAR) || '/7' AS installment, upper(p_name) AS description, 0 AS noise,
              CAST(2 AS BIGINT) AS pieces FROM tx"""
     ),
@@ -148,20 +148,21 @@ def line_fields(spark, sf_dir):
 def export_card_rows(spark, sf_dir):
     """Exports printed per supplier: card block, item rows, subtotal, summary tail."""
     tx = transactions(spark, sf_dir).select("l_suppkey", "s_name", "p_name", "tx_id", "l_partkey", "amount", "l_shipdate")
-    place = F.xxhash64("tx_id", "l_partkey", "amount", "l_shipdate")
+    place, chunk = ordered.hash_chunk(F.col("tx_id"), F.col("l_partkey"), F.col("amount"), F.col("l_shipdate"))
+    tx = ordered.scan(tx.withColumn("place", place), ["l_suppkey"], ["place"], chunk, [ordered.row_number("line")])
     items = tx.select(
-        F.col("l_suppkey").alias("doc_id"), (F.pmod(place, F.lit(2**40)) + 10).alias("line_no"),
+        F.col("l_suppkey").alias("doc_id"), (F.col("line") + 2).alias("line_no"),
         F.date_format("l_shipdate", "dd/MM/yyyy").alias("c0"), F.col("p_name").alias("c1"), to_ptbr(F.col("amount")).alias("c3"),
     )
-    suppliers = tx.select("l_suppkey", "s_name").distinct()
-    tail = 2**40 + 100
+    suppliers = tx.groupBy("l_suppkey", "s_name").agg(F.max("line").alias("last"))
+    tail = F.col("last") + 3
     texts = [(0, F.concat(F.lit("Final "), F.lpad(F.col("l_suppkey").cast("string"), 4, "0"))), (1, F.col("s_name")), (2, F.lit("Descrição")),
              (tail, F.lit("Subtotal")), (tail + 1, F.lit("Resumo de despesas")), (tail + 2, F.lit("nunca lido"))]
     frame = suppliers.select(
         F.col("l_suppkey").alias("doc_id"),
-        F.explode(F.array(*[F.struct(F.lit(n).cast("bigint").alias("line_no"), t.alias("c1")) for n, t in texts])).alias("r"),
+        F.explode(F.array(*[F.struct((F.lit(n) if isinstance(n, int) else n).cast("bigint").alias("line_no"), t.alias("c1")) for n, t in texts])).alias("r"),
     ).select("doc_id", "r.line_no", F.lit("").alias("c0"), "r.c1", F.lit("").alias("c3"))
-    rows = export.card_rows(items.unionByName(frame, allowMissingColumns=True))
+    rows = export.card_rows(materialise(items.unionByName(frame), "card-export"))
     return rows.groupBy("doc_id", "descricao", "cartao").agg(F.count("*").alias("n"))
 
 

@@ -31,7 +31,7 @@ def test_conditions(tx):
 def test_rule_table_equals_compiled_rules(spark, tx):
     table = rules.rule_table(spark, rules.DEFAULT_RULES)
     for batch in (1000, 3):
-        got = {r["id"]: r["rule"] and r["rule"]["rule"] for r in rules.match_rule_table(tx, table, "descr", ["id"], batch).collect()}
+        got = {r["id"]: r["rule"] and r["rule"]["rule"] for r in rules.match_rule_table(tx, table, "descr", batch).collect()}
         assert got == {1: "netflix", 2: "uber", 3: None, 4: None, 5: "farmacia_drogasil", 6: None, 7: None}
 
 
