@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from caderneta.llm import q_url_filter  # noqa: E402, F401
+from caderneta.llm import q_hilbert, q_url_filter  # noqa: E402, F401
