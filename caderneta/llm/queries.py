@@ -20,4 +20,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from caderneta.llm import q_hilbert, q_url_filter  # noqa: E402, F401
+from caderneta.llm import (  # noqa: E402, F401
+    q_hilbert,
+    q_line_quality,
+    q_packing,
+    q_simhash,
+    q_url_filter,
+)

@@ -102,7 +102,7 @@ def longest_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
         carried = prefixes.join(rules, "key").select("part", "key", "rule")
         events = events.unionByName(carried)
     # A rule sorts before the URLs that share its key, and a shorter key before those that it begins.
-    ranged = events.repartition(parts, "part").sortWithinPartitions("part", "key", F.col("rule").isNull(), "rule")
+    ranged = events.repartitionById(parts, "part").sortWithinPartitions("part", "key", F.col("rule").isNull(), "rule")
     return ranged.select("part", "key", "rule").mapInArrow(_sweep, "key string, rule string")
 
 
