@@ -22,8 +22,12 @@ def query(name: str, sql: str | None = None):
 
 from caderneta.llm import (  # noqa: E402, F401
     q_hilbert,
+    q_imatch,
+    q_language_id,
     q_line_quality,
+    q_merge_dropout,
     q_packing,
     q_simhash,
+    q_surrogates,
     q_url_filter,
 )
