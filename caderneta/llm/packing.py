@@ -12,9 +12,11 @@ Memory of a task is bounded by the windows, whose pieces are only numbers, by on
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ LEAST_ROOM = 64
 # Partitions whose leftovers are merged in one task.
 MERGED_PARTITIONS = 64
 END_ID = 1
-# Words whose ids a worker remembers, and words that are tokenised at a time.
+# Words whose ids a worker remembers, in each of two generations.
 CACHED_WORDS = 200_000
 
 PIECE_SCHEMA = (
@@ -40,35 +42,82 @@ PIECE_SCHEMA = (
 )
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _byte_symbols() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds:
     """Token ids of texts, word by word, as little-endian unsigned 32-bit numbers.
 
-    For tokenizers that drop white space, so that the ids of a text are those of its words in a row.
+    For the tokenizer that drops white space and tells runs of letters from runs of symbols, so that the ids of a text are those of its
+    words in a row. Words of plain letters and symbols after them go to the merges of the tokenizer directly; all others, and
+    words with characters that normalisation may change, take its whole way. Two generations of remembered words bound the memory.
     """
 
+    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?-@\[-`{-~]*)", re.ASCII)
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merge = self._tokenizer.model.tokenize
+        self._symbols = _byte_symbols()
         self._known: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _run(self, run: str) -> bytes:
+        symbols = run if run.isascii() else "".join([self._symbols[b] for b in run.encode()])
+        ids = [t.id for t in self._merge(symbols)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, old, odd, plain = self._known, self._old, [], self._PLAIN.fullmatch
+        for w in words:
+            ids = old.get(w)
+            if ids is None:
+                found = plain(w.decode())
+                if found is None:
+                    odd.append(w)
+                    continue
+                letters, symbols = found.groups()
+                letters = letters.lower()
+                key = letters.encode()
+                ids = known.get(key) or old.get(key)
+                if ids is None:
+                    ids = known[key] = self._run(letters)
+                if symbols:
+                    key = symbols.encode()
+                    more = known.get(key)
+                    if more is None:
+                        more = known[key] = self._run(symbols)
+                    ids += more
+            known[w] = ids
+        for i in range(0, len(odd), 1024):
+            part = odd[i : i + 1024]
+            for w, e in zip(part, self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()  # at ASCII white space only
+        if len(self._known) > CACHED_WORDS:
+            self._known, self._old = {}, self._known
         known = self._known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            encoded = self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-        return b"".join([known[w] for w in words])
+            self._learn([w for w in dict.fromkeys(words) if w not in known])
+            return b"".join([known[w] for w in words])
 
 
 class Windows:
@@ -131,7 +180,7 @@ def _batch(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()})
 
 
-def pack(
+def packed(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS, end_id: int = END_ID, least_room: int = LEAST_ROOM,
 ) -> DataFrame:

@@ -6,15 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caderneta.llm import packing
 from caderneta.llm.common import table
-from caderneta.llm.queries import query
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from caderneta.llm.registry import query
 
 
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), packing.tokenizer_path("word_bpe_49k.json"))

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 from caderneta.llm import packing
-from caderneta.llm.q_packing import tokenizer_path
+from caderneta.llm.packing import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -54,16 +54,16 @@ def test_odd_texts(spark, parts):
         6: "long " * 5000, 7: "a" * 3000, 8: "same same", 9: "same same", 10: "#" * 50, 11: "İİ 1234567 's", 12: "it's we'll\r\nx",
     }
     df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, open string").repartition(parts)
-    out = packing.pack(df, PATH, window=64, open_windows=3, least_room=8).collect()
+    out = packing.packed(df, PATH, window=64, open_windows=3, least_room=8).collect()
     sequences, tokens = verify(out, texts, 64)
     assert sequences * 64 <= 1.1 * tokens + 64
 
 
 def test_repeats_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "c"), (3, "c")], "doc_id long, text string")
-    out = packing.pack(df, PATH).collect()
+    out = packing.packed(df, PATH).collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in out) == [("3", 2), ("3", 2), ("None", 3), ("None", 3)]
-    assert packing.pack(df.limit(0), PATH).count() == 0
+    assert packing.packed(df.limit(0), PATH).count() == 0
 
 
 def test_windows_stay_bounded():
