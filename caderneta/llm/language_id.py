@@ -53,6 +53,11 @@ class Model:
     settings: Settings = field(default_factory=Settings)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that nothing is learned from; null for rows without doc_id, which are not learned from either."""
+    return F.crc32(col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
 @cache
 def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(_LETTERS_END)), bool, _LETTERS_END)

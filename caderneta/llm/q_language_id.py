@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from caderneta.llm import language_id
 from caderneta.llm.common import table
-from caderneta.llm.queries import query
-
-
-def held_out():
-    """Rows that nothing is learned from; rows without doc_id have no remainder and are not learned from either."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+from caderneta.llm.registry import query
 
 
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.filter(~held_out()))
+    model = language_id.fit(docs.filter(~language_id.held_out()))
     found = language_id.predict(docs, model)
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

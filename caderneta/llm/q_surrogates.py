@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caderneta.llm import surrogates
 from caderneta.llm.common import table
-from caderneta.llm.queries import query
-
-# A deployment passes its own secret; the checkable query has a public one so that its result can be repeated.
-KEY = "public demonstration key"
-
+from caderneta.llm.registry import query
 
 @query("op2_surrogates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after replacement and the number of replaced mentions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.pseudonymise(docs, KEY, counted="n_replaced")
+    return surrogates.pseudonymise(docs, surrogates.DEMONSTRATION_KEY, counted="n_replaced")

@@ -1,33 +1,16 @@
-"""The checkable queries of the corpus operators, each over its whole table."""
+"""All checkable queries of the corpus operators: importing this module registers them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(plan):
-        PLANS[name] = plan
-        if sql is not None:
-            SQL[name] = sql
-        return plan
-
-    return add
-
-
-from caderneta.llm import (  # noqa: E402, F401
+from caderneta.llm import (  # noqa: F401
     q_hilbert,
     q_imatch,
     q_language_id,
     q_line_quality,
     q_merge_dropout,
     q_packing,
+    q_page_text,
+    q_pipeline,
     q_simhash,
     q_surrogates,
     q_url_filter,
 )
+from caderneta.llm.registry import PLANS, SQL  # noqa: F401

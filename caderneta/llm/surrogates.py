@@ -25,6 +25,8 @@ from caderneta.llm.common import col, cols, fresh, short_batches
 from caderneta.session import materialise
 
 MAX_ROUNDS = 64
+# A deployment passes its own secret; the checkable queries use this public one, so that their results can be repeated.
+DEMONSTRATION_KEY = "public demonstration key"
 
 # Titles by gender, given names by gender and script, surname parts by script.
 TITLES = {

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from caderneta.llm import language_id as L
-from caderneta.llm.q_language_id import held_out
+from caderneta.llm.language_id import held_out
 
 SF = "/root/testdata/sf0.001"
 
