@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caderneta.operators.ordered import Next, Previous, RunningSum, distinct_values, scan
+from caderneta.operators.ordered import Next, Previous, RunningSum, distinct_values, null_safe_join, scan
 
 
 def segments(
@@ -90,11 +90,12 @@ def anchored_groups(
     The anchor entering a slice from the left can only be one of the values in the slice's first
     tolerance (or the first after it), so every slice is chained from each of those entries,
     the slices of a key are linked, and each slice is chained once more from its true entry.
-    Values are non-negative or negative numbers alike; equal values are seen once.
+    Values are non-negative or negative numbers alike; equal values are seen once. Rows without a value
+    belong to no group and get a null anchor; null keys form a key.
     """
     keys = list(keys)
     span = float(tolerance) * width
-    points = df.select(*keys, F.col(value).alias("__v")).distinct()
+    points = df.select(*keys, F.col(value).alias("__v")).filter("__v is not null").distinct()
     slices = (
         points.withColumn("__slice", F.floor(F.col("__v") / span))
         .groupBy(*keys, "__slice")
@@ -136,7 +137,7 @@ def anchored_groups(
         *keys, F.explode(F.arrays_zip(F.col("__all.__slice").alias("s"), seen.alias("a"))).alias("z")
     ).select(*keys, F.col("z.s").alias("__slice"), F.col("z.a").alias("__before"))
 
-    known = slices.join(before, [*keys, "__slice"])
+    known = null_safe_join(slices, before, [*keys, "__slice"])
     anchors = F.when(
         F.col("__before").isNull(), chain(F.col("__vs"), F.element_at("__vs", 1))
     ).otherwise(chain(F.col("__vs"), F.col("__before")))
@@ -145,4 +146,4 @@ def anchored_groups(
         .select(*keys, "__as", F.explode("__vs").alias("__v"))
         .select(*keys, F.col("__v").alias(value), F.array_max(F.filter("__as", lambda a: a <= F.col("__v"))).alias(name))
     )
-    return df.join(per_value, [*keys, value])
+    return null_safe_join(df, per_value, [*keys, value], "left")

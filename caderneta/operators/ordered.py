@@ -6,13 +6,14 @@ inside each chunk, every chunk leaves one summary row, a window over the few sum
 rows yields what each chunk receives from the ones before it, and the two are combined.
 The big table is shuffled once, by (keys, chunk); summaries are pre-aggregated.
 
-Key columns must not be null.
+Null keys and null order values are values like others: nulls form a key, and sort first. Every row comes out once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -148,6 +149,13 @@ def row_number(name: str = "rn") -> RunningSum:
     return RunningSum(name, F.lit(1).cast("bigint"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on key columns of equal names, null keys being equal to each other. The keys of the left side stay."""
+    theirs = {c: f"__r_{c}" for c in keys}
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in theirs.items()]
+    return left.join(right.withColumnsRenamed(theirs), reduce(lambda a, b: a & b, same), how).drop(*theirs.values())
+
+
 def scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, steps: Sequence[Step]
 ) -> DataFrame:
@@ -165,7 +173,7 @@ def scan(
     carried = summaries.select(
         *keys, CHUNK, *[s.carried(across, F.col(carry_names[s.name])).alias(carry_names[s.name]) for s in steps]
     )
-    joined = local.join(carried, [*keys, CHUNK])
+    joined = null_safe_join(local, carried, [*keys, CHUNK])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[s.combine(F.col(local_names[s.name]), F.col(carry_names[s.name])).alias(s.name) for s in steps],

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,17 +10,19 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def _percent(df: DataFrame) -> Column:
+    return F.round(100.0 * F.col("n") / df.agg(F.count("*")).scalar(), 6)
+
+
 def share_of_total(df: DataFrame, column: str) -> DataFrame:
-    """Rows and percentage per value. The window runs over the few grouped rows only."""
-    total = F.sum("n").over(W.partitionBy())
-    return frequency(df, column).withColumn("pct", F.round(100.0 * F.col("n") / total, 6))
+    """Rows and percentage per value; the total is a scalar subquery, so labels of any number stay distributed."""
+    return frequency(df, column).withColumn("pct", _percent(df))
 
 
 def top_labels(df: DataFrame, label: str, k: int = 5, unsure: str = "duvida") -> DataFrame:
     """The k most frequent labels without the unsure one; percentages are of all rows."""
-    shares = share_of_total(df, label)
-    named = shares.filter((F.col(label) != unsure) & (F.col(label) != ""))
-    return named.orderBy(F.desc("n"), label).limit(k)
+    named = frequency(df, label).filter((F.col(label) != unsure) & (F.col(label) != ""))
+    return named.orderBy(F.desc("n"), label).limit(k).withColumn("pct", _percent(df))
 
 
 def batch_stats(df: DataFrame, sure: float = 0.7) -> DataFrame:

@@ -73,19 +73,17 @@ def date_chain(spark, sf_dir):
     "q_date_tokens",
     with_tx(
         """SELECT tx_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS full_date,
-             strftime(l_shipdate, '2001-%m-%d') AS short_date,
+             CASE WHEN NOT (month(l_shipdate) = 2 AND day(l_shipdate) = 29) THEN strftime(l_shipdate, '2001-%m-%d') END AS short_date,
              strftime(l_shipdate, '2004-%m-%d') AS glued_date,
              CAST(year(l_shipdate) AS BIGINT) AS guessed_year
-           FROM tx WHERE NOT (month(l_shipdate) = 2 AND day(l_shipdate) = 29)"""
+           FROM tx"""
     ),
 )
 def date_tokens(spark, sf_dir):
-    leap = (F.month("l_shipdate") == 2) & (F.dayofmonth("l_shipdate") == 29)
     short = F.concat(F.date_format("l_shipdate", "dd/MM"), F.col("merchant"), F.lit(" 10,00"))
     glued = F.concat(F.lit("07"), F.date_format("l_shipdate", "dd/MM"))
     return (
         transactions(spark, sf_dir)
-        .filter(~leap)
         .select(
             "tx_id",
             D.date_token(F.col("descr"), F.lit(1999)).cast("string").alias("full_date"),
@@ -283,17 +281,15 @@ def parse_reply(spark, sf_dir):
 
 @query(
     "q_softmax_scores",
-    """SELECT vec_id, round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS p0,
-         round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS p1,
-         round(1 / (1 + exp(-a)), 6) AS sigmoid, CASE WHEN a < 0 THEN 0.0 ELSE least(a, 1.0) END AS clamped
-       FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-                    CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)""",
+    """SELECT vec_id, dim, round(exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id), 6) AS p,
+         round(1 / (1 + exp(-s)), 6) AS sigmoid, CASE WHEN s < 0 THEN 0.0 ELSE least(s, 1.0) END AS clamped
+       FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS s FROM embeddings)""",
 )
 def softmax_scores(spark, sf_dir):
-    scores = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", scores.alias("s"))
-    rows = rows.select("vec_id", "s", N.softmax(F.col("s")).alias("p"))
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip("s", N.softmax(F.col("s")).alias("p"))).alias("at", "x"))
     return rows.select(
-        "vec_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"),
-        F.round(N.sigmoid(F.col("s")[0]), 6).alias("sigmoid"), N.clamp01(F.col("s")[0]).alias("clamped"),
+        "vec_id", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x.p", 6).alias("p"),
+        F.round(N.sigmoid(F.col("x.s")), 6).alias("sigmoid"), N.clamp01(F.col("x.s")).alias("clamped"),
     )

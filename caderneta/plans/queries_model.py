@@ -41,7 +41,7 @@ def folds(spark, sf_dir):
 
 @query(
     "q_oversample",
-    f"""WITH {RANK_SQL}, m AS (SELECT *, greatest(floor((SELECT max(n) FROM r) * 0.7) - n, 0) AS missing FROM r)
+    f"""WITH {RANK_SQL}, m AS (SELECT *, CAST(greatest(floor((SELECT max(n) FROM r) * 0.7) - n, 0) AS BIGINT) AS missing FROM r)
         SELECT doc_id, quality, CAST(1 + missing // n + CASE WHEN rn <= missing % n THEN 1 ELSE 0 END AS BIGINT) AS copies FROM m""",
 )
 def oversample(spark, sf_dir):
@@ -110,15 +110,17 @@ def auc(spark, sf_dir):
     return out.select("label", F.round("auc", 6).alias("auc"))
 
 
+DIMENSIONS = 64  # of the embeddings table
+
+
 @query(
     "q_top_classes",
-    """SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS best,
-         round(greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c)), 6) AS margin
-       FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)""",
+    """SELECT vec_id, 'c' || list_position(embedding, list_max(embedding)) AS best,
+         round(CAST(list_reverse_sort(embedding)[1] AS DOUBLE) - CAST(list_reverse_sort(embedding)[2] AS DOUBLE), 6) AS margin FROM embeddings""",
 )
 def top_classes(spark, sf_dir):
-    scores = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    top = metrics.top_k(F.col("s"), ["a", "b", "c"], 2)
+    scores = F.transform("embedding", lambda x: x.cast("double"))
+    top = metrics.top_k(F.col("s"), [f"c{i}" for i in range(1, DIMENSIONS + 1)], 2)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", scores.alias("s")).select("vec_id", top.alias("top"))
     return rows.select("vec_id", F.col("top")[0]["label"].alias("best"), F.round(metrics.margin(F.col("top")), 6).alias("margin"))
 

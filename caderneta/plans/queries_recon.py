@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caderneta.functions.numbers import money
@@ -82,21 +83,23 @@ def recon_ok(spark, sf_dir):
     return checked.select("extra", F.col("ok").cast("bigint").alias("ok"), "cards_off")
 
 
-# Two versions of the same list: rows dropped, changed and added by simple arithmetic on the id.
-VERSIONS_SQL = """a AS (SELECT tx_id, min(merchant) AS description, min(amount) AS amount, min(card) AS card FROM tx GROUP BY 1),
-  b AS (SELECT tx_id, CASE WHEN tx_id % 19 = 4 THEN description || '!' ELSE description END AS description,
+# Two versions of the same list: rows dropped, changed and added by simple arithmetic on the id. Rows with equal ids are told apart by their position.
+VERSIONS_SQL = """a AS (SELECT tx_id, row_number() OVER (PARTITION BY tx_id ORDER BY merchant, amount, card) AS pos,
+                 merchant AS description, amount, card FROM tx),
+  b AS (SELECT tx_id, pos, CASE WHEN tx_id % 19 = 4 THEN description || '!' ELSE description END AS description,
                CASE WHEN tx_id % 10 = 3 THEN amount + 1 ELSE amount END AS amount,
                CASE WHEN tx_id % 13 = 5 THEN 'Final 0000' ELSE card END AS card FROM a WHERE tx_id % 97 <> 0
-        UNION ALL SELECT -1 - tx_id, description, amount, card FROM a WHERE tx_id % 89 = 1)"""
+        UNION ALL SELECT -1 - tx_id, pos, description, amount, card FROM a WHERE tx_id % 89 = 1)"""
 
 
 def _versions(spark, sf_dir):
-    a = transactions(spark, sf_dir).groupBy("tx_id").agg(
-        F.min("merchant").alias("description"), F.min("amount").alias("amount"), F.min("card").alias("card")
+    inside = W.partitionBy("tx_id").orderBy("merchant", "amount", "card")
+    a = transactions(spark, sf_dir).select(
+        "tx_id", F.row_number().over(inside).cast("bigint").alias("pos"), F.col("merchant").alias("description"), "amount", "card"
     )
     tx = F.col("tx_id")
     changed = a.filter(tx % 97 != 0).select(
-        "tx_id",
+        "tx_id", "pos",
         F.when(tx % 19 == 4, F.concat("description", F.lit("!"))).otherwise(F.col("description")).alias("description"),
         money(F.when(tx % 10 == 3, F.col("amount") + 1).otherwise(F.col("amount"))).alias("amount"),
         F.when(tx % 13 == 5, "Final 0000").otherwise(F.col("card")).alias("card"),
@@ -109,20 +112,20 @@ def _versions(spark, sf_dir):
     "q_snapshot_diff",
     with_tx(
         f"""WITH {VERSIONS_SQL}
-        SELECT tx_id, CASE WHEN b.tx_id IS NULL THEN 'missing' WHEN a.tx_id IS NULL THEN 'extra' ELSE 'mismatch' END AS kind,
+        SELECT tx_id, pos, CASE WHEN b.tx_id IS NULL THEN 'missing' WHEN a.tx_id IS NULL THEN 'extra' ELSE 'mismatch' END AS kind,
           CASE WHEN a.tx_id IS NULL OR b.tx_id IS NULL THEN '-' WHEN a.description <> b.description THEN 'description'
                WHEN a.amount <> b.amount THEN 'amount' ELSE 'card' END AS field,
           CASE WHEN a.tx_id IS NULL OR b.tx_id IS NULL THEN '-' WHEN a.description <> b.description THEN b.description
                WHEN a.amount <> b.amount THEN CAST(b.amount AS VARCHAR) ELSE b.card END AS actual
-        FROM a FULL JOIN b USING (tx_id)
+        FROM a FULL JOIN b USING (tx_id, pos)
         WHERE a.description IS DISTINCT FROM b.description OR a.amount IS DISTINCT FROM b.amount OR a.card IS DISTINCT FROM b.card"""
     ),
 )
 def snapshot_diff(spark, sf_dir):
     expected, actual = _versions(spark, sf_dir)
-    diff = recon.positional_diff(expected, actual, ["tx_id"], ["description", "amount", "card"])
+    diff = recon.positional_diff(expected, actual, ["tx_id", "pos"], ["description", "amount", "card"])
     return diff.select(
-        "tx_id", "kind", F.coalesce("field", F.lit("-")).alias("field"), F.coalesce("actual", F.lit("-")).alias("actual")
+        "tx_id", "pos", "kind", F.coalesce("field", F.lit("-")).alias("field"), F.coalesce("actual", F.lit("-")).alias("actual")
     )
 
 
@@ -130,15 +133,15 @@ def snapshot_diff(spark, sf_dir):
     "q_keyed_diff",
     with_tx(
         f"""WITH {VERSIONS_SQL},
-        x AS (SELECT description, amount, max_by(card, tx_id) AS expected FROM a GROUP BY 1, 2),
-        y AS (SELECT description, amount, max_by(card, tx_id) AS actual FROM b GROUP BY 1, 2)
+        x AS (SELECT description, amount, max_by(card, (tx_id, pos)) AS expected FROM a GROUP BY 1, 2),
+        y AS (SELECT description, amount, max_by(card, (tx_id, pos)) AS actual FROM b GROUP BY 1, 2)
         SELECT description, CAST(amount AS DOUBLE) AS amount, expected, actual FROM x JOIN y USING (description, amount)
         WHERE expected <> actual"""
     ),
 )
 def keyed_diff(spark, sf_dir):
     expected, actual = _versions(spark, sf_dir)
-    diff = recon.keyed_diff(expected, actual, ["description", "amount"], "card", ["tx_id"])
+    diff = recon.keyed_diff(expected, actual, ["description", "amount"], "card", ["tx_id", "pos"])
     return diff.select("description", *dbl("amount"), "expected", "actual")
 
 
@@ -191,18 +194,20 @@ def schema_align_union(spark, sf_dir):
 
 @query(
     "q_new_categories",
-    "SELECT l_partkey FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3",
+    """SELECT l_partkey || '/' || l_suppkey AS category FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'
+       EXCEPT SELECT l_partkey || '/' || l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'""",
 )
 def new_categories(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    return report.new_categories(rows.filter("l_quantity < 3"), rows.filter("l_quantity > 49"), "l_partkey")
+    category = F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("category")
+    rows = table(spark, sf_dir, "lineitem").select(category, (F.year("l_shipdate") >= 1997).alias("later"))
+    return report.new_categories(rows.filter("not later"), rows.filter("later"), "category")
 
 
 @query(
     "q_balance",
     with_tx(
-        """WITH b AS (SELECT p_brand || p_type AS c FROM tx WHERE year(l_shipdate) < 1998 AND l_quantity < 2),
-             f AS (SELECT p_brand || p_type AS c FROM tx WHERE year(l_shipdate) >= 1998 AND l_quantity > 49)
+        """WITH b AS (SELECT p_brand || p_type || p_name AS c FROM tx WHERE year(l_shipdate) < 1998),
+             f AS (SELECT p_brand || p_type || p_name AS c FROM tx WHERE year(l_shipdate) >= 1998)
            SELECT (SELECT count(DISTINCT c) FROM b) AS base_categories, (SELECT count(DISTINCT c) FROM f) AS feedback_categories,
              (SELECT count(DISTINCT c) FROM f WHERE c NOT IN (SELECT c FROM b)) AS new_categories,
              (SELECT count(*) FROM f) AS feedback_rows"""
@@ -210,9 +215,9 @@ def new_categories(spark, sf_dir):
 )
 def balance(spark, sf_dir):
     tx = transactions(spark, sf_dir).select(
-        F.concat("p_brand", "p_type").alias("c"), F.year("l_shipdate").alias("y"), "l_quantity"
+        F.concat("p_brand", "p_type", "p_name").alias("c"), F.year("l_shipdate").alias("y")
     )
-    out = report.balance(tx.filter("y < 1998 AND l_quantity < 2"), tx.filter("y >= 1998 AND l_quantity > 49"), "c")
+    out = report.balance(tx.filter("y < 1998"), tx.filter("y >= 1998"), "c")
     rows = F.aggregate(F.map_values("distribution"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.select("base_categories", "feedback_categories", "new_categories", rows.alias("feedback_rows"))
 
@@ -228,14 +233,14 @@ def dup_groups(spark, sf_dir):
 @query(
     "q_dup_transactions",
     with_tx(
-        """SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, substr(merchant, 1, 50) AS descr, l_quantity AS quantity, count(*) AS copies
+        """SELECT year(l_shipdate) AS yr, merchant AS descr, CAST(round(amount, -2) AS DOUBLE) AS value, count(*) AS copies
            FROM tx GROUP BY 1, 2, 3 HAVING count(*) > 1"""
     ),
 )
 def dup_transactions(spark, sf_dir):
     keys = [
-        F.col("l_shipdate").cast("date").cast("string").alias("day"), F.substring("merchant", 1, 50).alias("descr"),
-        F.col("l_quantity").alias("quantity"),
+        F.year("l_shipdate").cast("bigint").alias("yr"), F.col("merchant").alias("descr"),
+        F.round("amount", -2).cast("double").alias("value"),
     ]
     return dedup.duplicate_groups(transactions(spark, sf_dir), keys)
 
@@ -279,16 +284,19 @@ def top5(spark, sf_dir):
 @query(
     "q_section_audit",
     with_tx(
-        """SELECT l_orderkey AS order_no, CAST(sum(CASE WHEN l_returnflag <> 'R' AND amount < 90000 THEN amount ELSE 0 END) AS DOUBLE) AS positive,
-             CAST(sum(CASE WHEN l_returnflag = 'R' THEN amount ELSE 0 END) AS DOUBLE) AS negative, count(*) AS n FROM tx GROUP BY 1"""
+        """SELECT l_orderkey AS order_no, CAST(sum(CASE WHEN l_linenumber < 7 AND l_returnflag <> 'R' THEN amount ELSE 0 END) AS DOUBLE) AS positive,
+             CAST(sum(CASE WHEN l_linenumber < 7 AND l_returnflag = 'R' THEN amount ELSE 0 END) AS DOUBLE) AS negative,
+             CAST(sum(CASE WHEN l_linenumber < 7 THEN 0 WHEN l_returnflag = 'R' THEN -amount ELSE amount END) AS DOUBLE) AS printed, count(*) AS n
+           FROM tx GROUP BY 1"""
     ),
 )
 def section_audit(spark, sf_dir):
     sign = F.when(F.col("l_returnflag") == "R", "- ").otherwise("")
     shown = F.translate(F.format_number(F.col("amount"), 2), ",.", ".,")
+    name = F.when(F.col("l_linenumber") < 7, F.col("p_name")).otherwise("Total")
     lines = transactions(spark, sf_dir).select(
-        F.col("l_orderkey").alias("order_no"), F.concat(F.col("p_name"), F.lit(" "), sign, shown).alias("line")
+        F.col("l_orderkey").alias("order_no"), F.concat(name, F.lit(" "), sign, shown).alias("line")
     )
-    audit = recon.section_audit(lines, ["order_no"], "line", F.lit(False), limit=90_000)
+    audit = recon.section_audit(lines, ["order_no"], "line", F.startswith("line", F.lit("Total ")))
     count = lines.groupBy("order_no").agg(F.count("*").alias("n"))
-    return audit.join(count, "order_no").select("order_no", *dbl("positive", "negative"), "n")
+    return audit.join(count, "order_no").select("order_no", *dbl("positive", "negative", "printed"), "n")

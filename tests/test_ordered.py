@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caderneta.operators import automaton, dedup, grouping, ordered, sampling
+from caderneta.operators import automaton, dedup, grouping, metrics, ordered, sampling
 
 
 def skewed(n=600, seed=1):
@@ -110,3 +110,23 @@ def test_sampling(spark):
     per = sampling.folds(df, "y", "id", 5).groupBy("y", "fold").count().collect()
     assert {r["count"] for r in per if r["y"] == "b"} == {4}
     assert sampling.oversample(df, "y", "id").filter("y = 'b'").count() == int(180 * 0.7)
+
+
+def test_nulls_keep_their_rows(spark):
+    rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 2, 3.0), (None, None, 4.0), ("a", 3, None)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    out = ordered.scan(df, ["k"], ["i"], F.floor(F.col("i") / 2), [ordered.row_number("rn"), ordered.RunningSum("s", F.col("x"))])
+    assert {(r["k"], r["i"], r["rn"], r["s"]) for r in out.collect()} == {
+        ("a", None, 1, 2.0), ("a", 1, 2, 3.0), ("a", 3, 3, 3.0), (None, None, 1, 4.0), (None, 2, 2, 7.0),
+    }
+    assert {(r["k"], r["i"], r["anchor"]) for r in grouping.anchored_groups(df, ["k"], "x", 1.0).collect()} == {
+        ("a", 1, 1.0), ("a", None, 1.0), ("a", 3, None), (None, 2, 3.0), (None, None, 3.0),
+    }
+    labelled = spark.createDataFrame([(i, None if i % 2 else "y") for i in range(10)], "i long, label string")
+    assert sampling.stratified_split(labelled, "label", "i").groupBy("label", "part").count().count() == 4
+    assert sampling.folds(labelled, "label", "i").count() == 10
+
+
+def test_unusable_scores_count_as_lowest(spark):
+    df = spark.createDataFrame([("y", [0.9]), ("y", [None]), ("n", [0.5]), ("n", [float("nan")])], "t string, p array<double>")
+    assert metrics.auc_per_class(df, "t", F.col("p"), ["y"]).first()["auc"] == (2 + 0.5) / 4
