@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caderneta.llm.common import col, cols, fresh, partitions
-from caderneta.operators import ordered
+from caderneta.operators import once, ordered
 
 BITS = 4
 # Bytes of a text that a dimension looks at, after what all its values begin with.
@@ -81,7 +81,7 @@ def _numbers(df: DataFrame, dimensions: Mapping[str, str]) -> dict[str, Column]:
     types = dict(df.dtypes)
     texts = {d: c for d, c in dimensions.items() if types[c] == "string"}
     ends = df.agg(F.lit(1), *[f(col(c)).alias(f"{n}{d}") for d, c in texts.items() for n, f in (("a", F.min), ("b", F.max))]).first()
-    out = {d: col(c).cast("double") for d, c in dimensions.items() if d not in texts}
+    out = {d: col(c).cast("double") for d, c in dimensions.items()}
     for d, c in texts.items():
         low, high = (ends[n + d] or "" for n in "ab")
         same = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
@@ -90,15 +90,17 @@ def _numbers(df: DataFrame, dimensions: Mapping[str, str]) -> dict[str, Column]:
     return out
 
 
-def quantised(df: DataFrame, dimensions: Mapping[str, str], bits: int = BITS) -> dict[str, Column]:
-    """Step of every dimension, from quantiles over all rows; null values have step 0."""
-    numbers = _numbers(df, dimensions)
+def quantised(df: DataFrame, dimensions: Mapping[str, str], bits: int = BITS) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column of steps for every dimension, from quantiles over all rows; null values have step 0."""
+    names = fresh(df, *(f"step_{d}" for d in dimensions))
+    numbers = once.evaluate_once(df, dict(zip(names, _numbers(df, dimensions).values(), strict=True)))
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    bounds = df.agg(F.lit(1), *[F.percentile_approx(c, cuts).alias(d) for d, c in numbers.items()]).first()
-    return {
-        d: F.coalesce(reduce(lambda a, b: a + b, [(c > b).cast("int") for b in bounds[d] or []], F.lit(0)), F.lit(0))
-        for d, c in numbers.items()
+    bounds = numbers.agg(F.lit(1), *[F.percentile_approx(col(n), cuts).alias(n) for n in names]).first()
+    steps = {
+        n: F.coalesce(reduce(lambda a, b: a + b, [(col(n) > b).cast("int") for b in bounds[n] or []], F.lit(0)), F.lit(0))
+        for n in names
     }
+    return once.evaluate_once(numbers, steps), names
 
 
 def assign(
@@ -112,12 +114,9 @@ def assign(
     than shards, some shards are empty; an empty table stays empty. ``df`` is read four times, so pass a stored one.
     """
     cell, place, pieces, position = fresh(df, "cell", "place", "pieces", "position")
-    steps = quantised(df, dimensions, bits)
-    curve = df.select(
-        "*",
-        curve_index(list(steps.values()), bits).alias(cell),
-        F.shiftrightunsigned(F.xxhash64(*cols(tie)), 1).alias(place),
-    )
+    stepped, steps = quantised(df, dimensions, bits)
+    index = {cell: curve_index(cols(steps), bits), place: F.shiftrightunsigned(F.xxhash64(*cols(tie)), 1)}
+    curve = once.evaluate_once(stepped, index).drop(*steps)
     total = df.count()
     wanted = max(1, total // (CHUNKS_PER_PARTITION * partitions(df.sparkSession)))
     # At most 2 ** (bits * dimensions) cells exist.
