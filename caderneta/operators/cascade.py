@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caderneta.functions.numbers import clamp01
 from caderneta.operators.once import evaluate_once
+from caderneta.session import materialise
 
 DECIDED = "struct<label:string,confidence:double,method:string>"
 
@@ -74,15 +75,17 @@ def _as_answer(answer: Column, method: str) -> Column:
 
 def classify(
     df: DataFrame, stages: Sequence[Stage], default_label: str = "duvida", default_confidence: float = 0.3,
-    default_method: str = "fallback",
+    default_method: str = "fallback", failed: Column | None = None,
 ) -> DataFrame:
     """``df`` with ``label``, ``confidence`` and ``method_used``; every input row comes out once.
 
     A column stage is evaluated for open rows only; a text stage only sees the texts of rows no
-    earlier stage has answered.
+    earlier stage has answered. With n text stages the input is read n + 1 times at most. Rows where ``failed`` holds are unusable:
+    no stage sees them, and they get the default answer with method ``error``.
     """
     nothing = F.lit(None).cast(DECIDED)
-    out = df.withColumn("__answer", nothing)
+    error = F.struct(F.lit(default_label).alias("label"), F.lit(default_confidence).alias("confidence"), F.lit("error").alias("method"))
+    out = df.withColumn("__answer", nothing if failed is None else F.when(failed, error.cast(DECIDED)))
     for number, stage in enumerate(stages):
         open_row = F.col("__answer").isNull()
         if isinstance(stage, ColumnStage):
@@ -90,8 +93,9 @@ def classify(
         else:
             key = f"__text{number}"
             out = evaluate_once(out, {key: stage.text})
+            # Written once: the next stages read the few scored texts, not the work behind them.
             unanswered = out.filter(open_row & (F.col(key) != "")).select(F.col(key).alias("text")).distinct()
-            scored = stage.score(unanswered).select(
+            scored = materialise(stage.score(materialise(unanswered, "cascade-open")), "cascade-scored").select(
                 F.col("text").alias(key), F.struct("label", "confidence").alias("__raw")
             )
             out = out.join(scored, key, "left").drop(key)

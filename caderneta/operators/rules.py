@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from caderneta.functions import fields
 from caderneta.functions.prompts import CATEGORIES
-from caderneta.session import BROADCAST_ROWS, fits
+from caderneta.operators.ordered import RunningSum, scan
+from caderneta.session import materialise
 
 REGEX, LITERAL = "regex", "literal"
-# Up to here rules become one expression; beyond, a join with the rule table in batches.
-COMPILED_RULES = 256
+# Patterns that are broadcast together, what a row of the table takes besides its pattern, and priorities that are summed up together.
+BLOCK_BYTES = 8 << 20
+ROW_BYTES = 200
+RULES_PER_CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -141,7 +144,7 @@ def first_rule(rules: Sequence[Rule], text: Column, has: Sequence[str] = (), nam
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """Long form: one row per pattern."""
     rows = [
-        (i, r.name, r.kind, p, r.category, float(r.confidence), *(r.amount_range or (None, None)), r.holder, r.origin, r.installments)
+        (i, r.name, r.kind, p, r.category, float(r.confidence), *(map(float, r.amount_range) if r.amount_range else (None, None)), r.holder, r.origin, r.installments)
         for i, r in enumerate(rules)
         for p in r.patterns
     ]
@@ -159,43 +162,73 @@ def admissible(rules: DataFrame, categories: DataFrame) -> tuple[DataFrame, Data
     return known.filter(complete), unknown.unionByName(known.filter(~complete))
 
 
+def _row_conditions(rule: Column, has: Sequence[str]) -> Column:
+    """The conditions of ``_conditions`` for a rule that is a struct of the row."""
+    low, high = rule["amount_min"], rule["amount_max"]
+    out = low.isNull() & high.isNull()
+    if "amount" in has:
+        amount = F.col("amount").cast("double")
+        within = (low.isNull() | (amount >= low)) & (high.isNull() | (amount <= high))
+        out = out | F.coalesce(within, F.lit(False))
+    for name in ("holder", "origin"):
+        if name in has:
+            held = F.contains(F.lower(F.col(name)), F.lower(rule[name]))
+            out = out & (rule[name].isNull() | (F.coalesce(F.col(name), F.lit("")) == "") | held)
+    installments = rule["installments"].isNull()
+    if "installments" in has:
+        installments = installments | F.coalesce(F.col("installments") == rule["installments"], F.lit(False))
+    return out & installments
+
+
 def match_rule_table(
-    df: DataFrame, rules: DataFrame, text: str, batch: int = BROADCAST_ROWS
+    df: DataFrame, rules: DataFrame, text: str, has: Sequence[str] = (), block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``df`` with ``rule`` = struct(label, confidence, rule), from a rule table of any size.
 
-    Texts are matched once each. Rules go out in batches of at most ``batch`` priorities; a
-    text that has found its rule leaves before the next batch.
+    ``has`` names the condition columns of ``df`` (``amount``, ``holder``, ``origin``, ``installments``). As for compiled rules, a
+    missing or empty holder or origin passes; a rule on amounts or installments needs these columns. A rule without
+    priority comes last.
+
+    Patterns are tested against the distinct texts, in blocks of at most ``block_bytes`` of patterns in the order of priority, so
+    what is broadcast has a fixed size. A text leaves once a rule without conditions has matched it. Conditions are tested on the
+    rows, against the few rules that match their text.
     """
-    texts = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct()
-    found = None
-    if fits(rules, batch):
-        batches = [rules]
-    else:
-        bounds = [r[0] for r in _batch_bounds(rules, batch)]
-        batches = [
-            rules.filter((F.col("priority") >= lo) & (F.col("priority") < hi))
-            for lo, hi in zip(bounds, [*bounds[1:], 2**31 - 1])
-        ]
-    open_texts = texts
-    for part in batches:
+    patterns = rules.select(*[f.split()[0] for f in RULE_SCHEMA.split(", ")]).filter("pattern is not null").distinct()
+    patterns = patterns.withColumns({
+        "__rank": F.coalesce("priority", F.lit(2**31 - 1)).cast("bigint"),
+        "__free": F.coalesce("amount_min", "amount_max", F.col("installments").cast("double")).isNull() & F.coalesce("holder", "origin").isNull(),
+    })
+    order = [c for c in patterns.columns if c not in ("__rank", "__free")]
+    sized = scan(
+        patterns, [], ["__rank", *order], F.floor(F.col("__rank") / RULES_PER_CHUNK),
+        [RunningSum("__bytes", F.octet_length("pattern").cast("bigint") + ROW_BYTES)],
+    )
+    blocks = materialise(sized.withColumn("__block", F.floor(F.col("__bytes") / block_bytes)), "rules")
+    candidate = F.struct(
+        "__rank", "name", F.col("category").alias("label"), "confidence", "__free", *[F.col(c) for c in order[6:]]
+    )
+    open_texts = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct()
+    matched = None
+    numbers = [r[0] for r in blocks.select("__block").distinct().orderBy("__block").collect()]
+    for k, number in enumerate(numbers):
+        if len(numbers) > 1:
+            open_texts = materialise(open_texts, "rule-texts")
         hit = F.when(
             F.col("kind") == REGEX, F.expr("__text rlike concat('(?iu)', pattern)")
         ).otherwise(F.contains(F.col("__text"), F.lower(F.col("pattern"))))
-        matched = open_texts.join(F.broadcast(part), hit).groupBy("__text").agg(
-            F.min_by(
-                F.struct(F.col("category").alias("label"), "confidence", F.col("name").alias("rule")), F.col("priority")
-            ).alias("rule")
-        )
-        found = matched if found is None else found.unionByName(matched)
-        open_texts = open_texts.join(matched, "__text", "left_anti")
-    return df.join(found, F.col(text).eqNullSafe(F.col("__text")), "left").drop("__text")
-
-
-def _batch_bounds(rules: DataFrame, batch: int) -> list:
-    """First priority of every batch; only these few numbers reach the driver."""
-    per = rules.groupBy(F.floor(F.col("priority") / batch).alias("b")).agg(F.min("priority").alias("lo"))
-    return per.select("lo").orderBy("lo").collect()
+        part = blocks.filter(F.col("__block") == number)
+        found = open_texts.join(F.broadcast(part), hit).select("__text", candidate.alias("c"))
+        if k < len(numbers) - 1:
+            found = materialise(found, "rule-hits")
+            open_texts = open_texts.join(found.filter("c.__free").select("__text").distinct(), "__text", "left_anti")
+        matched = found if matched is None else matched.unionByName(found)
+    if matched is None:
+        return df.withColumn("rule", F.lit(None).cast("struct<label:string,confidence:double,rule:string>"))
+    per_text = matched.groupBy("__text").agg(F.array_sort(F.collect_set("c")).alias("__rules"))
+    fitting = F.try_element_at(F.filter("__rules", lambda r: _row_conditions(r, has)), F.lit(1))
+    chosen = F.when(fitting.isNotNull(), F.struct(fitting["label"].alias("label"), fitting["confidence"].alias("confidence"), fitting["name"].alias("rule")))
+    joined = df.join(per_text, F.col(text) == F.col("__text"), "left")
+    return joined.withColumn("rule", chosen).drop("__text", "__rules")
 
 
 def rule_stats(rules: DataFrame) -> DataFrame:

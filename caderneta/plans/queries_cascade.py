@@ -72,18 +72,12 @@ def rule_hits(spark, sf_dir):
 @query(
     "q_rule_table_join",
     with_tx(
-        f"""SELECT clean, CASE WHEN regexp_matches(clean, '^(red|blue).*widget$') THEN 'widget'
-              WHEN contains(clean, 'bolt') OR contains(clean, 'rod') THEN 'parts'
-              WHEN regexp_matches(clean, '\\bnew\\b') THEN 'new_things'
-              WHEN regexp_matches(clean, 'ring$') THEN 'ring' ELSE 'none' END AS rule, count(*) AS n
-            FROM (SELECT {normalize_sql('merchant')} AS clean FROM tx) GROUP BY 1, 2"""
+        f"SELECT clean, coalesce(rule, 'none') AS rule, count(*) AS n FROM ({RULED_SQL}) GROUP BY 1, 2"
     ),
 )
 def rule_table_join(spark, sf_dir):
-    plain = [r for r in DEMO_RULES if r.amount_range is None and r.origin is None]
-    texts = cleaned(spark, sf_dir).groupBy("clean").agg(F.count("*").alias("n"))
-    out = rules.match_rule_table(texts, rules.rule_table(spark, plain), "clean")
-    return out.select("clean", F.coalesce(F.col("rule.rule"), F.lit("none")).alias("rule"), "n")
+    out = rules.match_rule_table(cleaned(spark, sf_dir), rules.rule_table(spark, DEMO_RULES), "clean", ("amount", "origin", "holder"))
+    return out.groupBy("clean", F.coalesce(F.col("rule.rule"), F.lit("none")).alias("rule")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -30,11 +30,28 @@ def test_conditions(tx):
 
 def test_rule_table_equals_compiled_rules(spark, tx):
     table = rules.rule_table(spark, rules.DEFAULT_RULES)
-    for batch in (1000, 3):
-        got = {r["id"]: r["rule"] and r["rule"]["rule"] for r in rules.match_rule_table(tx, table, "descr", batch).collect()}
+    for block in (1 << 20, 500):
+        got = {r["id"]: r["rule"] and r["rule"]["rule"] for r in rules.match_rule_table(tx, table, "descr", (), block).collect()}
         assert got == {1: "netflix", 2: "uber", 3: None, 4: None, 5: "farmacia_drogasil", 6: None, 7: None}
 
 
+def test_rule_table_conditions(spark, tx):
+    own = [Rule("a", LITERAL, ("padaria",), "Supermercado", 0.9, amount_range=(8, 10)), Rule("b", REGEX, ("padaria",), "Supermercado", 0.8, holder="bia"),
+           Rule("c", REGEX, ("uber",), "Supermercado", 0.8, origin="extrato"), Rule("d", REGEX, ("netflix", "drog"), "Supermercado", 0.8, origin="extrato"),
+           Rule("e", LITERAL, ("pop",), "Supermercado", 0.8, installments=3), Rule("f", LITERAL, ("a",), "Supermercado", 0.7)]
+    has = ("amount", "holder", "origin", "installments")
+    df = tx.withColumn("installments", F.when(F.col("id") == 4, 3))
+    want = df.withColumn("rule", rules.first_rule(own, F.col("descr"), has=("holder", "origin")))
+    want = {(r["id"], r["rule"] and r["rule"]["rule"]) for r in want.collect()}
+    assert want == {(1, "d"), (2, None), (3, "b"), (4, "e"), (5, "d"), (6, "a"), (7, None)}
+    table = rules.rule_table(spark, own)
+    late = table.withColumn("priority", F.when(F.col("name") != "f", F.col("priority")))  # without priority: last
+    for t, block in ((table, 1 << 20), (table, 300), (late, 300)):
+        got = rules.match_rule_table(df, t, "descr", has, block)
+        assert {(r["id"], r["rule"] and r["rule"]["rule"]) for r in got.collect()} == want and got.count() == 7
+    assert rules.match_rule_table(df, table.limit(0), "descr", has).filter("rule is null").count() == 7
+
+
 def test_rule_admission(spark):
     with pytest.raises(ValueError):
         rules.admit(rules.DEFAULT_RULES, Rule("x", REGEX, ("x",), "no such", 0.5))
@@ -89,6 +106,13 @@ def test_order_thresholds_and_default(tx):
     assert sorted(seen) == ["99 pop app", "padaria"]
 
 
+def test_failed_rows(tx):
+    stages = [cascade.ColumnStage("rules_engine", rules.rules_stage(T.rule_text(F.col("descr"))))]
+    out = cascade.classify(tx, stages, failed=F.col("descr").isNull() | (F.col("amount") > 15))
+    got = {r["id"]: (r["label"], r["confidence"], r["method_used"]) for r in out.collect()}
+    assert got[7] == got[2] == ("duvida", 0.3, "error") and got[1][2] == "rules_engine"
+
+
 def test_no_stage(tx):
     assert {r["method_used"] for r in cascade.classify(tx, []).collect()} == {"fallback"}
 
