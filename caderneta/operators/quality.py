@@ -12,7 +12,6 @@ from caderneta.functions.numbers import mixed_to_decimal
 from caderneta.functions.text import strip
 
 MIN_AMOUNT = "0.01"
-MAX_AMOUNT = "1000000"
 
 Rules = Sequence[tuple[str, Column]]
 
@@ -73,8 +72,14 @@ def lenient_load(df: DataFrame, amount_text: str, date_text: str, today: Column
     )
 
 
-def in_value_range(amount: Column) -> Column:
-    return F.abs(amount).between(F.lit(MIN_AMOUNT).cast("decimal(18,2)"), F.lit(MAX_AMOUNT).cast("decimal(18,2)"))
+def in_value_range(amount: Column, low: str | None = None, high: str | None = None) -> Column:
+    """Whether an amount without its sign lies within the bounds that are given; rows outside are the caller's to keep aside."""
+    size, out = F.abs(amount), amount.isNotNull()
+    if low is not None:
+        out = out & (size >= F.lit(low).cast("decimal(18,2)"))
+    if high is not None:
+        out = out & (size <= F.lit(high).cast("decimal(18,2)"))
+    return out
 
 
 def report(df: DataFrame, critical: Sequence[str], numeric: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caderneta.functions import lines as L
@@ -14,15 +15,20 @@ from caderneta.plans.tx import transactions, with_tx
 from caderneta.session import materialise
 
 
+FOOT = 1 << 40  # number of the first line below all items
+
+
 def printed(spark, sf_dir):
-    """Statement lines: one document per order, with heading, card header, items and printed total."""
-    tx = transactions(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(
-        F.min_by(F.struct("p_name", "amount", "flux", "l_shipdate"), F.struct("l_partkey", "l_suppkey", "amount", "l_shipdate", "l_quantity")).alias("x")
-    ).select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "x.*")
+    """Statement lines of all transactions: one document per order, with heading, card header, items and printed total."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "amount", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
+    tx = transactions(spark, sf_dir).select(
+        F.col("l_orderkey").alias("doc_id"), "l_linenumber", "p_name", "amount", "flux", "l_shipdate",
+        F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).cast("bigint").alias("rn"),
+    )
     digits = F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0")
     sign = F.when(F.col("flux") == "Entrada", "- ").otherwise("")
     items = tx.select(
-        "doc_id", (F.col("l_linenumber") + 2).cast("bigint").alias("line_no"),
+        "doc_id", (F.col("rn") + 2).alias("line_no"),
         F.concat_ws(
             " ", F.date_format("l_shipdate", "dd/MM"), "p_name", F.concat(F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit("/07")),
             F.concat(sign, to_ptbr(F.col("amount"))),
@@ -37,12 +43,12 @@ def printed(spark, sf_dir):
                 F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit("Fatura 2004 Lançamentos: compras e saques").alias("line")),
                 F.struct(F.lit(1).cast("bigint").alias("line_no"), F.concat(F.lit("Maria da Silva (final "), digits, F.lit(")")).alias("line")),
                 F.struct(F.lit(2).cast("bigint").alias("line_no"), F.lit("DATA ESTABELECIMENTO VALOR EM R$").alias("line")),
-                F.struct(F.lit(20).cast("bigint").alias("line_no"),
+                F.struct((F.lit(FOOT) + 0).alias("line_no"),
                          F.concat(F.lit("Lançamentos no cartão (final "), digits, F.lit(") "), to_ptbr(F.abs("total"))).alias("line")),
-                F.struct(F.lit(21).cast("bigint").alias("line_no"), F.lit("Limites de crédito").alias("line")),
-                F.struct(F.lit(22).cast("bigint").alias("line_no"), F.lit("Compras parceladas - próximas faturas").alias("line")),
-                F.struct(F.lit(23).cast("bigint").alias("line_no"), F.lit("01/02 nunca lido 9,99").alias("line")),
-                F.struct(F.lit(24).cast("bigint").alias("line_no"), F.lit("Total dos lançamentos atuais 1,00").alias("line")),
+                F.struct((F.lit(FOOT) + 1).alias("line_no"), F.lit("Limites de crédito").alias("line")),
+                F.struct((F.lit(FOOT) + 2).alias("line_no"), F.lit("Compras parceladas - próximas faturas").alias("line")),
+                F.struct((F.lit(FOOT) + 3).alias("line_no"), F.lit("01/02 nunca lido 9,99").alias("line")),
+                F.struct((F.lit(FOOT) + 4).alias("line_no"), F.lit("Total dos lançamentos atuais 1,00").alias("line")),
             )
         ).alias("r"),
     ).select("doc_id", "r.*")
@@ -50,16 +56,15 @@ def printed(spark, sf_dir):
     return materialise(items.unionByName(frame), "statement-lines")
 
 
-ITEMS_SQL = """d AS (SELECT l_orderkey AS doc_id, l_linenumber, arg_min(struct_pack(p_name, amount, flux, l_shipdate),
-     struct_pack(a := l_partkey, b := l_suppkey, c := amount, d := l_shipdate, e := l_quantity)) AS x FROM tx GROUP BY 1, 2)"""
+ITEMS_SQL = "d AS (SELECT l_orderkey AS doc_id, l_linenumber, p_name, amount, flux, l_shipdate FROM tx)"
 
 
 @query(
     "q_statement_items",
     with_tx(
-        f"""WITH {ITEMS_SQL} SELECT doc_id, strftime(x.l_shipdate, '2004-%m-%d') AS date, x.p_name AS description,
-              CAST(x.amount AS DOUBLE) AS amount, 'Final ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' - MARIA DA SILVA' AS last4,
-              x.flux AS flux, CAST(7 AS BIGINT) AS parcelas, CAST(l_linenumber AS BIGINT) AS numero_parcela FROM d"""
+        f"""WITH {ITEMS_SQL} SELECT doc_id, strftime(l_shipdate, '2004-%m-%d') AS date, p_name AS description,
+              CAST(amount AS DOUBLE) AS amount, 'Final ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' - MARIA DA SILVA' AS last4,
+              flux, CAST(7 AS BIGINT) AS parcelas, CAST(l_linenumber AS BIGINT) AS numero_parcela FROM d"""
     ),
 )
 def statement_items(spark, sf_dir):
@@ -73,7 +78,7 @@ def statement_items(spark, sf_dir):
 @query(
     "q_statement_recon",
     with_tx(
-        f"""WITH {ITEMS_SQL}, s AS (SELECT doc_id, sum(CASE WHEN x.flux = 'Entrada' THEN -x.amount ELSE x.amount END) AS t FROM d GROUP BY 1)
+        f"""WITH {ITEMS_SQL}, s AS (SELECT doc_id, sum(CASE WHEN flux = 'Entrada' THEN -amount ELSE amount END) AS t FROM d GROUP BY 1)
             SELECT doc_id, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS card, CAST(abs(t) AS DOUBLE) AS control_total,
               CAST(t AS DOUBLE) AS calculated_total, CAST(abs(t) - t AS DOUBLE) AS delta FROM s"""
     ),

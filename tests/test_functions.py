@@ -47,6 +47,10 @@ def value(spark, column):
         (lines.split_line, "12/08 BAR 10,80 13/08 LOJA 04/10 20,00", ["12/08 BAR 10,80", "13/08 LOJA 04/10 20,00"]),
         (lines.line_description, "12/08 LOJA BOA 03/10 1.234,56", "LOJA BOA"),
         (lines.line_description, "12/08 123 9,99", ""),
+        (lines.line_description, "12/08/2024 *LOJA# R$ 1.234,56 10% parc. c/ juros x", "*LOJA#"),
+        (lines.line_description, "12/08 LOJA 11 3456 7890 9,99 Simulação de Compras 1", "LOJA 11 3456 7890"),
+        (lines.line_description, "12/08 LOJA 0800 123 4567 9,99", "LOJA"),
+        (lines.line_description, "12/08 LOJA PC - 3 OUTRA 9,99", "LOJA"),
     ],
 )
 def test_scalar(spark, fn, given, wanted):
@@ -67,7 +71,8 @@ def test_installments(spark, text, wanted):
 
 @pytest.mark.parametrize(
     "text, wanted",
-    [("12/08 LOJA BOA 03/10 99,90", (3, 10)), ("03/10 99,90", None), ("12/08 LOJA COMPRIDA 12/10 9,90", None)],
+    [("12/08 LOJA BOA 03/10 99,90", (3, 10)), ("03/10 99,90", None), ("12/08 LOJA COMPRIDA 12/10 9,90", None),
+     ("12/08 LOJA 02/03 " + "um nome muito comprido " * 9 + "9,90", (2, 3)), ("05/12 A 1,00", None), ("LOJA 05/12 1,00", (5, 12))],
 )
 def test_line_installments(spark, text, wanted):
     got = value(spark, lines.line_installments(F.lit(text)))

@@ -1,135 +1,98 @@
-"""Statement parsing against a line-by-line walk of the same rules, layout and exports."""
-
-import random
-import re
-import unicodedata
+"""Statement parsing on written-out statements, layout and exports."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from caderneta.operators import automaton, export, layout, recon, statement
 
-AMOUNT = r"\d{1,3}(?:\.\d{3})*,\d{2}"
-TXN = re.compile(rf"(\d{{1,4}}/\d{{2}})(.*?)(-?{AMOUNT})")
-HEADER = re.compile(r"([a-z][a-z\s]*?)\s*\(final\s*(\d{4})\)", re.I)
-SUMMARY = re.compile(rf"lancamentos\s*(?:no\s*)?cartao\s*\(final\s*(\d{{4}})\)\s+({AMOUNT})", re.I)
-
-
-def plain(text):
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-
-
-def walk(lines):
-    """(line number, card, section, date, text, amount) per transaction, and the printed totals."""
-    section, card, prev, summed, holders = None, None, None, None, {}
-    out, totals = [], {}
-
-    def emit(no, text, owner):
-        for m in TXN.finditer(re.sub(r"-\s+(?=\d)", "-", text)):
-            if section != "buy" or owner is not None:
-                out.append((no, owner if section == "buy" else None, m.group(1), m.group(2).strip(), m.group(3)))
-
-    def label(digits):
-        return f"Final {digits} - {holders[digits]}" if digits in holders else f"Final {digits}"
-
-    for no, raw in enumerate(lines):
-        line = raw.strip()
-        norm = plain(line).lower()
-        has = lambda *w: all(x in norm for x in w)  # noqa: E731, B023
-        txn = bool(TXN.search(line))
-        if not line:
-            continue
-        if has("lancamentos", "compras", "saques"):
-            section = "buy"
-            continue
-        if has("lancamentos", "produtos", "servicos"):
-            section, card = "prod", None
-            continue
-        parceled = has("compras", "parceladas", "proximas", "faturas")
-        if parceled and not txn:
-            section, card = "skip", None
-            continue
-        if has("encargos", "cobrados", "nesta", "fatura") and not txn and section != "prod":
-            section, card = "skip", None
-            continue
-        if has("limites", "credito") and not txn:
-            section = "skip" if card is None else section
-            continue
-        if norm.startswith(statement.STOP_LINES):
-            break
-        if norm.startswith(statement.HEADING_LINES):
-            continue
-        head, total = HEADER.search(norm), SUMMARY.search(norm)
-        if total:
-            totals[total.group(1)] = total.group(2)
-        header = bool(head) and not any(w in head.group(1) for w in ("lancamentos", "cartao", "total", "limites"))
-        if header:
-            holders[head.group(2)] = " ".join(head.group(1).upper().split())
-            new, summed = label(head.group(2)), None
-            section = "buy" if section == "skip" else section
-            switch = txn and prev is not None and prev != new
-            if switch:
-                emit(no, HEADER.sub("", line).strip(), prev)
-            prev, card = card, new
-            if switch or not txn:
-                continue
-        if total:
-            summed = label(total.group(1))
-            if not txn:
-                continue
-        if section not in ("buy", "prod"):
-            continue
-        at = norm.find("lancamentos no cartao (final")
-        text = line[:at].strip() if at >= 0 else line
-        if parceled and norm.find("compras") > 0:
-            text = text[: norm.find("compras")].strip()
-        if header:
-            text = HEADER.sub("", plain(text)).strip()
-        emit(no, text, summed if summed and summed != card and not header else card)
-    return out, totals
-
-
-PIECES = [
-    "Lançamentos: compras e saques", "Lançamentos: produtos e serviços", "Compras parceladas - próximas faturas",
-    "Encargos cobrados nesta fatura", "Limites de crédito", "DATA ESTABELECIMENTO VALOR EM R$",
-    "MARIA DA SILVA (final 1111)", "João Souza (final 2222)", "PEDRO LIMA (final 3333) 03/04 BAR 1,00",
-    "MARIA DA SILVA (final 1111) 05/06 CAFÉ 2,00", "Lançamentos no cartão (final 1111) 1.234,56",
-    "07/08 PÃO 3,00 Lançamentos no cartão (final 2222) 9,99", "Lançamentos no cartão (final 4444) 8,88",
-    "09/10 MERCADO 02/03 45,00", "11/12 ESTORNO - 6,00 01/02 LOJA 7,00", "02/03 X 4,00 Compras parceladas - próximas faturas",
-    "texto solto", "", "10/10 AÇAÍ 1.000,00",
-]
-STOP = "Total dos lançamentos atuais 1,00"
+# Each statement: its lines, and the items (line, card, month-day, description, amount, flux, installments) it must yield.
+STATEMENTS = {
+    "one card": (
+        ["Fatura 2024", "Lançamentos: compras e saques", "MARIA DA SILVA (final 1111)", "DATA ESTABELECIMENTO VALOR EM R$",
+         "05/06 CAFÉ 2,00", "texto solto", "", "11/12 ESTORNO - 6,00 01/02 LOJA 7,00", "09/10 MERCADO 02/03 45,00"],
+        [(4, "Final 1111 - MARIA DA SILVA", "06-05", "CAFÉ", "2.00", "Saida", None), (7, "Final 1111 - MARIA DA SILVA", "12-11", "ESTORNO", "6.00", "Entrada", None),
+         (7, "Final 1111 - MARIA DA SILVA", "02-01", "LOJA", "7.00", "Saida", None), (8, "Final 1111 - MARIA DA SILVA", "10-09", "MERCADO", "45.00", "Saida", 3)],
+    ),
+    "no card yet": (
+        ["2024", "05/06 BEFORE 1,00", "Lançamentos: compras e saques", "05/06 NOBODY 2,00", "Lançamentos: produtos e serviços", "05/06 FEE 3,00"],
+        [(5, None, "06-05", "FEE", "3.00", "Saida", None)],
+    ),
+    "ignored parts": (
+        ["2024", "Lançamentos: compras e saques", "JOÃO SOUZA (final 2222)", "01/02 A 1,00", "Limites de crédito", "02/02 B 2,00",
+         "Compras parceladas - próximas faturas", "03/02 C 3,00", "JOÃO SOUZA (final 2222)", "04/02 D 4,00", "Encargos cobrados nesta fatura", "05/02 E 5,00"],
+        [(3, "Final 2222 - JOAO SOUZA", "02-01", "A", "1.00", "Saida", None), (5, "Final 2222 - JOAO SOUZA", "02-02", "B", "2.00", "Saida", None),
+         (9, "Final 2222 - JOAO SOUZA", "02-04", "D", "4.00", "Saida", None)],
+    ),
+    "charges inside services": (
+        ["2024", "Lançamentos: produtos e serviços", "01/02 A 1,00", "Encargos cobrados nesta fatura", "02/02 B 2,00", "Limites de crédito", "03/02 C 3,00"],
+        [(2, None, "02-01", "A", "1.00", "Saida", None), (4, None, "02-02", "B", "2.00", "Saida", None)],
+    ),
+    "the end": (
+        ["2024", "Lançamentos: compras e saques", "MARIA DA SILVA (final 1111)", "01/02 A 1,00", "Total dos lançamentos atuais 1,00", "02/02 B 2,00"],
+        [(3, "Final 1111 - MARIA DA SILVA", "02-01", "A", "1.00", "Saida", None)],
+    ),
+    "cut at the next part": (
+        ["2024", "Lançamentos: compras e saques", "MARIA DA SILVA (final 1111)", "02/03 X 4,00 Compras parceladas - próximas faturas", "05/03 Y 1.000,00"],
+        [(3, "Final 1111 - MARIA DA SILVA", "03-02", "X", "4.00", "Saida", None), (4, "Final 1111 - MARIA DA SILVA", "03-05", "Y", "1000.00", "Saida", None)],
+    ),
+    "header with a purchase": (
+        ["2024", "Lançamentos: compras e saques", "MARIA DA SILVA (final 1111)", "PEDRO LIMA (final 3333)", "01/02 A 1,00", "MARIA DA SILVA (final 1111) 05/06 LATE 2,00", "06/06 C 3,00"],
+        [(4, "Final 3333 - PEDRO LIMA", "02-01", "A", "1.00", "Saida", None), (5, "Final 1111 - MARIA DA SILVA", "06-05", "LATE", "2.00", "Saida", None),
+         (6, "Final 1111 - MARIA DA SILVA", "06-06", "C", "3.00", "Saida", None)],
+    ),
+    "total of another card": (
+        ["2024", "Lançamentos: compras e saques", "MARIA DA SILVA (final 1111)", "01/02 A 1,00", "Lançamentos no cartão (final 2222) 9,99", "02/02 B 2,00",
+         "MARIA DA SILVA (final 1111)", "03/02 C 3,00"],
+        [(3, "Final 1111 - MARIA DA SILVA", "02-01", "A", "1.00", "Saida", None), (5, "Final 2222", "02-02", "B", "2.00", "Saida", None),
+         (7, "Final 1111 - MARIA DA SILVA", "02-03", "C", "3.00", "Saida", None)],
+    ),
+}
 
 
 @pytest.mark.parametrize("fold", [4, 1024])
-def test_against_walk(spark, monkeypatch, fold):
+def test_written_statements(spark, monkeypatch, fold):
     monkeypatch.setattr(automaton, "ROWS_PER_FOLD", fold)
     monkeypatch.setattr(export, "LINES_PER_CHUNK", fold)
-    rng = random.Random(5)
-    docs = {f"d{i}": [rng.choice(PIECES) for _ in range(rng.choice([5, 30, 60]))] for i in range(40)}
-    for name in ("d1", "d2"):
-        docs[name].insert(10 if len(docs[name]) > 10 else 2, STOP)
-    rows = [(d, n, text) for d, texts in docs.items() for n, text in enumerate(texts)]
+    rows = [(name, n, text) for name, (texts, _) in STATEMENTS.items() for n, text in enumerate(texts)]
     lines = spark.createDataFrame(rows, "doc_id string, line_no long, line string")
-    items, rejects, controls = statement.parse(lines, 2025, keep_repeats=True)
-    got, want, want_totals = [], [], {}
-    for r in items.collect():
-        got.append((r["doc_id"], r["line_no"], r["last4"], str(r["date"])[5:], str(r["amount"]), r["flux"], r["parcelas"]))
-    for d, texts in docs.items():
-        found, totals = walk(texts)
-        want_totals.update({(d, c): t for c, t in totals.items()})
-        for no, card, date, text, amount in found:
-            inst = re.findall(r"(\d{2})/(\d{2})", text)
-            day, month = date.split("/")
-            want.append((d, no, card, f"{month}-{day.lstrip('0').zfill(2)[-2:]}", amount.replace(".", "").replace(",", ".").lstrip("-"),
-                         "Entrada" if amount.startswith("-") else "Saida", int(inst[-1][1]) if inst else None))
-    assert sorted(got, key=str) == sorted(want, key=str)
-    assert len(want) > 150
-    got_totals = {(r["doc_id"], r["card"]): r["control_total"] for r in controls.collect()}
-    assert {k: f"{v:,.2f}" for k, v in got_totals.items()} == {k: t.replace(".", "#").replace(",", ".").replace("#", ",") for k, t in want_totals.items()}
+    items, rejects, controls = statement.parse(lines, keep_repeats=True)
+    got = {}
+    for r in items.orderBy("doc_id", "line_no", "match_no").collect():
+        got.setdefault(r["doc_id"], []).append(
+            (r["line_no"], r["last4"], str(r["date"])[5:], r["description"], str(r["amount"]), r["flux"], r["parcelas"])
+        )
+    for name, (_, wanted) in STATEMENTS.items():
+        assert got.get(name, []) == wanted, name
+    assert {(r["doc_id"], r["card"], str(r["control_total"])) for r in controls.collect()} == {("total of another card", "2222", "9.99")}
     assert rejects.count() == 0
 
 
+def test_year_anywhere_or_reject(spark):
+    texts = [*["x"] * 150, "Emitida em 2023", "Lançamentos: produtos e serviços", "01/02 A 1,00"]
+    rows = [("late", i, t) for i, t in enumerate(texts)] + [("none", i, t) for i, t in enumerate(texts) if "2023" not in t]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no long, line string")
+    items, rejects, _ = statement.parse(lines)
+    assert [(r["doc_id"], str(r["date"])) for r in items.collect()] == [("late", "2023-02-01")]
+    assert [(r["doc_id"], r["reason"]) for r in rejects.collect()] == [("none", "no year")]
+    assert {str(r["date"]) for r in statement.parse(lines, 2020)[0].collect()} == {"2023-02-01", "2020-02-01"}
+
+
+def test_transitions():
+    """Rows of the transition table; a state is section * 2 + whether a card is known."""
+    s, step = statement, statement.TRANSITIONS
+    states = range(s.STOPPED)
+    assert all(step[s.OPEN_PURCHASES][x] == s.PURCHASES * 2 + x % 2 for x in states)
+    assert all(step[s.OPEN_PRODUCTS][x] == s.PRODUCTS * 2 for x in states)
+    assert all(step[s.LEAVE][x] == s.IGNORED * 2 for x in states)
+    assert all(step[s.LIMITS][x] == (x if x % 2 else s.IGNORED * 2) for x in states)
+    assert all(step[s.STOP][x] == s.STOPPED for x in states)
+    assert all(step[s.HEADING][x] == step[s.NOTHING][x] == x for x in states)
+    assert all(step[s.HEADER][x] == (s.PURCHASES * 2 + 1 if x // 2 == s.IGNORED else x | 1) for x in states)
+    charges = s.CHARGES + s.NOTHING
+    assert all(step[charges][x] == (x if x // 2 == s.PRODUCTS else s.IGNORED * 2) for x in states)
+    assert all(row[s.STOPPED] == s.STOPPED for row in step)
+
+
 def test_repeats_rejects_and_recon(spark):
     texts = ["2024", "Lançamentos: compras e saques", "ANA MARIA (final 1234)", "01/02 A 10,00", "01/02 A 10,00", "31/02 B 5,00",
              "02/02 C - 3,00", "Lançamentos no cartão (final 1234) 8,00", "Lançamentos: produtos e serviços", "03/02 SEGURO 1,00"]
