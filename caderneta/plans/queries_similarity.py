@@ -23,10 +23,8 @@ def gram_sql(name: str, source: str, key: str) -> str:
 INDEX_SQL = f"""hist AS (SELECT doc_id, lang, {similarity_sql("text")} AS t FROM documents),
    n AS (SELECT count(*) AS n FROM hist),
    {gram_sql("hg", "hist", "doc_id")},
-   vocab AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY total_tf DESC, term) AS place FROM (
-       SELECT term, count(*) AS df, sum(tf) AS total_tf FROM hg GROUP BY 1), n
-       WHERE df >= greatest(1, floor(0.01 * n)) AND df <= n * least(0.95, greatest(0.5, 1 - 2.0 / n))) WHERE place <= least(10000, 2 * n)),
-   idf AS (SELECT term, df, total_tf, ln((1.0 + n) / (1.0 + df)) + 1 AS idf FROM vocab)"""
+   idf AS (SELECT term, df, total_tf, ln((1.0 + n) / (1.0 + df)) + 1 AS idf
+           FROM (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM hg GROUP BY 1), n)"""
 
 SCORE_SQL = f"""{INDEX_SQL},
    qry AS (SELECT item_id, {similarity_sql("trim(text)")} AS t FROM benchmark),
@@ -105,9 +103,3 @@ def jaccard_best(spark, sf_dir):
         F.max_by(F.struct("ex_id", "words"), F.struct(F.col("words"), -F.col("ex_id"))).alias("b")
     )
     return best.select(F.col("l").alias("text"), "b.ex_id", F.round("b.words", 6).alias("score"))
-
-
-@query("q_hybrid_best")
-def hybrid_best(spark, sf_dir):
-    texts, examples = _names(spark, sf_dir)
-    return S.lexical_best(texts, "text", examples, 0.75)

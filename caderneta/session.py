@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a lookup table may have before it is no longer sent to every executor.
-BROADCAST_ROWS = 20_000
-
 
 def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "caderneta") -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
@@ -61,7 +58,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
