@@ -126,16 +126,22 @@ def retrain(
     spark: SparkSession, folder: str, ledger_path: str, root: str, model_path: str, version: str,
     training: model.Training = model.Training(), kinds: Sequence[str] = (model.LOGISTIC, model.CALIBRATED_SVC), folds: int = 5,
 ) -> dict:
-    """Collect new corrections, merge, write a version, train, check, save, and only then ledger the files."""
+    """Collect new corrections, merge, write a version, ledger the files, train, check and save.
+
+    Files that are refused or empty are ledgered also when the job stops early, so they are not read again for ever;
+    good files stay pending until their rows are written.
+    """
     base = sinks.current(spark, root)
     if base is None:
         raise ValueError(f"no base version under {root}")
     rows, files = feedback.collect_new(spark, folder, ledger_path)
     checked = check_integration(base, rows)
     if not checked.success:
+        feedback.append_ledger(files.filter("status <> 'ok'"), ledger_path)
         return {"success": False, "error": checked.error}
     written = sinks.write_version(merge_base(base, rows), root, version, base.columns)
     if not written["success"]:
+        feedback.append_ledger(files.filter("status <> 'ok'"), ledger_path)
         return written
     # The ledger follows the write: a failure before this line loses no file, one after it repeats none.
     feedback.append_ledger(files, ledger_path)

@@ -28,6 +28,7 @@ def flatten_predictions(df: DataFrame, transaction: str = "transaction", predict
 # --- versions: <root>/data/v=<version> and a pointer row per accepted version ------------------
 
 POINTER = "v string, rows bigint, delta bigint, written_at timestamp"
+# Versions are as new as their writing; names need not sort.
 
 
 def _pointer(spark: SparkSession, root: str) -> DataFrame:
@@ -41,12 +42,12 @@ def _pointer(spark: SparkSession, root: str) -> DataFrame:
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
     """Accepted versions, newest first."""
-    return _pointer(spark, root).orderBy(F.desc("v"))
+    return _pointer(spark, root).orderBy(F.desc("written_at"), F.desc("v"))
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest accepted version, None before the first."""
-    newest = _pointer(spark, root).agg(F.max("v")).first()[0]
+    newest = _pointer(spark, root).agg(F.max_by("v", F.struct("written_at", "v"))).first()[0]
     return None if newest is None else spark.read.parquet(f"{root}/data/v={newest}")
 
 
@@ -57,7 +58,7 @@ def write_version(df: DataFrame, root: str, version: str, columns: Sequence[str]
     nothing was overwritten, so there is nothing to restore.
     """
     spark = df.sparkSession
-    before = _pointer(spark, root).agg(F.max_by("rows", "v")).first()[0] or 0
+    before = _pointer(spark, root).agg(F.max_by("rows", F.struct("written_at", "v"))).first()[0] or 0
     path = f"{root}/data/v={version}"
     df.write.mode("error").parquet(path)
     written = spark.read.parquet(path)
@@ -85,7 +86,7 @@ def retention(snapshots: DataFrame, version: str = "v", keep: int = 5) -> DataFr
 
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 5) -> list[str]:
     """Delete the data of all but the newest versions; the pointer history stays."""
-    old = [r["v"] for r in retention(_pointer(spark, root).select("v").distinct(), keep=keep).filter("NOT keep").collect()]
+    old = [r["v"] for r in retention(_pointer(spark, root).groupBy("v").agg(F.max("written_at").alias("at")), "at", keep).filter("NOT keep").collect()]
     jvm = spark._jvm
     for v in old:
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/data/v={v}")

@@ -65,6 +65,14 @@ def test_items(spark, tmp_path):
     assert spark.read.parquet(out).groupBy("ingest_date").count().count() == 2
 
 
+def test_newest_version_is_the_last_written(spark, tmp_path):
+    root = str(tmp_path / "v")
+    for name, rows in (("2024-9", 2), ("2024-10", 3)):
+        assert sinks.write_version(spark.range(rows), root, name, ["id"])["success"]
+    assert sinks.current(spark, root).count() == 3
+    assert sinks.drop_old_versions(spark, root, keep=1) == ["2024-9"]
+
+
 def test_versions(spark):
     root = scratch_path(spark, "root")
     assert sinks.current(spark, root) is None
