@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from caderneta.plans import catalog
 from tests.compare import check, connect
 
 SF = "/root/testdata/sf0.001"
-PLANS, SQL = E.queries(), E.oracle_sql()
+catalog.load()
+PLANS, SQL = catalog.PLANS, catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +24,7 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert E.entry(spark).columns == ["method_used", "n", "pct"]
+
+
+def test_entry_points_offer_the_catalog():
+    assert set(PLANS) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql()) <= set(E.queries())
