@@ -101,18 +101,16 @@ class Fingerprints:
         exact = hashlib.sha256(text.encode()).hexdigest()[:EXACT_DIGITS]
         place = self._place
         found = np.array(sorted(place[t] for t in terms(text) if t in place), np.int64)
-        level, hashes = self._level[found], self._hash[found]
-        out = []
-        for k in range(1, LEVELS + 1):
-            inside = level >= k
-            some = inside.any(axis=1)
-            inside, own = inside[some], hashes[some]
-            total = np.zeros(SUBSETS, np.uint64)
-            # The hash of the sorted terms in each subset; a term that isn't in it leaves its hash alone.
-            for member, h in zip(inside, own, strict=True):
-                total[member] = ((total[member] ^ h) * _SPREAD) ^ (h >> np.uint64(31))
-            out.append(np.where(inside.any(axis=0) if len(own) else False, np.maximum(total >> np.uint64(52), np.uint64(1)), 0))
-        return exact + "".join(f"{x:03x}" for x in np.concatenate(out).tolist())
+        # Equal sorted lists of terms have equal sums of term hashes: first by each term's last level, then over all levels from there on.
+        level, hashes = self._level[found].astype(np.int64), self._hash[found]
+        cell = (level * SUBSETS + np.arange(SUBSETS)).ravel()
+        sums = np.zeros((LEVELS + 1) * SUBSETS, np.uint64)
+        np.add.at(sums, cell, np.repeat(hashes, SUBSETS))
+        held = np.bincount(cell, minlength=len(sums))
+        sums, held = (x.reshape(-1, SUBSETS)[::-1].cumsum(axis=0, dtype=x.dtype)[::-1][1:] for x in (sums, held))
+        mixed = (sums ^ (sums >> np.uint64(31))) * _SPREAD
+        out = np.where(held > 0, np.maximum(mixed >> np.uint64(52), np.uint64(1)), np.uint64(0))
+        return exact + "".join([f"{x:03x}" for x in out.ravel().tolist()])
 
 
 def likeness(a: str, b: str) -> float:
@@ -120,15 +118,15 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     grids = [
-        np.array([int(f[i : i + HASH_DIGITS], 16) for i in range(EXACT_DIGITS, len(f), HASH_DIGITS)]).reshape(LEVELS, SUBSETS)
-        for f in (a, b)
+        np.frombuffer(f[EXACT_DIGITS:].encode(), f"S{HASH_DIGITS}").reshape(LEVELS, SUBSETS) for f in (a, b)
     ]
-    filled = [(g > 0).mean(axis=1) for g in grids]
+    held = [g != b"0" * HASH_DIGITS for g in grids]
+    filled = [h.mean(axis=1) for h in held]
     suits = (filled[0] <= MOST_FILLED) & (filled[1] <= MOST_FILLED)
     suits[-1] = True
-    x, y = (g[suits] for g in grids)
-    used = (x > 0) | (y > 0)
-    return float(((x == y) & used).sum() / used.sum()) if used.any() else 0.0
+    used = (held[0] | held[1])[suits]
+    same = (grids[0] == grids[1])[suits]
+    return float((same & used).sum() / used.sum()) if used.any() else 0.0
 
 
 def _bucket_of(docs: DataFrame, doc_id: str, parts: int) -> Column:
