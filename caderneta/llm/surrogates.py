@@ -75,7 +75,8 @@ PATTERNS: list[tuple[str, str]] = [
 ]
 _FIND = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in PATTERNS))
 # Every text with an entity passes this: other kinds need one of these characters, names two words with capitals in a row or a title with a dot.
-MAY_HOLD = r"[@0-9=:]|(?<!\p{L})\p{Lu}\p{L}*+[ \t\xa0]++\p{Lu}|\b(?:" + _ANY_TITLE + r")\.[ \t\xa0]"
+# Each branch begins with a class of characters, which most places in a text fail at once.
+MAY_HOLD = r"[@0-9=:]|\p{Lu}(?<!\p{L}\p{Lu})\p{L}*+[ \t\xa0]++\p{Lu}|(?=\p{Lu})\b(?:" + _ANY_TITLE + r")\.[ \t\xa0]"
 
 
 def luhn_digit(digits: str) -> str:
