@@ -1,6 +1,7 @@
 """I-Match fingerprints with randomised lexicons.
 
-The lexicon holds the terms whose document frequency lies in a band of shares, that is, whose inverse document frequency lies in a band. For each of
+The lexicon holds the terms whose document frequency lies in a band of shares, that is, whose inverse document frequency lies in a band. Frequencies
+and shares are those of distinct texts, so copies of a text, however many, don't lift its terms out of the band. For each of
 several random subsets of the lexicon, the distinct terms of a text that lie in the subset are sorted and hashed.
 Subsets come in levels of halving size, each inside the one above, so that short and long texts both find levels where a subset holds about one of their
 terms. Two texts are alike in the share of subsets whose hashes agree, over the levels where subsets are small enough for both.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caderneta.llm.common import col, partitions, short_batches
+from caderneta.session import materialise
 
 LEAST_SHARE, MOST_SHARE = 0.002, 0.1
 LEVELS, SUBSETS = 11, 12
@@ -43,8 +45,16 @@ def terms(text: str) -> set[str]:
     return set(_TERM.findall(text.lower()))
 
 
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text): each text once, null as the empty one. Of all texts only hashes are shuffled; texts whose hash occurs again are compared whole."""
+    keyed = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    again = materialise(keyed.groupBy("h").count().filter("count > 1").select("h"), "imatch-repeated")
+    once = keyed.join(again, "h", "left_anti")
+    return once.select("text").unionByName(keyed.join(again, "h", "left_semi").select("h", "text").distinct().select("text"))
+
+
 def lexicon(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> list[str]:
-    """Sorted terms whose document frequency is a share of all rows inside the band, counted over all rows and whole texts."""
+    """Sorted terms that a share of the distinct texts inside the band holds, counted over all rows and whole texts."""
     short_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +62,7 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHAR
         rows = distinct = 0
 
         def hand_on() -> pa.RecordBatch:
-            # The empty term counts rows, a blank one the distinct terms of all of them; neither is a word.
+            # The empty term counts texts, a blank one the distinct terms of all of them; neither is a word.
             names, n = [*found, "", " "], [*found.values(), rows, distinct]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], ["term", "n"])
 
@@ -68,7 +78,7 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHAR
                 rows = distinct = 0
         yield hand_on()
 
-    counted = docs.select(col(text)).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = distinct_texts(docs, text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
         totals = {r["term"]: r["n"] for r in counted.filter("term in ('', ' ')").collect()}

@@ -58,3 +58,24 @@ def test_nulls_ties_repeats_and_empty(spark):
     assert got == {r[:3] for r in slow(order, [])}
     assert imatch.compare(df.limit(0)).count() == 0
     assert imatch.compare(df.filter("doc_id = 5")).first()["near_next"] == 1.0
+
+
+def test_a_text_of_a_third_of_the_rows_keeps_its_terms(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"t{i}w{r.randrange(10**6)}" for _ in range(80)) for i in range(61)]
+    rows = [x for i, text in enumerate(texts[1:]) for x in ([text, texts[0]] if i % 2 else [text])]
+    assert 3 * rows.count(texts[0]) == len(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert set(imatch.lexicon(df)) == {t for x in texts for t in imatch.terms(x)}
+    got = {r["doc_id"]: r for r in imatch.compare(df).collect()}
+    hot = [got[i] for i, x in enumerate(rows) if x == texts[0]]
+    assert len(hot) == 30 and all(r["near_edited"] > 0.3 for r in hot)
+
+
+def test_query_counts_distinct_texts(spark):
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    texts = {x for _, x in docs}
+    df = Counter(t for x in texts for t in imatch.terms(x))
+    words = sorted(t for t, n in df.items() if imatch.LEAST_SHARE * len(texts) <= n <= imatch.MOST_SHARE * len(texts))
+    got = [tuple(r) for r in E.queries()["op7_imatch"](spark, SF).collect()]
+    assert len(texts) < len(docs) and sorted(got) == sorted(slow(docs, words))
