@@ -11,6 +11,7 @@ the ids of (draw, segment) in a bounded cache.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -256,6 +257,37 @@ def encode(
     return docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(
+    docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", rate: float = RATE, seed: int = 0, draws: int = DRAWS
+) -> DataFrame:
+    """(doc_id, ids, decoded_chars, decoded_sha256) for every row: the ids of ``encode``, and the text that ``Codec.decode`` makes of these ids.
+
+    Encoding and decoding share one pass, so the ids aren't sent to the workers a second time.
+    """
+    short_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model, rate, seed, draws)
+        for batch in batches:
+            found = codec.encode_batch([v or "" for v in batch.column(1).to_pylist()])
+            lengths, sums = [], []
+            for ids in found:
+                back = codec.decode(ids.tolist())
+                lengths.append(len(back))
+                sums.append(hashlib.sha256(back.encode()).hexdigest())
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.empty(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, pa.array(lengths, pa.int64()), pa.array(sums, pa.string())],
+                ["doc_id", "ids", "decoded_chars", "decoded_sha256"],
+            )
+
+    return docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(
+        run, "doc_id long, ids array<int>, decoded_chars long, decoded_sha256 string"
+    )
+
+
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) for every row; null ids give an empty text."""
     short_batches(encoded.sparkSession)

@@ -15,5 +15,5 @@ from caderneta.llm.registry import query
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under dropout, and the length and checksum of the text that they decode to."""
     model = tokenizer_path("piece_bpe_32k.model")
-    encoded = merge_dropout.encode(table(spark, sf_dir, "documents"), model)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    both = merge_dropout.round_trip(table(spark, sf_dir, "documents"), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_chars", "decoded_sha256")

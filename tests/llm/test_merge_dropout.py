@@ -1,5 +1,6 @@
 """Merge-dropout encoding and decoding."""
 
+import hashlib
 import re
 
 import pytest
@@ -62,3 +63,21 @@ def test_nulls_repeats_and_empty(spark):
     rows = M.encode(df, PATH, rate=0.0).collect()
     assert sorted((str(r["doc_id"]), len(r["ids"])) for r in rows) == [("1", 0), ("2", 2), ("2", 2), ("None", 0)]
     assert M.encode(df.limit(0), PATH).count() == 0 and M.decode(M.encode(df, PATH), PATH).count() == 4
+
+
+def test_query_decodes_the_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = E.queries()["op3_merge_dropout"](spark, SF).collect()
+    assert {r["doc_id"]: (r["decoded_chars"], r["decoded_sha256"]) for r in rows} == {
+        k: (len(x), hashlib.sha256(x.encode()).hexdigest()) for k, x in texts.items()
+    }
+
+
+def test_decoded_columns_come_from_the_ids(spark):
+    df = spark.createDataFrame([(1, x) for x in ODD] + [(1, None)], "doc_id long, text string")
+    rows = M.round_trip(df, PATH, rate=0.5, seed=3).collect()
+    codec = M.Codec(PATH, 0.0)
+    assert len(rows) == len(ODD) + 1
+    for r in rows:
+        back = codec.decode(r["ids"])
+        assert (r["decoded_chars"], r["decoded_sha256"]) == (len(back), hashlib.sha256(back.encode()).hexdigest())
