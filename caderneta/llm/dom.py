@@ -18,11 +18,17 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed values of HTML: elements without content, with raw content, and that stand in a line of text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math canvas textarea select title audio video head".split())
+RAW = set("script style noscript template iframe object svg canvas textarea select title audio video head".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var".split()
 )
+# Formulas stand in a line of text; annotations repeat a formula in another notation and aren't shown.
+INLINE |= set(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+RAW |= {"annotation", "annotation-xml"}
 # What an element's start closes, and where the search for it ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -65,6 +71,11 @@ def _families(attributes: str) -> int:
     return found
 
 
+@lru_cache
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}", re.IGNORECASE | re.ASCII)
+
+
 class Page:
     """Elements in page order (parents first): tag, parent, families, label; and runs: element, text, characters in links."""
 
@@ -72,7 +83,7 @@ class Page:
         self.tag, self.parent, self.families, self.label = ["html"], [-1], [0], [None]
         self.runs: list[tuple[int, str, int]] = []
         stack, pieces, linked, in_link = [0], [], 0, 0
-        at, low = 0, None
+        at = 0
 
         def flush() -> None:
             nonlocal pieces, linked
@@ -109,11 +120,9 @@ class Page:
                     stack = stack or [0]
             elif name in RAW:
                 if name != "head" and not attributes.endswith("/"):
-                    if low is None:
-                        low = html.lower()
-                    stop = low.find(f"</{name}", end)
-                    if stop >= 0:
-                        at = html.find(">", stop) + 1 or len(html)
+                    stop = _end_tag(name).search(html, end)
+                    if stop:
+                        at = html.find(">", stop.start()) + 1 or len(html)
                     elif name in ("script", "style"):
                         at = len(html)
             elif name in VOID:

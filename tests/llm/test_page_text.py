@@ -78,3 +78,15 @@ def test_nulls_repeats_and_empty(spark):
     got = page_text.extract(df).collect()
     assert sorted(r["n_chars"] for r in got)[:2] == [0, 0] and len(got) == 4
     assert page_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("close", ["</script>", "</SCRIPT >"])
+def test_letters_that_grow_in_lower_case_move_no_offset(close):
+    page = dom.Page(f"<body><p>{'\u0130' * 50}</p><script>var a = '<p>no</p>';{close}<p>first words</p><div>more <b>words</b></div><p>last</p></body>")
+    assert [x for _, x, _ in page.runs] == ["\u0130" * 50, "first words", "more words", "last"]
+
+
+def test_formulas_stay_in_their_line():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = {2}</annotation></semantics></math>"
+    page = dom.Page(f"<body><p>where {formula} holds</p></body>")
+    assert [x for _, x, _ in page.runs] == ["where x=2 holds"]
