@@ -62,6 +62,11 @@ _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles.split()}
 _ANY_TITLE = "|".join(sorted(_TITLE_GENDER, key=len, reverse=True))
 _ANY_GIVEN = "|".join(sorted(_GENDER, key=len, reverse=True))
 _BLANK = r"[ \t\xa0]"
+_PARTICLE = r"(?:de|la|las|los|del|della|dei|di|da|do|dos|das|du|des|le|van|von|vom|der|den|ter|ten|zu|zum|zur|af|av|bin|ibn|al|el|y)"
+# One letter with a dot, or without it before a further part.
+_INITIAL = rf"[^\W\d_a-zà-öø-ÿа-яёα-ω](?:\.|(?={_BLANK}+[^\W\d_a-zà-öø-ÿа-яёα-ω]))"
+_LINK = rf"(?:{_INITIAL}{_BLANK}*|{_PARTICLE}{_BLANK}+)*"
+_RUN = rf"{_LINK}{_CAP}(?:{_BLANK}+{_LINK}{_CAP})*"
 
 PATTERNS: list[tuple[str, str]] = [
     ("email", r"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,8}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"),
@@ -70,13 +75,16 @@ PATTERNS: list[tuple[str, str]] = [
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"),
     ("card", r"(?<![\d+])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
-    ("name", rf"(?<!\w)(?:(?P<title>{_ANY_TITLE})\.?{_BLANK}+(?P<titled>{_CAP}(?:{_BLANK}+{_CAP}){{0,2}})|(?P<given>{_ANY_GIVEN}){_BLANK}+(?P<family>{_CAP}))(?!\w)"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+     r"|(?<![\w+.-])00[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+     r"|(?<![\w+.-])0[1-9]\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,8}){0,4}(?![\d-])|(?<![\w+.-])0[1-9](?:[ .-]\d{2}){4}(?![\d-])"
+     r"|(?<![\w+])\(0\d{1,4}\)[ .-]?\d{2,8}(?:[ -]\d{2,8}){0,3}(?!\d)|(?<![\w+.-])[1-9]\d{2} \d{3} \d{4}(?![\d-])"),
+    ("name", rf"(?<!\w)(?:(?P<title>{_ANY_TITLE})\.?{_BLANK}+(?P<titled>{_RUN})|(?P<given>{_ANY_GIVEN}){_BLANK}+(?P<family>{_RUN}))(?!\w)"),
 ]
 _FIND = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in PATTERNS))
-# Every text with an entity passes this: other kinds need one of these characters, names two words with capitals in a row or a title with a dot.
+# Every text with an entity passes this: other kinds need one of these characters, names two words with capitals in a row, one before a particle, or a title with a dot.
 # Each branch begins with a class of characters, which most places in a text fail at once.
-MAY_HOLD = r"[@0-9=:]|\p{Lu}(?<!\p{L}\p{Lu})\p{L}*+[ \t\xa0]++\p{Lu}|(?=\p{Lu})\b(?:" + _ANY_TITLE + r")\.[ \t\xa0]"
+MAY_HOLD = r"[@0-9=:]|\p{Lu}(?<!\p{L}\p{Lu})\p{L}*+[ \t\xa0]++\p{Lu}|(?=\p{Lu})\b(?:" + _ANY_TITLE + r")\.[ \t\xa0]|\p{Lu}(?<!\p{L}\p{Lu})\p{L}++[ \t\xa0]++" + _PARTICLE + r"[ \t\xa0]"
 
 
 def luhn_digit(digits: str) -> str:
@@ -136,17 +144,18 @@ def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
     if m["given"]:
-        parts, gender = [m.span("given"), m.span("family")], _GENDER[m["given"]]
+        begin, gender = m.start("family"), _GENDER[m["given"]]
+        parts = [m.span("given")] + [(begin + w.start(), begin + w.end()) for w in re.finditer(rf"(?<!\w){_CAP}", m["family"])]
     else:
         begin, gender = m.start("titled"), _TITLE_GENDER[m["title"]]
-        parts = [(begin + w.start(), begin + w.end()) for w in re.finditer(_CAP, m["titled"])]
+        parts = [(begin + w.start(), begin + w.end()) for w in re.finditer(rf"(?<!\w){_CAP}", m["titled"])]
         first = m.string[slice(*parts[0])]
         gender = _GENDER.get(first, gender) if gender == "x" else gender
     if not all(m.string[a].isupper() for a, _ in parts):
         return
     for i, (a, b) in enumerate(parts):
         word = m.string[a:b]
-        given = len(parts) > 1 and i < len(parts) - 1
+        given = len(parts) > 1 and i < len(parts) - 1 and (i == 0 or not m["given"] or word in _GENDER)
         yield a, b, f"given {gender} {script_of(word)}" if given else f"family {script_of(word)}", word.casefold()
 
 
@@ -215,7 +224,8 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
         rest = "".join(_same_kind(c, draw) for c in value[4:])
         return value[:2] + iban_check(value[:2], rest) + rest
     if kind == "phone":
-        kept = 2 if value[0] == "+" else 0  # sign and first digit of the country code
+        # Sign and first digit of the country code, or the prefix of zeros.
+        kept = 2 if value[0] == "+" else len(value) - len(value[:-1].lstrip("0")) - 1
         return value[:kept] + "".join(str(1 + draw(9)) if c == value[kept] and i == 0 else str(draw(10)) for i, c in enumerate(value[kept:]))
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdefABCDEF" for c in value)

@@ -93,3 +93,33 @@ def test_cheap_test_rules_out_nothing(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     passed = {r["text"] for r in df.filter(df["text"].rlike(S.MAY_HOLD)).collect()}
     assert all(t in passed for t in texts if S.find(t))
+
+
+NAMES = {
+    "Maria García López": "Maria García López", "Mr John Ronald Reuel Tolkien": "John Ronald Reuel Tolkien", "John F. Kennedy": "John Kennedy",
+    "Dr. J. Smith": "Smith", "Dr J. R. R. Tolkien": "Tolkien", "Maria de la Cruz": "Maria Cruz", "Herr von Braun": "Braun",
+}
+PHONES = ["020 7946 0958", "(030) 1234567", "0049 30 1234567", "555 123 4567", "01 23 45 67 89"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_any_length(name):
+    text = f"there {name} went"
+    assert " ".join(text[a:b] for a, b, _, _ in S.find(text)) == NAMES[name]
+
+
+@pytest.mark.parametrize("phone", PHONES)
+def test_national_and_international_phones(phone):
+    text = f"call {phone} now"
+    ((a, b, kind, value),) = S.find(text)
+    assert text[a:b] == phone and kind == "phone"
+    for attempt in range(50):
+        new = S.rendered(phone, kind, S.surrogate("k", kind, value, attempt))
+        assert [k for _, _, k, _ in S.find(f"x {new} y")] == ["phone"] and new != phone
+    assert S.find("on 01-12-2024 and 2024-01-02, 0.125 or 12 000 000") == []
+
+
+def test_cheap_test_passes_new_layouts(spark):
+    texts = [f"there {x} went" for x in [*NAMES, *PHONES]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.filter(df["text"].rlike(S.MAY_HOLD)).count() == len(texts)
