@@ -1,6 +1,7 @@
 """All checkable queries of the corpus operators: importing this module registers them."""
 
 from caderneta.llm import (  # noqa: F401
+    q_content_sort,
     q_hilbert,
     q_imatch,
     q_language_id,
