@@ -2,6 +2,8 @@
 
 from caderneta.llm import (  # noqa: F401
     q_content_sort,
+    q_conversation_repair,
+    q_filter_audit,
     q_hilbert,
     q_imatch,
     q_language_id,
