@@ -1,20 +1,19 @@
 """Interaction of five filters, counted by an incremental stream with retractions.
 
 A file stream runs over all files in available-now micro-batches. Four filters look at a text alone; the fifth fails a text that a smaller
-id has too, wherever in the table. The state of a text (by its SHA-256) is the smallest id seen so far and what
+id has too, wherever in the table. The state of a text (by 128 bits of its SHA-256) is the smallest id seen so far and what
 its rows count as. A smaller id that arrives later takes the place; the rows that held it are retracted from their part's counter and counted again
 as copies. Counters of a micro-batch are written under its number, so a batch that runs twice counts once, and a run that broke off goes
 on where it stood. Called again with the same folder, it reads only files that are new.
 
-Rows are combined inside each Arrow batch before every shuffle, so neither a repeated row nor a text with a third of all rows
-sends its rows to one task; the state holds one row for each distinct text, on disk (RocksDB).
+A call of a Python state function costs milliseconds, so the state store's key is a bucket of some thousand texts, and its value a small table
+keyed by text, which a micro-batch updates in one pass. The store is on disk (RocksDB). Rows are combined
+inside each Arrow batch before every shuffle, so neither a repeated row nor a text with a third of all rows sends its rows to one task.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import permutations
 from urllib.parse import unquote
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from caderneta.llm.common import col
+from caderneta.llm.common import col, partitions
 from caderneta.session import scratch_path
 
 FILTERS = "ABCDE"
@@ -34,6 +33,8 @@ ORDERS = ["".join(p) for p in permutations(FILTERS)]
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 MICRO_BATCHES = 4
+# Texts that a bucket of the state is laid out for.
+BUCKET_TEXTS = 2048
 COUNTERS = "part string, mask int, good int, toxic int, delta long"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,7 +59,7 @@ def facts(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
     """(sha, mask, part, has_id, doc_id) of each row; the text goes no further."""
     whole = F.coalesce(col(text), F.lit(""))
     return docs.select(
-        F.sha2(whole, 256).alias("sha"), failures(whole).alias("mask"), F.coalesce(col(part), F.lit("")).alias("part"),
+        F.unhex(F.left(F.sha2(whole, 256), F.lit(32))).alias("sha"), failures(whole).alias("mask"), F.coalesce(col(part), F.lit("")).alias("part"),
         col(key).isNotNull().alias("has_id"), F.coalesce(col(key), F.lit(0)).cast("long").alias("doc_id"),
     )
 
@@ -91,43 +92,50 @@ def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from found.rename_columns([*keys, "doc_id", "at", "n"]).combine_chunks().to_batches()
 
 
-def updated(held: tuple[int, Counter] | None, rows: list[tuple]) -> tuple[tuple[int, Counter] | None, Counter]:
-    """New state of a text and the changes of the counters, from rows (mask, part, good, toxic, has_id, doc_id, at, n).
+ENTRY = ["sha", "mask", "part", "good", "toxic", "doc_id", "n"]
 
-    The state is the smallest id and, for each (part, good, toxic), its number of rows with that id. Rows without an id have no smaller one and
-    are nobody's smaller one.
+
+def updated(held: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """New state of some texts and the changes of the counters.
+
+    ``rows`` has (sha, mask, part, good, toxic, has_id, doc_id, at, n). The state has, for each text, the rows with its smallest id: their part
+    and labels, and how many they are. Rows without an id have no smaller one and are nobody's smaller one.
     """
-    delta: Counter = Counter()
-    first = min((r[5] for r in rows if r[4]), default=None)
-    if first is not None and held is not None and first > held[0]:
-        first = held[0]
-    holders: Counter = Counter()
-    if held is not None and first is not None and held[0] == first:
-        holders = Counter(held[1])
-    for mask, part, good, toxic, has_id, doc_id, at, n in rows:
-        unique = n if not has_id else at if doc_id == first else 0
-        if has_id and unique:
-            holders[part, good, toxic] += unique
-        delta[part, mask, good, toxic] += unique
-        delta[part, mask | COPY, good, toxic] += n - unique
-    if held is not None and first is not None and first < held[0]:
-        mask = rows[0][0]
-        for (part, good, toxic), n in held[1].items():
-            delta[part, mask, good, toxic] -= n
-            delta[part, mask | COPY, good, toxic] += n
-    return (held if first is None else (first, holders)), Counter({k: n for k, n in delta.items() if n})
-
-
-def _on_text(key, frames, state):
-    rows = [r for f in frames for r in f.itertuples(index=False, name=None)]
-    held = None
-    if state.exists:
-        doc_id, packed = state.get
-        held = doc_id, Counter({tuple(k): n for k, n in json.loads(packed)})
+    known = rows[rows["has_id"]]
+    ids = pd.concat([held[["sha", "doc_id"]], known[["sha", "doc_id"]]], ignore_index=True)
+    first = ids.groupby("sha", sort=False)["doc_id"].min()
+    holds = known["doc_id"].to_numpy() == first.reindex(known["sha"]).to_numpy()
+    new = known[holds].assign(n=known["at"][holds])
+    gives_way = held["doc_id"].to_numpy() > first.reindex(held["sha"]).to_numpy()
+    beaten = held[gives_way]
+    copies = known.assign(n=known["n"] - known["at"].where(holds, 0))
+    counted = [
+        (new, 0, 1), (copies, COPY, 1), (rows[~rows["has_id"]], 0, 1), (beaten, 0, -1), (beaten, COPY, 1),
+    ]
+    delta = pd.concat([
+        pd.DataFrame({"part": f["part"], "mask": f["mask"] | bit, "good": f["good"], "toxic": f["toxic"], "delta": f["n"] * sign})
+        for f, bit, sign in counted
+    ])
+    delta = delta.groupby(["part", "mask", "good", "toxic"], as_index=False, sort=False)["delta"].sum()
+    state = pd.concat([held[~gives_way], new[ENTRY]]).groupby(ENTRY[:-1], as_index=False, sort=False)["n"].sum()
+    return state, delta[delta["delta"] != 0]
+
+
+def packed(state: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    content = pa.Table.from_pandas(state[ENTRY], preserve_index=False)
+    with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(content)
+    return sink.getvalue().to_pybytes()
+
+
+def _on_bucket(key, frames, state):
+    rows = pd.concat(frames, ignore_index=True)
+    held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else rows[ENTRY].iloc[:0]
     after, delta = updated(held, rows)
-    if after is not None and after != held:
-        state.update((after[0], json.dumps(list(after[1].items()))))
-    yield pd.DataFrame([(*k, n) for k, n in delta.items()], columns=["part", "mask", "good", "toxic", "delta"])
+    if len(after):
+        state.update((packed(after),))
+    yield delta
 
 
 @contextmanager
@@ -140,7 +148,7 @@ def _setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def changes(found: DataFrame, labels: DataFrame) -> DataFrame:
+def changes(found: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Changes of the counters (``COUNTERS``) from a stream of ``facts``."""
     once = found.mapInArrow(repeats, f"{_schema(found)}, n long")
     # Rows without an id must not meet in one task for the sake of a join in which they find nothing.
@@ -149,20 +157,10 @@ def changes(found: DataFrame, labels: DataFrame) -> DataFrame:
     joined = once.join(flags, (spot == F.col("labelled")) & F.col("has_id"), "left").select(
         *once.columns, F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")
     )
-    brief = "sha string, mask int, part string, good int, toxic int, has_id boolean, doc_id long, at long, n long"
-    grouped = joined.mapInArrow(lowest, brief).groupBy("sha")
-    return grouped.applyInPandasWithState(
-        _without_key(_on_text), COUNTERS, "doc_id long, holders string", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def _without_key(update: Callable):
-    """``update`` on frames without their first column, the key."""
-
-    def run(key, frames, state):
-        return update(key, (f.iloc[:, 1:] for f in frames), state)
-
-    return run
+    brief = "sha binary, mask int, part string, good int, toxic int, has_id boolean, doc_id long, at long, n long"
+    bucket = F.pmod(F.xxhash64("sha"), F.lit(buckets))
+    grouped = joined.mapInArrow(lowest, brief).withColumn("bucket", bucket).groupBy("bucket")
+    return grouped.applyInPandasWithState(_on_bucket, COUNTERS, "texts binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def _schema(df: DataFrame) -> str:
@@ -176,6 +174,14 @@ def _watched(path: str, names: list[str]) -> str:
     return f"{path.rstrip('/')[:-1]}[{own[-1]}]" if alone else path
 
 
+def _buckets(static: DataFrame, path: str) -> int:
+    """Buckets of the state: as laid out by the first call with this folder, four times what its rows ask for."""
+    spark = static.sparkSession
+    wanted = max(4 * partitions(spark), 4 * static.count() // BUCKET_TEXTS)
+    spark.createDataFrame([(wanted,)], "n long").write.mode("ignore").parquet(path)
+    return spark.read.schema("n long").parquet(path).first()["n"]
+
+
 def count(
     spark: SparkSession, path: str, labels: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", part: str = "lang"
 ) -> DataFrame:
@@ -193,13 +199,15 @@ def count(
     names = static.inputFiles()
     files = max(1, -(-len(names) // MICRO_BATCHES))
 
+    buckets = _buckets(static, f"{folder}/buckets")
+
     def write(batch: DataFrame, number: int) -> None:
         sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta"))
         sums.write.mode("overwrite").parquet(f"{stored}/batch={number}")
 
     with _setting(spark, PROVIDER, ROCKS):
         docs = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files).parquet(_watched(path, names))
-        writer = changes(facts(docs, key, text, part), labels).writeStream.outputMode("update").foreachBatch(write)
+        writer = changes(facts(docs, key, text, part), labels, buckets).writeStream.outputMode("update").foreachBatch(write)
         writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     total = F.sum("delta")
     flagged = lambda c: F.coalesce(F.sum(F.when(F.col(c) == 1, F.col("delta"))), F.lit(0))
@@ -222,7 +230,7 @@ def steps(counts: DataFrame) -> DataFrame:
     every = every.withColumns({"here": bit("step"), "before": before})
     mask, here, earlier = F.col("mask"), F.col("here"), F.col("before")
     fails, gone = mask.bitwiseAND(here) != 0, mask.bitwiseAND(earlier) != 0
-    share = F.lit(len(ORDERS)) / F.bit_count(mask)
+    share = F.lit(len(ORDERS)) / F.greatest(F.bit_count(mask), F.lit(1))
     whole = {
         "kept": (~fails & ~gone, F.col("n")), "removed": (fails & ~gone, F.col("n")), "redundant": (fails & gone, F.col("n")),
         "unique_fails": (mask == here, F.col("n")), "good_lost": (fails & ~gone, F.col("good")),

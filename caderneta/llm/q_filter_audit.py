@@ -41,7 +41,7 @@ SELECT part, filter_order, step,
        CAST(coalesce(sum(n) FILTER (mask = here), 0) AS BIGINT) AS unique_fails,
        CAST(coalesce(sum(good) FILTER (mask & here != 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
        CAST(coalesce(sum(toxic) FILTER (mask & here != 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
-       CAST(coalesce(sum(n * (120 // bit_count(mask))) FILTER (mask & here != 0), 0) AS BIGINT) AS shapley
+       CAST(coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & here != 0), 0) AS BIGINT) AS shapley
 FROM counts, steps GROUP BY part, filter_order, step
 """
 

@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,12 +125,22 @@ def test_empty_tables(spark, tmp_path):
     assert collected(fa.count(spark, f"{tmp_path}/one", labels)) == {("", 1): (1, 0, 0)}
 
 
+NOTHING = pd.DataFrame([], columns=fa.ENTRY).astype({c: "int64" for c in ("mask", "good", "toxic", "doc_id", "n")})
+COLUMNS = ["sha", "mask", "part", "good", "toxic", "has_id", "doc_id", "at", "n"]
+
+
+def step(held, rows):
+    held, delta = fa.updated(held, pd.DataFrame(rows, columns=COLUMNS))
+    return held, {tuple(r[:4]): r[4] for r in delta.itertuples(index=False)}
+
+
 def test_state_takes_smaller_ids_and_retracts():
-    rows = [(3, "en", 1, 0, True, 7, 1, 2)]
-    held, delta = fa.updated(None, rows)
-    assert held == (7, {("en", 1, 0): 1})
-    assert delta == {("en", 3, 1, 0): 1, ("en", 19, 1, 0): 1}
-    held, delta = fa.updated(held, [(3, "fr", 0, 0, True, 2, 2, 2), (3, "fr", 0, 0, False, 0, 3, 3)])
-    assert held == (2, {("fr", 0, 0): 2})
+    held, delta = step(NOTHING, [(b"t", 3, "en", 1, 0, True, 7, 1, 2), (b"u", 0, "en", 0, 0, True, 5, 1, 1)])
+    assert delta == {("en", 3, 1, 0): 1, ("en", 19, 1, 0): 1, ("en", 0, 0, 0): 1}
+    held, delta = step(held, [(b"t", 3, "fr", 0, 0, True, 2, 2, 2), (b"t", 3, "fr", 0, 0, False, 0, 3, 3)])
     assert delta == {("en", 3, 1, 0): -1, ("en", 19, 1, 0): 1, ("fr", 3, 0, 0): 5}
-    assert fa.updated(held, [(3, "en", 0, 1, True, 2, 1, 4)]) == ((2, {("fr", 0, 0): 2, ("en", 0, 1): 1}), {("en", 3, 0, 1): 1, ("en", 19, 0, 1): 3})
+    held, delta = step(held, [(b"t", 3, "en", 0, 1, True, 2, 1, 4)])
+    assert delta == {("en", 3, 0, 1): 1, ("en", 19, 0, 1): 3}
+    assert sorted(held.itertuples(index=False, name=None)) == [
+        (b"t", 3, "en", 0, 1, 2, 1), (b"t", 3, "fr", 0, 0, 2, 2), (b"u", 0, "en", 0, 0, 5, 1),
+    ]
