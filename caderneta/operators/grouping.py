@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caderneta.operators.ordered import Next, Previous, RunningSum, distinct_values, null_safe_join, scan
+from caderneta.operators.automaton import FAN_OUT
+from caderneta.operators.ordered import Next, Previous, RunningSum, distinct_values, even_chunks, null_safe_join, scan
+from caderneta.session import materialise
+
+# Values of a key that one row holds at most, about.
+CHUNK_VALUES = 65_536
 
 
 def segments(
@@ -81,69 +88,155 @@ def two_means_split(df: DataFrame, keys: Sequence[str], value: str, chunk: Colum
     return best.select(*keys, F.coalesce("split", "__only").alias("split"))
 
 
+def _next_beyond(values: np.ndarray, anchors: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each anchor the first index of sorted ``values`` with ``value - anchor > tolerance``."""
+    n = len(values)
+    at = np.searchsorted(values, anchors + tolerance, side="right")
+    # The sum is rounded, the difference decides.
+    while True:
+        back = (at > 0) & (values[np.maximum(at, 1) - 1] - anchors > tolerance)
+        on = ~back & (at < n) & ~(values[np.minimum(at, n - 1)] - anchors > tolerance)
+        if not (back.any() or on.any()):
+            return at
+        at = at - back + on
+
+
+def _effect(values: np.ndarray, tolerance: float) -> tuple[list[float], list[float]]:
+    """What a run of values does to the anchor in front of it: (enter, leave).
+
+    The first ``enter`` that lies beyond the tolerance of the anchor in front gives the last anchor of the run; without one the anchor
+    stays. Values with the same last anchor are one entry, the largest of them.
+    """
+    following = _next_beyond(values, values, tolerance)
+    last = np.where(following < len(values), following, np.arange(len(values)))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    reach = min(int(following[0]), len(values) - 1) + 1
+    ends = values[last[:reach]]
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return values[:reach][keep].tolist(), ends[keep].tolist()
+
+
+def _through(anchor: float | None, enter: Sequence[float], leave: Sequence[float], tolerance: float) -> float:
+    """The anchor behind a run."""
+    if anchor is None:
+        return leave[0]
+    at = int(_next_beyond(np.asarray(enter, dtype=float), np.array([anchor]), tolerance)[0])
+    return leave[at] if at < len(enter) else anchor
+
+
+def _effect_of(runs: Sequence[Mapping], tolerance: float) -> tuple[list[float], list[float]]:
+    """Effect of neighbouring runs (first, enter, leave) as one run."""
+    enter, leave = [], []
+    for i, run in enumerate(runs):
+        for e, anchor in zip(run["enter"], run["leave"], strict=True):
+            for later in runs[i + 1 :]:
+                anchor = _through(anchor, later["enter"], later["leave"], tolerance)
+            if leave and leave[-1] == anchor:
+                enter[-1] = e
+            else:
+                enter.append(e)
+                leave.append(anchor)
+        # An anchor in front of the first value can't pass a value beyond the first one's tolerance.
+        if run["enter"][-1] - runs[0]["first"] > tolerance:
+            break
+    return enter, leave
+
+
+def _anchors(values: np.ndarray, before: float | None, tolerance: float) -> np.ndarray:
+    """Anchor of each sorted value."""
+    following = _next_beyond(values, values, tolerance)
+    at = 0 if before is None else int(_next_beyond(values, np.array([before]), tolerance)[0])
+    out = np.full(len(values), np.nan if before is None else before)
+    while at < len(values):
+        out[at : following[at]] = values[at]
+        at = int(following[at])
+    return out
+
+
+EFFECT = "enter array<double>, leave array<double>"
+
+
+def _before_chunks(effects: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """(keys, __chunk, __before): the anchor in front of each chunk, null for the first; up and down a tree of composed effects.
+
+    ``effects`` has (keys, __chunk, first, enter, leave) of keys with several chunks.
+    """
+
+    def compose(runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_effect_of(r, tolerance) for r in runs], columns=["enter", "leave"])
+
+    def descend(runs: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for run, anchor in zip(runs, before, strict=True):
+            anchor, seen = None if pd.isna(anchor) else anchor, []
+            for child in run:
+                seen.append(anchor)
+                anchor = _through(anchor, child["enter"], child["leave"], tolerance)
+            out.append(seen)
+        return pd.Series(out)
+
+    compose_runs, anchors_before = F.pandas_udf(compose, EFFECT), F.pandas_udf(descend, "array<double>")
+    effects = materialise(effects, "anchor-effects")
+    span = effects.agg(F.max("__chunk")).first()[0] or 0
+    levels = [effects.withColumnRenamed("__chunk", "__node")]
+    while span or len(levels) == 1:
+        span //= FAN_OUT
+        children = F.sort_array(F.collect_list(F.struct("__node", "first", "enter", "leave")))
+        runs = levels[-1].groupBy(*keys, F.floor(F.col("__node") / FAN_OUT).cast("bigint").alias("__parent")).agg(children.alias("__run"))
+        whole = runs.withColumn("__effect", compose_runs("__run"))
+        levels.append(materialise(
+            whole.select(*keys, F.col("__parent").alias("__node"), F.col("__run")[0]["first"].alias("first"), "__effect.*", "__run"),
+            "anchor-level",
+        ))
+    known = levels[-1].select(*keys, "__node", F.lit(None).cast("double").alias("__before"))
+    for parents in reversed(levels[1:]):
+        joined = null_safe_join(parents.select(*keys, "__node", "__run"), known, [*keys, "__node"])
+        zipped = F.arrays_zip(F.col("__run.__node").alias("n"), anchors_before("__run", "__before").alias("a"))
+        known = joined.select(*keys, F.explode(zipped).alias("z")).select(
+            *keys, F.col("z.n").alias("__node"), F.col("z.a").alias("__before")
+        )
+    return known.withColumnRenamed("__node", "__chunk")
+
+
 def anchored_groups(
-    df: DataFrame, keys: Sequence[str], value: str, tolerance: float, name: str = "anchor", width: int = 256
+    df: DataFrame, keys: Sequence[str], value: str, tolerance: float, name: str = "anchor", rows: int | None = None
 ) -> DataFrame:
     """Give each row the first value of its group; a new group starts when ``value - anchor > tolerance``.
 
-    The anchors of a key form one chain. Values are cut into slices ``width`` tolerances wide.
-    The anchor entering a slice from the left can only be one of the values in the slice's first
-    tolerance (or the first after it), so every slice is chained from each of those entries,
-    the slices of a key are linked, and each slice is chained once more from its true entry.
-    Values are non-negative or negative numbers alike; equal values are seen once. Rows without a value
-    belong to no group and get a null anchor; null keys form a key.
+    The anchors of a key form one chain. The distinct values of a key are cut into chunks of about ``rows`` values (``CHUNK_VALUES`` at most by
+    default) at quantiles of the data. What a chunk does to the anchor in front of it is a monotone step function; such functions compose, so
+    a tree with ``FAN_OUT`` children to a node gives every chunk its anchor in front, and all chunks are then chained in parallel.
+    A function has one entry for each distinct outcome of the values within the tolerance of the chunk's first one. Values are finite
+    numbers; equal values are seen once. Rows without a value belong to no group and get a null anchor; null keys form a key.
     """
     keys = list(keys)
-    span = float(tolerance) * width
-    points = df.select(*keys, F.col(value).alias("__v")).filter("__v is not null").distinct()
-    slices = (
-        points.withColumn("__slice", F.floor(F.col("__v") / span))
-        .groupBy(*keys, "__slice")
-        .agg(F.sort_array(F.collect_list("__v")).alias("__vs"))
-    )
-
-    def chain(values: Column, anchor: Column) -> Column:
-        """Anchors found from ``anchor`` on, ``anchor`` itself first."""
-        return F.aggregate(
-            values,
-            F.array(anchor),
-            lambda acc, v: F.when(v - F.element_at(acc, -1) > tolerance, F.concat(acc, F.array(v))).otherwise(acc),
-        )
-
-    border = F.col("__slice") * span + tolerance
-    reach = F.filter("__vs", lambda v: v <= border)
-    beyond = F.slice(F.filter("__vs", lambda v: v > border), 1, 1)
-    entries = slices.withColumn("__in", F.concat(reach, beyond))
-    exits = F.transform(
-        "__in",
-        lambda e: F.struct(
-            e.alias("enter"), F.element_at(chain(F.filter("__vs", lambda v: v >= e), e), -1).alias("leave")
-        ),
+    points = materialise(
+        df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null").distinct(), "anchor-values"
     )
-    linked = entries.select(*keys, "__slice", exits.alias("__exits")).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("__slice", "__exits"))).alias("__all")
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        usable = F.filter(s["__exits"], lambda x: acc["a"].isNull() | (x["enter"] - acc["a"] > tolerance))
-        leave = F.coalesce(F.try_element_at(usable, F.lit(1))["leave"], acc["a"])
-        return F.struct(leave.alias("a"), F.concat(acc["seen"], F.array(acc["a"])).alias("seen"))
-
-    nothing = F.lit(None).cast("double")
-    seen = F.aggregate(
-        "__all", F.struct(nothing.alias("a"), F.array().cast("array<double>").alias("seen")), step
-    )["seen"]
-    before = linked.select(
-        *keys, F.explode(F.arrays_zip(F.col("__all.__slice").alias("s"), seen.alias("a"))).alias("z")
-    ).select(*keys, F.col("z.s").alias("__slice"), F.col("z.a").alias("__before"))
-
-    known = null_safe_join(slices, before, [*keys, "__slice"])
-    anchors = F.when(
-        F.col("__before").isNull(), chain(F.col("__vs"), F.element_at("__vs", 1))
-    ).otherwise(chain(F.col("__vs"), F.col("__before")))
-    per_value = (
-        known.select(*keys, "__vs", anchors.alias("__as"))
-        .select(*keys, "__as", F.explode("__vs").alias("__v"))
-        .select(*keys, F.col("__v").alias(value), F.array_max(F.filter("__as", lambda a: a <= F.col("__v"))).alias(name))
+    chunked = even_chunks(points, keys, ["__v"], rows, CHUNK_VALUES, "__chunk")
+    chunks = materialise(chunked.groupBy(*keys, "__chunk").agg(F.sort_array(F.collect_list("__v")).alias("__vs")), "anchor-chunks")
+
+    def effect(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_effect(np.asarray(v, dtype=float), tolerance) for v in values], columns=["enter", "leave"])
+
+    def chain(values: pd.Series, before: pd.Series) -> pd.Series:
+        pairs = zip(values, before, strict=True)
+        return pd.Series([_anchors(np.asarray(v, dtype=float), None if pd.isna(b) else b, tolerance).tolist() for v, b in pairs])
+
+    several = chunks.filter("__chunk > 0").select(*keys).distinct()
+    first = F.col("__vs")[0].alias("first")
+    cut = null_safe_join(chunks, several, keys, "left_semi").select(
+        *keys, "__chunk", first, F.pandas_udf(effect, EFFECT)("__vs").alias("__e")
+    ).select(*keys, "__chunk", "first", "__e.*")
+    before = _before_chunks(cut, keys, tolerance)
+    known = null_safe_join(chunks, before, [*keys, "__chunk"], "left")
+    anchors = F.pandas_udf(chain, "array<double>")("__vs", "__before")
+    per_value = known.select(*keys, F.explode(F.arrays_zip(F.col("__vs").alias("v"), anchors.alias("a"))).alias("__z")).select(
+        *keys, F.col("__z.v").alias("__at"), F.col("__z.a").alias(name)
     )
-    return null_safe_join(df, per_value, [*keys, value], "left")
+    placed = df.withColumn("__at", F.col(value).cast("double"))
+    return null_safe_join(placed, per_value, [*keys, "__at"], "left").drop("__at")

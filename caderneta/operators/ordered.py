@@ -180,6 +180,47 @@ def scan(
     )
 
 
+# Sampled rows that a chunk spans on average, chunks for each shuffle partition, and the fewest rows worth a chunk of their own.
+SAMPLES_PER_CHUNK = 16
+CHUNKS_PER_PARTITION = 4
+LEAST_ROWS = 4096
+
+
+def even_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, most: int | None = None, name: str = "chunk"
+) -> DataFrame:
+    """Add a chunk number that grows with ``order`` inside a key; chunks hold about ``rows`` rows each, whatever the values are.
+
+    Bounds are quantiles of a sample by hash: every 16th sampled place of a key. ``rows`` follows from the table's size and the shuffle partitions by
+    default, ``most`` at most, so the table of bounds holds a few places for each partition and is broadcast. Keys that are
+    smaller have one chunk, 0. A place is the whole of ``order``, so rows piled up at one value are told apart by the columns
+    behind it. ``df`` is read three times.
+    """
+    keys, order = list(keys), list(order)
+    if rows is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = max(LEAST_ROWS, df.count() // (CHUNKS_PER_PARTITION * parts))
+        rows = min(rows, most) if most else rows
+    place = F.struct(*[F.col(c) for c in order])
+    rate = max(1, rows // SAMPLES_PER_CHUNK)
+    sampled = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(place)).alias("__sample")
+    )
+    every = max(1, rows // rate)
+    inner = F.filter("__sample", lambda _x, i: (i % every == 0) & (i > 0))
+    bounds = sampled.select(*keys, inner.alias("__bounds")).filter(F.size("__bounds") > 0)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(31))])
+    found = F.aggregate(
+        F.filter(steps, lambda step: step <= F.size("__bounds")),
+        F.lit(0),
+        lambda acc, step: F.when(
+            (acc + step <= F.size("__bounds")) & (F.get(F.col("__bounds"), acc + step - 1) <= place), acc + step
+        ).otherwise(acc),
+    )
+    number = F.when(F.col("__bounds").isNull(), 0).otherwise(found).cast("bigint")
+    return null_safe_join(df, F.broadcast(bounds), keys, "left").withColumn(name, number).drop("__bounds")
+
+
 def hash_chunk(*columns: Column, digits: int = 3) -> tuple[Column, Column]:
     """(position, chunk) for a reproducible random order: an md5 and its leading digits."""
     position = F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from caderneta.functions import fields
 from caderneta.functions.prompts import CATEGORIES
-from caderneta.operators.ordered import RunningSum, scan
+from caderneta.operators import patterns
+from caderneta.operators.ordered import RunningSum, row_number, scan
 from caderneta.session import materialise
 
 REGEX, LITERAL = "regex", "literal"
@@ -35,12 +36,18 @@ class Rule:
     installments: int | None = None
 
 
-_SUBSCRIPTIONS = "Gastos com mensalidades (Gympass, Spotfy, Unicef e Rappi)"
-_TRANSPORT = "Combustível/ Passagens/ Uber / Sem Parar"
-_FOOD = "Restaurantes/ Bares/ Lanchonetes"
-_TRAVEL = "Viagens / Férias"
-_EDUCATION = "Gastos com Educação (Inglês, MBA, Pós)"
-_CARE = "Cuidados Pessoais (Nutricionista / Medico / Suplemento)"
+def _category(beginning: str) -> str:
+    """The one category that begins so."""
+    (found,) = [c for c in CATEGORIES if c.startswith(beginning)]
+    return found
+
+
+_SUBSCRIPTIONS = _category("Gastos com mensalidades")
+_TRANSPORT = _category("Combustível")
+_FOOD = _category("Restaurantes")
+_TRAVEL = _category("Viagens")
+_EDUCATION = _category("Gastos com Educação")
+_CARE = _category("Cuidados Pessoais")
 
 # The default rules, in order of priority.
 DEFAULT_RULES = (
@@ -189,19 +196,20 @@ def match_rule_table(
     missing or empty holder or origin passes; a rule on amounts or installments needs these columns. A rule without
     priority comes last.
 
-    Patterns are tested against the distinct texts, in blocks of at most ``block_bytes`` of patterns in the order of priority, so
-    what is broadcast has a fixed size. A text leaves once a rule without conditions has matched it. Conditions are tested on the
-    rows, against the few rules that match their text.
+    Patterns meet the distinct texts in blocks of at most ``block_bytes`` of patterns in the order of priority, so what is sent out
+    has a fixed size. One automaton over the literals that a block's patterns require scans each text once (``patterns``); only the
+    pairs that it finds are tested in full. A text leaves once a rule without conditions has matched it. Conditions are tested
+    on the rows, against the few rules that match their text.
     """
-    patterns = rules.select(*[f.split()[0] for f in RULE_SCHEMA.split(", ")]).filter("pattern is not null").distinct()
-    patterns = patterns.withColumns({
+    table = rules.select(*[f.split()[0] for f in RULE_SCHEMA.split(", ")]).filter("pattern is not null").distinct()
+    table = table.withColumns({
         "__rank": F.coalesce("priority", F.lit(2**31 - 1)).cast("bigint"),
         "__free": F.coalesce("amount_min", "amount_max", F.col("installments").cast("double")).isNull() & F.coalesce("holder", "origin").isNull(),
     })
-    order = [c for c in patterns.columns if c not in ("__rank", "__free")]
+    order = [c for c in table.columns if c not in ("__rank", "__free")]
     sized = scan(
-        patterns, [], ["__rank", *order], F.floor(F.col("__rank") / RULES_PER_CHUNK),
-        [RunningSum("__bytes", F.octet_length("pattern").cast("bigint") + ROW_BYTES)],
+        table, [], ["__rank", *order], F.floor(F.col("__rank") / RULES_PER_CHUNK),
+        [RunningSum("__bytes", F.octet_length("pattern").cast("bigint") + ROW_BYTES), row_number("__id")],
     )
     blocks = materialise(sized.withColumn("__block", F.floor(F.col("__bytes") / block_bytes)), "rules")
     candidate = F.struct(
@@ -217,7 +225,11 @@ def match_rule_table(
             F.col("kind") == REGEX, F.expr("__text rlike concat('(?iu)', pattern)")
         ).otherwise(F.contains(F.col("__text"), F.lower(F.col("pattern"))))
         part = blocks.filter(F.col("__block") == number)
-        found = open_texts.join(F.broadcast(part), hit).select("__text", candidate.alias("c"))
+        # A block of bounded size, as a list for the automaton.
+        listed = [(r["__id"], r["pattern"] if r["kind"] == REGEX else r["pattern"].lower(), r["kind"] == REGEX)
+                  for r in part.select("__id", "pattern", "kind").collect()]
+        pairs = open_texts.select("__text", F.explode(patterns.candidates(F.col("__text"), listed)).alias("__id"))
+        found = pairs.join(F.broadcast(part), "__id").filter(hit).select("__text", candidate.alias("c"))
         if k < len(numbers) - 1:
             found = materialise(found, "rule-hits")
             open_texts = open_texts.join(found.filter("c.__free").select("__text").distinct(), "__text", "left_anti")

@@ -126,25 +126,35 @@ def retrain(
     spark: SparkSession, folder: str, ledger_path: str, root: str, model_path: str, version: str,
     training: model.Training = model.Training(), kinds: Sequence[str] = (model.LOGISTIC, model.CALIBRATED_SVC), folds: int = 5,
 ) -> dict:
-    """Collect new corrections, merge, write a version, ledger the files, train, check and save.
+    """Collect new corrections, merge, commit a version with the files that went into it, train, check and save.
 
-    Files that are refused or empty are ledgered also when the job stops early, so they are not read again for ever;
-    good files stay pending until their rows are written.
+    The commit is one step: a run that breaks off before it has consumed nothing and written nothing that counts, one that breaks off
+    behind it trains the committed version when it is called again. Files that are refused or empty are ledgered also when the job
+    stops early, so they are not read again for ever; good files stay pending until their rows are committed.
     """
     base = sinks.current(spark, root)
     if base is None:
         raise ValueError(f"no base version under {root}")
-    rows, files = feedback.collect_new(spark, folder, ledger_path)
+    rows, files = feedback.collect_new(spark, folder, ledger_path, sinks.committed_files(spark, root))
     checked = check_integration(base, rows)
     if not checked.success:
         feedback.append_ledger(files.filter("status <> 'ok'"), ledger_path)
-        return {"success": False, "error": checked.error}
-    written = sinks.write_version(merge_base(base, rows), root, version, base.columns)
+        unfinished = sinks.version_without_model(spark, root)
+        if unfinished is None:
+            return {"success": False, "error": checked.error}
+        return {"resumed": unfinished} | _train(spark, root, unfinished, model_path, training, kinds, folds)
+    written = sinks.write_version(merge_base(base, rows), root, version, base.columns, files)
     if not written["success"]:
         feedback.append_ledger(files.filter("status <> 'ok'"), ledger_path)
         return written
-    # The ledger follows the write: a failure before this line loses no file, one after it repeats none.
-    feedback.append_ledger(files, ledger_path)
+    done = _train(spark, root, version, model_path, training, kinds, folds)
+    return done | {"write": written, "quality_issues": checked.quality}
+
+
+def _train(
+    spark: SparkSession, root: str, version: str, model_path: str, training: model.Training, kinds: Sequence[str], folds: int
+) -> dict:
+    """Train on the current version, save the best model and note that the version has one."""
     data = sinks.current(spark, root)
     prepared = data.select(
         F.sha2(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in data.columns]), 256).alias("row_id"),
@@ -153,10 +163,8 @@ def retrain(
     best, summary, held_out = model.train_best(prepared, "text", "target", "row_id", training, kinds, k=folds)
     best.save(model_path)
     passed = model.sanity(best, spark).first()
-    return {
-        "success": bool(passed["ok"]), "write": written, "cv": summary, "hold_out": held_out, "model": best.kind,
-        "quality_issues": checked.quality,
-    }
+    sinks.add_model(spark, root, version, model_path)
+    return {"success": bool(passed["ok"]), "cv": summary, "hold_out": held_out, "model": best.kind}
 
 
 def statement_report(items: DataFrame, controls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from caderneta.operators import cascade, report, rules
 from caderneta.operators.rules import LITERAL, REGEX, Rule
 from caderneta.plans.catalog import query
 from caderneta.plans.queries_text import normalize_sql
-from caderneta.plans.tx import transactions, with_tx
+from caderneta.plans.tx import table, transactions, with_tx
 
 # Demo rules over the merchants of the test tables.
 DEMO_RULES = (
@@ -131,3 +131,29 @@ def transaction_ids(spark, sf_dir):
     return transactions(spark, sf_dir).select(
         "tx_id", cascade.transaction_id(preloaded, raw, F.col("tx_id")).alias("transaction_id")
     )
+
+
+@query(
+    "q_rule_table_parts",
+    with_tx(
+        f"""WITH m AS (SELECT clean, max(amount) AS amount FROM (SELECT amount, {normalize_sql('merchant')} AS clean FROM tx) GROUP BY 1),
+              p AS (SELECT p_partkey, {normalize_sql('p_name')} AS name, p_retailprice FROM part)
+            SELECT m.clean, coalesce(min(p_partkey), -1) AS rule FROM m
+            LEFT JOIN p ON contains(m.clean, p.name) AND (p_partkey % 5 != 0 OR m.amount <= p_retailprice * 10) GROUP BY 1"""
+    ),
+)
+def rule_table_parts(spark, sf_dir):
+    """One rule for each part, half of them regular expressions, every fifth with a limit on the amount: thousands of patterns in several blocks."""
+    name = T.normalize_description(F.col("p_name"))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("int").alias("priority"), F.col("p_partkey").cast("string").alias("name"),
+        F.when(F.col("p_partkey") % 2 == 0, REGEX).otherwise(LITERAL).alias("kind"),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("(?:"), F.replace(name, F.lit(" "), F.lit(r"\\s")), F.lit(")"))).otherwise(name).alias("pattern"),
+        F.lit("Obra casa").alias("category"), F.lit(0.9).alias("confidence"),
+        F.when(F.col("p_partkey") % 5 == 0, 0.0).alias("amount_min"),
+        F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice") * 10).alias("amount_max"),
+        F.lit(None).cast("string").alias("holder"), F.lit(None).cast("string").alias("origin"), F.lit(None).cast("int").alias("installments"),
+    )
+    merchants = cleaned(spark, sf_dir).groupBy("clean").agg(F.max("amount").alias("amount"))
+    out = rules.match_rule_table(merchants, parts, "clean", ("amount",), block_bytes=1 << 18)
+    return out.select("clean", F.coalesce(F.col("rule.rule").cast("bigint"), F.lit(-1)).alias("rule"))

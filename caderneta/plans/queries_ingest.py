@@ -8,7 +8,7 @@ from caderneta.functions import text as T
 from caderneta.plans.catalog import query
 from caderneta.plans.tx import table, transactions, with_tx
 from caderneta.session import scratch_path
-from caderneta.sources import feedback, files, sinks
+from caderneta.sources import feedback, files, records, sinks
 from caderneta.streaming import feedback_stream
 
 
@@ -114,3 +114,32 @@ def versioned_write(spark, sf_dir):
     sinks.write_version(counts, root, "2024-01", ["category", "n"])
     sinks.write_version(counts.withColumnRenamed("n", "m"), root, "2024-02", ["category", "n"])
     return sinks.current(spark, root)
+
+
+@query(
+    "q_records_with_line_breaks",
+    """SELECT doc_id, md5(replace(text, chr(13), '')) AS text_md5, coalesce(lang, '') AS lang FROM documents WHERE text IS NOT NULL AND length(text) > 0""",
+)
+def records_with_line_breaks(spark, sf_dir):
+    """Documents as CSV files whose fields hold line breaks and quotes; read back as records and parsed."""
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 0").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"), "lang")
+    path = scratch_path(spark, "records")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    schema = "doc_id bigint, text string, lang string"
+    options = {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows = records.read_records(spark, path, "*.csv").filter("record_no > 0").select(F.from_csv("record", F.lit(schema), options).alias("r"))
+    return rows.select("r.doc_id", F.md5("r.text").alias("text_md5"), F.coalesce("r.lang", F.lit("")).alias("lang"))
+
+
+@query(
+    "q_first_lines",
+    """SELECT 'p_partkey,p_name,p_size' AS head, count(DISTINCT p_brand) AS files, count(*) AS numbered FROM part""",
+)
+def first_lines(spark, sf_dir):
+    """One file for each brand: their headings from the beginnings alone, their rows numbered through all splits."""
+    path = scratch_path(spark, "brands")
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_size").repartition("p_brand")
+    rows.write.partitionBy("p_brand").option("header", True).csv(path)
+    heads = records.first_lines(spark, path).groupBy(F.col("line").alias("head")).agg(F.count("*").alias("files"))
+    numbered = records.read_lines(spark, path).agg(F.count_if(F.col("line_no") > 0).alias("numbered"))
+    return heads.select("head", "files", F.lit(numbered.first()[0]).alias("numbered"))

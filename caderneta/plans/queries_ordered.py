@@ -309,3 +309,64 @@ def state_machine(spark, sf_dir):
         rows, ["user_id"], "event_id", F.floor(F.col("event_id") / 1000), "code", MACHINE_TABLE, 0
     )
     return found.select("event_id", F.col("state").cast("bigint").alias("state"))
+
+
+# A third of the users count as one, so one key holds a third of all rows.
+HOT_USER = "CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END"
+
+
+@query(
+    "q_state_machine_hot",
+    f"""SELECT event_id, CAST(CASE WHEN opened IS NULL OR closed > opened THEN 0 ELSE 1 + (views - views_then) % 2 END AS BIGINT) AS state FROM (
+         SELECT *, max(views_at) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS views_then FROM (
+           SELECT k, event_id, coalesce(max(event_id) FILTER (event_type = 'signup') OVER w, NULL) AS opened,
+             coalesce(max(event_id) FILTER (event_type = 'error') OVER w, -1) AS closed,
+             count(*) FILTER (event_type = 'view') OVER w AS views,
+             CASE WHEN event_type = 'signup' THEN count(*) FILTER (event_type = 'view') OVER w END AS views_at
+           FROM (SELECT {HOT_USER} AS k, event_id, event_type FROM events)
+           WINDOW w AS (PARTITION BY k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))""",
+)
+def state_machine_hot(spark, sf_dir):
+    """The same machine for keys of which one holds a third of the rows: a tree of chunks of 64 event numbers."""
+    code = F.lit(None).cast("int")
+    for kind, number in MACHINE.items():
+        code = F.when(F.col("event_type") == kind, number).otherwise(code)
+    rows = table(spark, sf_dir, "events").select(F.expr(HOT_USER).alias("k"), "event_id", code.alias("code"))
+    found = automaton.states_before(rows, ["k"], "event_id", F.floor(F.col("event_id") / 64), "code", MACHINE_TABLE, 0)
+    return found.select("event_id", F.col("state").cast("bigint").alias("state"))
+
+
+@query(
+    "q_anchored_groups_hot",
+    f"""WITH RECURSIVE v AS (SELECT DISTINCT {HOT_USER} AS k, round({SEC} - epoch(TIMESTAMP '2024-01-01'), 3) AS s FROM events),
+          f AS (SELECT k, min(s) AS anchor FROM v GROUP BY 1),
+          c AS (SELECT k, anchor FROM f
+                UNION ALL SELECT c.k, (SELECT min(v.s) FROM v WHERE v.k = c.k AND v.s - c.anchor > 36000) FROM c
+                WHERE EXISTS (SELECT 1 FROM v WHERE v.k = c.k AND v.s - c.anchor > 36000))
+        SELECT event_id, anchor FROM (
+          SELECT event_id, {HOT_USER} AS k, round({SEC} - epoch(TIMESTAMP '2024-01-01'), 3) AS s FROM events) e
+        ASOF JOIN c ON c.k = e.k AND e.s >= c.anchor""",
+)
+def anchored_groups_hot(spark, sf_dir):
+    """Groups of ten hours; chunks of about 500 values, so that the common key has several at every size."""
+    epoch = F.lit("2024-01-01 00:00:00").cast("timestamp").cast("double")
+    rows = events(spark, sf_dir).select("event_id", F.expr(HOT_USER).alias("k"), F.round(F.col("sec") - epoch, 3).alias("s"))
+    return grouping.anchored_groups(rows, ["k"], "s", 10 * HOUR, rows=500).select("event_id", "anchor")
+
+
+@query(
+    "q_even_chunks",
+    f"SELECT {HOT_USER} AS k, count(*) AS n, CAST(1 AS BIGINT) AS in_order, CAST(1 AS BIGINT) AS even FROM events GROUP BY 1",
+)
+def even_chunks(spark, sf_dir):
+    """Chunks of about 500 events: their ranges follow each other, and none holds more than five times as many."""
+    order = ["value", "event_id"]
+    rows = table(spark, sf_dir, "events").select(F.expr(HOT_USER).alias("k"), *order)
+    cut = ordered.even_chunks(rows, ["k"], order, rows=500)
+    place = F.struct(*order)
+    per = cut.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+    ordered_chunks = ordered.scan(per, ["k"], ["chunk"], F.floor(F.col("chunk") / 4096), [ordered.Previous("before", F.col("high"))])
+    follows = F.col("before").isNull() | (F.col("before") < F.col("low"))
+    return ordered_chunks.groupBy("k").agg(
+        F.sum("n").alias("n"), F.min(follows.cast("bigint")).alias("in_order"), F.min((F.col("n") <= 2500).cast("bigint")).alias("even")
+    )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]):
+    """Session settings for what runs inside; the earlier ones return."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caderneta import schemas
 from caderneta.functions.numbers import money
 from caderneta.operators import dedup, quality
-from caderneta.sources.files import read_lines
+from caderneta.sources import records
 
 GLOB = "feedback_*.csv"
 HEADER = ",".join(schemas.FEEDBACK_COLUMNS)
 LEDGER = "file_name string, status string, ledgered_at timestamp"
 
 
-def file_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of every daily file; daily files are small, their number is not limited."""
-    return read_lines(spark, folder, GLOB).withColumnRenamed("doc_id", "file_name")
+def file_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, record_no, record) of every daily file; a file without a line has one empty record."""
+    found = records.read_records(spark, folder, GLOB)
+    empty = records.file_list(spark, folder, GLOB).filter("size = 0")
+    return found.unionByName(empty.select("file_name", F.lit(0).cast("bigint").alias("record_no"), F.lit("").alias("record")))
 
 
-def gate(lines: DataFrame) -> DataFrame:
-    """(file_name, status): ``ok``, ``empty`` or ``wrong columns``.
+def gate(found: DataFrame) -> DataFrame:
+    """(file_name, status, rows): ``ok``, ``empty`` or ``wrong columns``.
 
-    The first line must be the expected columns in order.
+    The first record must be the expected columns in order.
     """
-    filled = F.trim("line") != ""
-    per = lines.groupBy("file_name").agg(
-        F.max(F.when(F.col("line_no") == 0, F.col("line"))).alias("head"),
-        F.count_if(filled & (F.col("line_no") > 0)).alias("rows"),
+    filled = F.trim("record") != ""
+    per = found.groupBy("file_name").agg(
+        F.max(F.when(F.col("record_no") == 0, F.col("record"))).alias("head"),
+        F.count_if(filled & (F.col("record_no") > 0)).alias("rows"),
     )
-    names = F.replace(F.trim("head"), F.lit('"'), F.lit(""))
-    status = F.when(F.col("rows") == 0, "empty").when(names != HEADER, "wrong columns").otherwise("ok")
+    status = F.when(F.col("rows") == 0, "empty").when(~is_header(F.col("head")), "wrong columns").otherwise("ok")
     return per.select("file_name", status.alias("status"), "rows")
 
 
-def rows_of(lines: DataFrame, good: DataFrame) -> DataFrame:
-    """Correction rows of the accepted files with file name and row number."""
-    body = lines.filter((F.col("line_no") > 0) & (F.trim("line") != "")).join(good.select("file_name"), "file_name", "left_semi")
-    parsed = F.from_csv("line", F.lit(schemas.all_strings(schemas.FEEDBACK_COLUMNS)))
-    return body.select("file_name", F.col("line_no").alias("row_no"), parsed.alias("r")).select("file_name", "row_no", "r.*")
+def is_header(record: Column) -> Column:
+    return F.replace(F.trim(record), F.lit('"'), F.lit("")) == HEADER
+
+
+def rows_of(found: DataFrame, good: DataFrame) -> DataFrame:
+    """Correction rows of the accepted files with file name and row number; quotes inside a field are doubled."""
+    body = found.filter((F.col("record_no") > 0) & (F.trim("record") != "")).join(good.select("file_name"), "file_name", "left_semi")
+    parsed = F.from_csv("record", F.lit(schemas.all_strings(schemas.FEEDBACK_COLUMNS)), {"escape": '"', "multiLine": "true"})
+    return body.select("file_name", F.col("record_no").alias("row_no"), parsed.alias("r")).select("file_name", "row_no", "r.*")
 
 
 def unique_rows(rows: DataFrame) -> DataFrame:
@@ -49,8 +54,8 @@ def unique_rows(rows: DataFrame) -> DataFrame:
 
 def collect(spark: SparkSession, folder: str) -> DataFrame:
     """All corrections of a folder."""
-    lines = file_lines(spark, folder)
-    return unique_rows(rows_of(lines, gate(lines).filter("status = 'ok'")))
+    found = file_records(spark, folder)
+    return unique_rows(rows_of(found, gate(found).filter("status = 'ok'")))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -75,16 +80,17 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("file_name").distinct(), "file_name", "left_anti")
 
 
-def collect_new(spark: SparkSession, folder: str, ledger_path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of the files not consumed yet. ``files`` lists refused ones too: ledger them all."""
-    lines = file_lines(spark, folder)
-    files = new_files(gate(lines), read_ledger(spark, ledger_path))
-    return unique_rows(rows_of(lines, files.filter("status = 'ok'"))), files
+def collect_new(spark: SparkSession, folder: str, ledger_path: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of the files not consumed yet, by the ledger and the file names ``done``. ``files`` lists refused ones too."""
+    found = file_records(spark, folder)
+    ledger = read_ledger(spark, ledger_path).select("file_name")
+    files = new_files(gate(found), ledger if done is None else ledger.unionByName(done.select("file_name")))
+    return unique_rows(rows_of(found, files.filter("status = 'ok'"))), files
 
 
 def status(spark: SparkSession, folder: str, ledger_path: str) -> DataFrame:
     """One row: files found, consumed and pending."""
-    found = gate(file_lines(spark, folder)).select("file_name")
+    found = records.file_list(spark, folder, GLOB).select("file_name")
     done = read_ledger(spark, ledger_path).select("file_name").distinct().withColumn("done", F.lit(1))
     return found.join(done, "file_name", "left").agg(
         F.count("*").alias("found"), F.count("done").alias("processed"), (F.count("*") - F.count("done")).alias("pending")
@@ -92,12 +98,10 @@ def status(spark: SparkSession, folder: str, ledger_path: str) -> DataFrame:
 
 
 def file_info(spark: SparkSession, folder: str) -> DataFrame:
-    """Size, time and header check per daily file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
-    head = F.trim(F.regexp_replace(F.element_at(F.split(F.decode("content", "UTF-8"), "\r?\n"), 1), "^\\x{feff}", ""))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"), (head == HEADER).alias("has_header"),
+    """Size, time and header check per daily file; of a file's content only the beginning is read."""
+    heads = records.first_lines(spark, folder, GLOB).select("file_name", is_header(F.col("line")).alias("has_header"))
+    return records.file_list(spark, folder, GLOB).join(heads, "file_name", "left").select(
+        "file_name", "size", "modified", F.coalesce("has_header", F.lit(False)).alias("has_header")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caderneta import schemas
 from caderneta.functions.text import normalize_headers
 from caderneta.operators.cascade import Settings
+from caderneta.sources.records import file_list, read_lines
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
@@ -27,29 +28,6 @@ def read_positional(spark: SparkSession, path: str, names: Sequence[str]) -> Dat
     return read_csv(spark, path, names, header=False)
 
 
-def _whole_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    name = F.element_at(F.split("path", "/"), -1)
-    return reader.load(path).select(
-        name.alias("file_name"), "length", "modificationTime",
-        F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("content"),
-    )
-
-
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``(doc_id, line_no, line)`` with the order of the file.
-
-    One file is one row until its lines are split, which suits statements and exports (a few
-    megabytes each, any number of them).
-    """
-    lines = _whole_files(spark, path, glob).select(
-        F.col("file_name").alias("doc_id"), F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line")
-    )
-    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
-
-
 def read_ordered_csv(spark: SparkSession, path: str, width: int, glob: str | None = None) -> DataFrame:
     """Export rows ``(doc_id, line_no, c0, c1, ...)`` with the order of the file."""
     schema = ", ".join(f"c{i} string" for i in range(width))
@@ -96,7 +74,7 @@ def profile(spark: SparkSession, path: str, sample: int = 5) -> dict:
         if "PATH_NOT_FOUND" in str(exc):
             return {"exists": False}
         raise
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    size = file_list(spark, path).agg(F.sum("size")).first()[0]
     rows = df.limit(sample).collect()
     return {"exists": True, "columns": df.columns, "column_count": len(df.columns), "sample_rows": len(rows), "sample": rows, "size": size}
 

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caderneta.operators import dedup
+from caderneta.session import settings
 
 BATCH = "ingest_batch"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def target_table(spark: SparkSession, target: str, schema: str | None = None) -> DataFrame | None:
@@ -22,17 +24,23 @@ def target_table(spark: SparkSession, target: str, schema: str | None = None) ->
         raise
 
 
-def append_new(batch: DataFrame, batch_id: int, target: str, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Write the first row per key that the target does not have yet.
+def first_rows(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Per key its first row by arrival, then ``order``: a streaming aggregate whose state is kept by key.
 
-    Each batch owns one folder and replaces it, so a repeated batch after a failure leaves the
-    same rows. Rows of later batches are not looked at, for the same reason.
+    ``__born`` and ``__latest`` are the times of the first and the last micro-batch that had the key; Spark fixes a batch's time in its
+    log, so a repeated batch has the same one. Where they are equal, the key is new in this batch.
     """
-    spark = batch.sparkSession
-    fresh = dedup.first_occurrence(batch, list(keys), list(order)).select(*batch.columns)
-    seen = target_table(spark, target)
-    if seen is not None:
-        fresh = dedup.new_rows(fresh, seen.filter(F.col(BATCH) < batch_id), keys)
+    keys = list(keys)
+    timed = stream.withColumn("__at", F.current_timestamp())
+    row = F.struct(*[F.col(c) for c in stream.columns if c not in keys])
+    return timed.groupBy(*keys).agg(
+        F.min_by(row, F.struct("__at", *order)).alias("__row"), F.min("__at").alias("__born"), F.max("__at").alias("__latest")
+    )
+
+
+def append_new(batch: DataFrame, batch_id: int, target: str, columns: Sequence[str]) -> None:
+    """Write the rows of the keys that are new in this batch. Each batch owns one folder and replaces it."""
+    fresh = batch.filter("__born = __latest").select("*", "__row.*").select(*columns)
     fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
 
@@ -42,19 +50,22 @@ def ingest(
 ) -> None:
     """Consume all files that arrived since the last call and stop.
 
-    The checkpoint is the ledger of consumed files. Pending files are taken in name order of
-    arrival, ``files_per_batch`` at a time.
+    The checkpoint is the ledger of consumed files and holds the keys seen so far, in a state store on disk that each micro-batch asks only
+    for its own keys: what a batch does is independent of the size of the target. The target belongs to this stream. Pending files
+    are taken in the order of arrival, ``files_per_batch`` at a time.
     """
     reader = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     for name, value in (options or {}).items():
         reader = reader.option(name, value)
-    stream = (
-        reader.load(source)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda df, n: append_new(df, n, target, keys, order))
-        .start()
-    )
-    stream.awaitTermination()
+    arrived = reader.load(source)
+    with settings(spark, {STATE_STORE: ROCKS_DB}):
+        stream = (
+            first_rows(arrived, keys, order)
+            .writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(lambda df, n: append_new(df, n, target, arrived.columns))
+            .start()
+        )
+        stream.awaitTermination()

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from caderneta.functions import text as T
-from caderneta.operators import cascade, rules
+from caderneta.operators import cascade, patterns, rules
 from caderneta.operators.rules import LITERAL, REGEX, Rule
 
 
@@ -52,6 +54,29 @@ def test_rule_table_conditions(spark, tx):
     assert rules.match_rule_table(df, table.limit(0), "descr", has).filter("rule is null").count() == 7
 
 
+def test_required_literals():
+    need = patterns.required_literals
+    assert need("disney.*plus") == {"disney"} and need("prime.*video|amazon.*prime") == {"prime", "amazon"} or need("prime.*video|amazon.*prime")
+    assert need("atacad[aã]o") == {"atacad"} and need("(?:AB|c)+D?") == {"ab", "c"} and need("x*y?") is None
+    assert need("a|b*") is None and need("[[a]]") is None and need(r"\p{L}x") is None and need("(?x) a b") is None and need("(") is None
+    assert need("(?:foo){2,3}bar1") == {"bar1"} and need("ſK") == {"sk"}
+
+
+def test_automaton_finds_what_the_expressions_find(spark):
+    """Random patterns and texts: every rule that a text matches, against rlike and contains on all pairs."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcAÉé ") for _ in range(rng.randrange(1, 4)))
+    forms = [lambda: word(), lambda: f"{word()}.*{word()}", lambda: f"{word()}|{word()}", lambda: f"({word()})?[ab]+{word()}", lambda: f"^{word()}$", lambda: "[ab]{2}"]
+    own = [Rule(f"r{i}", REGEX if i % 3 else LITERAL, (rng.choice(forms)() if i % 3 else word(),), "Supermercado", 0.5) for i in range(60)]
+    texts = ["".join(rng.choice("abcABCÉé KſI") for _ in range(rng.randrange(12))) for _ in range(150)] + ["", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    want = {r["id"]: r["rule"] and r["rule"]["rule"] for r in df.withColumn("rule", rules.first_rule(own, F.col("t"))).collect()}
+    for block in (1 << 20, 2000):
+        out = rules.match_rule_table(df, rules.rule_table(spark, own), "t", (), block)
+        assert {r["id"]: r["rule"] and r["rule"]["rule"] for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+
+
 def test_rule_admission(spark):
     with pytest.raises(ValueError):
         rules.admit(rules.DEFAULT_RULES, Rule("x", REGEX, ("x",), "no such", 0.5))

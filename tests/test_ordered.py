@@ -61,10 +61,48 @@ def test_states(spark, data):
                 state = table[v][state]
 
 
-@pytest.mark.parametrize("tolerance, width", [(0.7, 2), (3.0, 3), (30.0, 1)])
-def test_anchors(spark, data, tolerance, width):
+def test_states_through_several_levels(spark, data, monkeypatch):
+    """Four rows to a chunk and two children to a node: seven levels."""
+    monkeypatch.setattr(automaton, "FAN_OUT", 2)
     rows, df = data
-    got = {r["i"]: r["anchor"] for r in grouping.anchored_groups(df, ["k"], "x", tolerance, width=width).collect()}
+    table = [[1, 2, 0], [0, 0, 2], [2, 1, 1]]
+    coded = df.withColumn("code", F.when(F.col("v") < 3, F.col("v")))
+    got = {r["i"]: r["state"] for r in automaton.states_before(coded, ["k"], "i", F.floor(F.col("i") / 4), "code", table, 1).collect()}
+    assert len(got) == len(rows)
+    for group in by_key(rows).values():
+        state = 1
+        for _, i, v, _x in group:
+            assert got[i] == state
+            if v is not None and v < 3:
+                state = table[v][state]
+    holes = spark.createDataFrame([(None, 5, 0), (None, None, 1), ("a", 1 << 40, 0), ("a", -7, 1)], "k string, i long, code int")
+    found = automaton.states_before(holes, ["k"], "i", automaton.fold_chunk("i"), "code", [[1, 0], [0, 0]], 0)
+    assert {(r["k"], r["i"]): r["state"] for r in found.collect()} == {(None, 5): 0, (None, None): 0, ("a", 1 << 40): 0, ("a", -7): 0}
+    none = automaton.states_before(df.limit(0).withColumn("code", F.col("v")), ["k"], "i", F.col("i"), "code", table, 0)
+    assert none.collect() == []
+
+
+def test_even_chunks(spark, data):
+    """Chunks follow the order and hold similar numbers of rows, piled values included."""
+    rows = [("hot", float(i % 3 == 0), i) for i in range(6000)] + [(f"k{i % 50}", 0.5, i) for i in range(3000)] + [(None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "k string, x double, i long")
+    out = ordered.even_chunks(df, ["k"], ["x", "i"], rows=200)
+    assert out.count() == len(rows)
+    sizes = {(r["k"], r["chunk"]): r["count"] for r in out.groupBy("k", "chunk").count().collect()}
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert 15 <= len(hot) <= 60 and max(hot) < 600
+    assert all(c == 0 for k, c in sizes if k != "hot")
+    ranges = out.groupBy("k", "chunk").agg(F.min(F.struct("x", "i")).alias("a"), F.max(F.struct("x", "i")).alias("b")).collect()
+    ends = sorted((r["chunk"], tuple(r["a"]), tuple(r["b"])) for r in ranges if r["k"] == "hot")
+    assert all(x[2] < y[1] for x, y in zip(ends, ends[1:], strict=False))
+    assert ordered.even_chunks(df.limit(0), ["k"], ["x", "i"]).collect() == []
+
+
+@pytest.mark.parametrize("tolerance, width, fan_out", [(0.7, 20, 2), (3.0, 16, 3), (30.0, 18, 2), (0.7, None, 256), (200.0, 16, 2)])
+def test_anchors(spark, data, tolerance, width, fan_out, monkeypatch):
+    monkeypatch.setattr(grouping, "FAN_OUT", fan_out)
+    rows, df = data
+    got = {r["i"]: r["anchor"] for r in grouping.anchored_groups(df, ["k"], "x", tolerance, rows=width).collect()}
     for group in by_key(rows).values():
         anchor = None
         for _, i, _v, x in sorted(group, key=lambda r: r[3]):

@@ -1,4 +1,8 @@
+import csv
+import io
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +10,8 @@ from pyspark.sql import functions as F
 from caderneta import schemas
 from caderneta.operators import cascade, model
 from caderneta.plans import jobs
-from caderneta.session import scratch_path
-from caderneta.sources import feedback, files, sinks
+from caderneta.session import scratch_path, settings
+from caderneta.sources import feedback, files, records, sinks
 from caderneta.streaming import feedback_stream
 
 HEADER = feedback.HEADER
@@ -29,7 +33,7 @@ def folder(tmp_path):
 
 
 def test_gate_and_collection(spark, folder):
-    status = {r["file_name"][-6:-4]: r["status"] for r in feedback.gate(feedback.file_lines(spark, str(folder))).collect()}
+    status = {r["file_name"][-6:-4]: r["status"] for r in feedback.gate(feedback.file_records(spark, str(folder))).collect()}
     assert status == {"01": "ok", "02": "ok", "03": "wrong columns", "04": "empty"}
     got = {r["transactionId"]: r["natureza do gasto"] for r in feedback.collect(spark, str(folder)).collect()}
     assert got == {"a": "second", "b": "Farmácia", "c": "Farmácia"}
@@ -37,6 +41,53 @@ def test_gate_and_collection(spark, folder):
     assert info == {"01": True, "02": True, "03": False, "04": True}
 
 
+def test_records_across_splits(spark, tmp_path):
+    """Quoted line breaks, doubled quotes and long fields, with splits of a few bytes; against the csv module."""
+    rng = random.Random(4)
+    expected = {}
+    for name in ("a.csv", "b.csv"):
+        rows = [["id", "text"]]
+        for i in range(120):
+            rows.append([str(i), "".join(rng.choice(['x', '"', "\n", ",", "é", " ", "\r\n"]) for _ in range(rng.randrange(40)))])
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\r\n" if name == "a.csv" else "\n").writerows(rows)
+        (tmp_path / name).write_bytes(("\ufeff" + out.getvalue()).encode())
+        expected[name] = rows
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1"}):
+        got = records.read_records(spark, str(tmp_path), "*.csv").collect()
+        lines = records.read_lines(spark, str(tmp_path), "a.csv").collect()
+    for name, rows in expected.items():
+        own = sorted((r["record_no"], r["record"]) for r in got if r["file_name"] == name)
+        assert [n for n, _ in own] == list(range(len(rows)))
+        assert [next(csv.reader(io.StringIO(t, newline=""))) for _, t in own] == rows
+    text = (tmp_path / "a.csv").read_bytes().decode("utf-8-sig")
+    assert [r["line"] for r in sorted(lines, key=lambda r: r["line_no"])] == [t.removesuffix("\r") for t in text.split("\n")[:-1]]
+
+
+def test_torn_record_and_empty_file(spark, tmp_path):
+    (tmp_path / "feedback_1.csv").write_text(HEADER + "\n" + line("a", text='two\nlines ""quoted""') + "\n" + line("b") + "\n", encoding="utf-8")
+    (tmp_path / "feedback_2.csv").write_text("")
+    (tmp_path / "feedback_3.csv").write_text(HEADER + "\n" + line("c").replace('filial"', "filial") + "\n", encoding="utf-8")
+    status = {r["file_name"][9]: (r["status"], r["rows"]) for r in feedback.gate(feedback.file_records(spark, str(tmp_path))).collect()}
+    assert status == {"1": ("ok", 2), "2": ("empty", 0), "3": ("ok", 1)}
+    got = {r["transactionId"]: r["aonde gastou"] for r in feedback.collect(spark, str(tmp_path)).collect()}
+    assert got["a"] == 'two\nlines "quoted", filial' and got["b"] == "loja, filial"
+
+
+def test_first_line_of_a_long_file(spark, tmp_path):
+    """Far less is read than the file holds."""
+    (tmp_path / "feedback_long.csv").write_text(HEADER + "\n" + "x,y\n" * 3_000_000)
+    (tmp_path / "feedback_none.csv").write_text("")
+    began = time.time()
+    info = {r["file_name"]: r for r in feedback.file_info(spark, str(tmp_path)).collect()}
+    took = time.time() - began
+    began = time.time()
+    assert records.read_lines(spark, str(tmp_path)).count() == 3_000_001
+    assert took < time.time() - began
+    assert info["feedback_long.csv"]["has_header"] and info["feedback_long.csv"]["size"] > 12_000_000
+    assert not info["feedback_none.csv"]["has_header"]
+
+
 def test_ledger(spark, folder):
     ledger = scratch_path(spark, "ledger")
     rows, found = feedback.collect_new(spark, str(folder), ledger)
@@ -129,11 +180,24 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     got = sorted((r["id"], r["n"]) for r in feedback_stream.target_table(spark, target).collect())
     assert got == [("a", 0), ("b", 1), ("c", 1)]
     # A batch that is repeated after a failure leaves the same rows.
-    again = spark.createDataFrame([("b", 0), ("c", 1)], schema)
-    feedback_stream.append_new(again, 1, target, ["id"], ["n"])
+    at = "timestamp'2024-01-01'"
+    again = spark.createDataFrame([("b", 1), ("c", 1)], schema).selectExpr(
+        "id", "struct(n) AS __row", f"if(id = 'b', {at}, {at} + interval 1 day) AS __born", f"{at} + interval 1 day AS __latest"
+    )
+    feedback_stream.append_new(again, 1, target, ["id", "n"])
     assert feedback_stream.target_table(spark, target).count() == 3
 
 
+def test_stream_asks_only_for_its_own_keys(spark, tmp_path):
+    """The target isn't read: it may even have gone."""
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    schema = "id long, n int"
+    for k in range(3):
+        spark.range(k * 50, k * 50 + 100).selectExpr("id", f"{k} AS n").write.mode("append").parquet(source)
+        feedback_stream.ingest(spark, source, schema, str(tmp_path / f"out{k}"), checkpoint, ["id"], ["n"])
+    assert [feedback_stream.target_table(spark, str(tmp_path / f"out{k}")).count() for k in range(3)] == [100, 50, 50]
+
+
 def test_monthly_batch(spark, tmp_path):
     card = spark.createDataFrame([("c", i, d, t, v) for i, (d, t, v) in enumerate([("", "Final 0001", ""), ("", "ANA", ""), ("", "Descrição", ""), ("05/01/2024", "Netflix Com (2/3)", "1.044,90"), ("", "Subtotal", "")])],
                                  "doc_id string, line_no long, c0 string, c1 string, c3 string")
@@ -155,13 +219,46 @@ def test_retrain(spark, folder, tmp_path):
     out = jobs.retrain(spark, str(folder), ledger, root, saved, "1", small, kinds=(model.LOGISTIC,), folds=2)
     assert out["success"] and out["write"]["new_rows"] == 3
     assert out["hold_out"]["f1_macro"].first()[0] > 0.5 and out["cv"].count() == 1
-    assert feedback.read_ledger(spark, ledger).count() == 4
+    # The files are committed with the version, the ledger holds none of them.
+    assert sinks.committed_files(spark, root).count() == 4 and feedback.read_ledger(spark, ledger).count() == 0
     loaded = model.TextModel.load(saved)
     cases = spark.createDataFrame([("Netflix Com", "S"), ("Posto Shell", "P")], "text string, expected string")
     assert [r["match"] for r in model.check_cases(loaded, cases).collect()] == [True, True]
     assert jobs.retrain(spark, str(folder), ledger, root, saved, "2", small)["error"] == "no corrections to integrate"
 
 
+class Killed(Exception):
+    pass
+
+
+def test_retrain_survives_a_kill_at_any_step(spark, folder, tmp_path, monkeypatch):
+    root, ledger = scratch_path(spark, "base"), scratch_path(spark, "led")
+    rows = [(f"{w} {i}", c) for i in range(6) for w, c in (("netflix com", "S"), ("supermercado abc", "M"))]
+    base = spark.createDataFrame([(t, c, "10.0", "1", "", "10.0", "crédito", "", "", "base") for t, c in rows], schemas.all_strings(schemas.BASE_COLUMNS))
+    sinks.write_version(base, root, "0", schemas.BASE_COLUMNS)
+    small = model.Training(features=1 << 8, max_iter=5)
+    run = lambda v: jobs.retrain(spark, str(folder), ledger, root, str(tmp_path / "m"), v, small, kinds=(model.LOGISTIC,), folds=2)
+
+    def killed(*_a, **_k):
+        raise Killed
+
+    with monkeypatch.context() as m:  # data and files are written, the commit is not
+        m.setattr(sinks, "_commit", killed)
+        with pytest.raises(Killed):
+            run("1")
+    assert sinks.current(spark, root).count() == 12 and sinks.committed_files(spark, root).isEmpty()
+    with monkeypatch.context() as m:  # committed, not trained
+        m.setattr(model.TextModel, "save", killed)
+        with pytest.raises(Killed):
+            run("1")
+    assert sinks.current(spark, root).count() == 15 and sinks.committed_files(spark, root).count() == 4
+    assert sinks.version_without_model(spark, root) == "1"
+    assert run("2")["resumed"] == "1"
+    assert sinks.version_without_model(spark, root) is None and sinks.current(spark, root).count() == 15
+    assert run("3")["error"] == "no corrections to integrate"
+    assert sinks.write_version(base, root, "1", schemas.BASE_COLUMNS)["error"] == "version exists"
+
+
 def test_svc_and_auxiliary(spark):
     rows = [(i, f"{w} loja", c, "Final 1") for i, (w, c) in enumerate([("farmacia", "a"), ("mercado", "b"), ("hotel", "c")] * 12)]
     df = spark.createDataFrame(rows, "id int, `aonde gastou` string, tipo string, cartao string")
