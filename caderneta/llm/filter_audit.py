@@ -14,7 +14,6 @@ inside each Arrow batch before every shuffle, so neither a repeated row nor a te
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 from urllib.parse import unquote
 
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from caderneta.llm.common import col, partitions
-from caderneta.session import scratch_path
+from caderneta.session import scratch_path, settings
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -36,8 +35,11 @@ MICRO_BATCHES = 4
 # Texts that a bucket of the state is laid out for.
 BUCKET_TEXTS = 2048
 COUNTERS = "part string, mask int, good int, toxic int, delta long"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# A store for each partition: without this, each of them would set aside megabytes for its log.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def failures(text: Column) -> Column:
@@ -138,16 +140,6 @@ def _on_bucket(key, frames, state):
     yield delta
 
 
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: str):
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def changes(found: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Changes of the counters (``COUNTERS``) from a stream of ``facts``."""
     once = found.mapInArrow(repeats, f"{_schema(found)}, n long")
@@ -205,7 +197,7 @@ def count(
         sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta"))
         sums.write.mode("overwrite").parquet(f"{stored}/batch={number}")
 
-    with _setting(spark, PROVIDER, ROCKS):
+    with settings(spark, STORE):
         docs = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files).parquet(_watched(path, names))
         writer = changes(facts(docs, key, text, part), labels, buckets).writeStream.outputMode("update").foreachBatch(write)
         writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
