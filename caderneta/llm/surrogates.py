@@ -3,7 +3,8 @@
 Entities are found by patterns with checks (card and account check digits, address ranges) and names by titles or known given names. Each entity has a canonical value; the
 distinct ones of the corpus form a ledger in which a keyed hash gives each a surrogate of the same kind: an address stays an address of the same
 shape, a card number keeps its length, separators and a valid check digit, a name keeps gender and script. Surrogates that meet, or that are
-real entities of the corpus, are drawn again until all are distinct, so different entities stay different. The same entity has
+real entities of the corpus, are drawn again until all are distinct, so different entities stay different; where a short shape has too few
+values, the replacement gets longer. The same entity has
 the same surrogate everywhere, also where a surname or given name stands alone later in the text.
 
 Only texts that a cheap test of the JVM can't rule out are looked at, and only these are joined with their surrogates. A text that occurs often
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from caderneta.llm.common import col, cols, fresh, short_batches
 from caderneta.session import materialise
 
-MAX_ROUNDS = 64
+# Attempts in the value's own shape; later ones are wider by a character each, as all values of a short shape may be taken.
+# Telephone numbers have room enough and lose their layout sooner.
+PLAIN_ATTEMPTS, PLAIN_PHONES = 8, 64
 # A deployment passes its own secret; the checkable queries use this public one, so that their results can be repeated.
 DEMONSTRATION_KEY = "public demonstration key"
 
@@ -81,7 +84,18 @@ PATTERNS: list[tuple[str, str]] = [
      r"|(?<![\w+])\(0\d{1,4}\)[ .-]?\d{2,8}(?:[ -]\d{2,8}){0,3}(?!\d)|(?<![\w+.-])[1-9]\d{2} \d{3} \d{4}(?![\d-])"),
     ("name", rf"(?<!\w)(?:(?P<title>{_ANY_TITLE})\.?{_BLANK}+(?P<titled>{_RUN})|(?P<given>{_ANY_GIVEN}){_BLANK}+(?P<family>{_RUN}))(?!\w)"),
 ]
-_FIND = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in PATTERNS))
+# What a text must hold for a kind; patterns of other kinds aren't tried on it.
+_NEEDS = {
+    "email": re.compile("@"), "secret": re.compile("[=:]"), "ip": re.compile(r"\d\."), "ssn": re.compile(r"\d-\d"),
+    **dict.fromkeys(("iban", "card", "phone"), re.compile(r"\d")),
+}
+
+
+@cache
+def _finder(kinds: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in PATTERNS if kind in kinds))
+
+
 # Every text with an entity passes this: other kinds need one of these characters, names two words with capitals in a row, one before a particle, or a title with a dot.
 # Each branch begins with a class of characters, which most places in a text fail at once.
 MAY_HOLD = r"[@0-9=:]|\p{Lu}(?<!\p{L}\p{Lu})\p{L}*+[ \t\xa0]++\p{Lu}|(?=\p{Lu})\b(?:" + _ANY_TITLE + r")\.[ \t\xa0]|\p{Lu}(?<!\p{L}\p{Lu})\p{L}++[ \t\xa0]++" + _PARTICLE + r"[ \t\xa0]"
@@ -116,7 +130,9 @@ def _digits(value: str) -> str:
 
 def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value), not overlapping; kinds of name parts tell gender and script."""
-    for m in _FIND.finditer(text):
+    held = {need: need.search(text) is not None for need in set(_NEEDS.values())}
+    kinds = tuple(kind for kind, _ in PATTERNS if kind not in _NEEDS or held[_NEEDS[kind]])
+    for m in _finder(kinds).finditer(text):
         kind = m.lastgroup if m.lastgroup.startswith("k_") else next(k for k, v in m.groupdict().items() if v is not None and k.startswith("k_"))
         kind, value = kind[2:], m[0]
         if kind == "email":
@@ -206,34 +222,38 @@ def _words(listed: str) -> list[str]:
 
 
 def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
-    """Replacement of a canonical value, in canonical form; another one for each attempt."""
+    """Replacement of a canonical value, in canonical form; another one for each attempt.
+
+    After ``PLAIN_ATTEMPTS`` the shape gets wider with each attempt, so that in the end there is a free value for every one.
+    """
     draw = _stream(key, kind, value, attempt)
+    wider = max(0, attempt + 1 - (PLAIN_PHONES if kind == "phone" else PLAIN_ATTEMPTS))
     if kind == "email":
         local, _, domain = value.partition("@")
         *names, top = domain.split(".")
-        return "".join(_same_kind(c, draw) for c in local) + "@" + ".".join("".join(_same_kind(c, draw) for c in n) for n in names) + "." + top
+        return "".join(_same_kind(c, draw) for c in local) + "".join(chr(97 + draw(26)) for _ in range(wider)) + "@" + ".".join("".join(_same_kind(c, draw) for c in n) for n in names) + "." + top
     if kind == "ip":
-        parts = [len(p) for p in value.split(".")]
+        parts = [3 if wider else len(p) for p in value.split(".")]
         return ".".join(str(1 + draw(9) if n == 1 else 10 + draw(90) if n == 2 else 100 + draw(156)) for n in parts)
     if kind == "card":
         body = value[0] + "".join(str(draw(10)) for _ in value[1:-1])
         return body + luhn_digit(body)
     if kind == "ssn":
-        return f"{900 + draw(100)}-{10 + draw(90)}-{1000 + draw(9000)}"
+        return f"{100 + draw(900) if wider else 900 + draw(100)}-{10 + draw(90)}-{1000 + draw(9000)}"
     if kind == "iban":
         rest = "".join(_same_kind(c, draw) for c in value[4:])
         return value[:2] + iban_check(value[:2], rest) + rest
     if kind == "phone":
         # Sign and first digit of the country code, or the prefix of zeros.
         kept = 2 if value[0] == "+" else len(value) - len(value[:-1].lstrip("0")) - 1
-        return value[:kept] + "".join(str(1 + draw(9)) if c == value[kept] and i == 0 else str(draw(10)) for i, c in enumerate(value[kept:]))
+        return value[:kept] + "".join(str(1 + draw(9)) if c == value[kept] and i == 0 else str(draw(10)) for i, c in enumerate(value[kept:] + "0" * wider))
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdefABCDEF" for c in value)
-        return "".join(_same_kind(c, draw, hexadecimal) for c in value)
+        return "".join(_same_kind(c, draw, hexadecimal) for c in value + "0" * wider)
     part, *rest = kind.split()
     script = rest[-1]
     syllables = _words(SYLLABLES[script])
-    stem = "".join(syllables[draw(len(syllables))] for _ in range(2 + min(attempt, 4)))
+    stem = "".join(syllables[draw(len(syllables))] for _ in range(2 + min(attempt, 4) + wider))
     if part == "family":
         return stem + syllables[draw(len(syllables))]
     if attempt == 0:
@@ -247,11 +267,11 @@ def rendered(mention: str, kind: str, replacement: str) -> str:
     """The canonical replacement in the format of the mention: separators and letter case."""
     if kind in ("card", "phone", "iban"):
         plain = iter(replacement.lstrip("+") if kind == "phone" else replacement)
-        return "".join(next(plain) if c.isalnum() else c for c in mention)
+        return "".join(next(plain) if c.isalnum() else c for c in mention) + "".join(plain)
     if kind == "email":
         if mention.isupper():
             return replacement.upper()
-        return "".join(r.upper() if c.isupper() else r for c, r in zip(mention, replacement, strict=True))
+        return "".join(r.upper() if mention[i : i + 1].isupper() else r for i, r in enumerate(replacement))
     if kind.startswith(("given", "family")):
         if mention.isupper():
             return replacement.upper()
@@ -259,13 +279,13 @@ def rendered(mention: str, kind: str, replacement: str) -> str:
     return replacement
 
 
-def replaced(text: str, ledger: dict[tuple[str, str], str]) -> tuple[str, int]:
-    """Text with every entity replaced, and how many there were."""
-    out, at, n = [], 0, 0
-    for start, end, kind, value in find(text):
-        out += [text[at:start], rendered(text[start:end], kind, ledger[kind, value])]
-        at, n = end, n + 1
-    return "".join(out) + text[at:], n
+def replaced(text: str, spans: list[tuple[int, int, str, str]]) -> str:
+    """Text with the spans (start, end, kind, canonical replacement) replaced, each in the format of its mention."""
+    out, at = [], 0
+    for start, end, kind, new in sorted(spans):
+        out += [text[at:start], rendered(text[start:end], kind, new)]
+        at = end
+    return "".join(out) + text[at:]
 
 
 def _key(text: Column) -> Column:
@@ -283,7 +303,7 @@ def ledger(entities: DataFrame, key: str) -> DataFrame:
     held = known.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "value", "attempt"))
     real = known.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
     group = F.element_at(F.split("kind", " "), 1)  # name parts of different gender must differ too
-    for _ in range(MAX_ROUNDS):
+    while True:
         held = materialise(held, "ledger")
         first = held.groupBy(group.alias("sort"), "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", F.xxhash64("kind", "value"), "kind", "value")).alias("first"))
         shared = first.filter("n > 1").select("sort", "surrogate", "first.kind", "first.value", F.lit(True).alias("shared"))
@@ -300,18 +320,21 @@ def ledger(entities: DataFrame, key: str) -> DataFrame:
         later = F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt"))
         moved = judged.filter("again").select("kind", "value", later.alias("attempt")).withColumn("surrogate", draw("kind", "value", "attempt"))
         held = judged.filter("not again").select("kind", "value", "attempt", "surrogate").unionByName(moved)
-    raise RuntimeError("surrogates still collide; the values of a kind are too short for their number")
+
+
+MENTION = "key binary, start int, end int, kind string, value string"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, kinds, values = [], [], []
-        for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for kind, canonical in sorted({(k, v) for _, _, k, v in find(value.as_py())}):
-                keys.append(key)
-                kinds.append(kind)
-                values.append(canonical)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["key", "kind", "value"])
+        rows = [
+            (key, *mention)
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+            for mention in find(value.as_py())
+        ]
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "start", "end", "kind", "value"])
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | None = None) -> DataFrame:
@@ -324,10 +347,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | N
     key_name, pairs, n_name = fresh(docs, "text_key", "pairs", "n_replaced")
     may = F.coalesce(col(text).rlike(MAY_HOLD), F.lit(False))
     looked, rest = docs.filter(may), docs.filter(~may)
-    found = looked.select(_key(col(text)).alias("key"), col(text)).mapInArrow(_found, "key binary, kind string, value string").distinct()
+    found = looked.select(_key(col(text)).alias("key"), col(text)).mapInArrow(_found, MENTION).distinct()
     found = materialise(found, "mentions")
     book = ledger(found, key)
-    of_text = found.join(book, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(pairs))
+    # The places found in the first pass come back with their surrogates; no text is searched twice.
+    of_text = found.join(book, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias(pairs))
     of_text = of_text.withColumnRenamed("key", key_name)
 
     @F.pandas_udf("struct<text string, n long>")
@@ -335,7 +359,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | N
         import pandas as pd
 
         out = [
-            (t, 0) if ps is None else replaced(t, {(p["kind"], p["value"]): p["surrogate"] for p in ps}) for t, ps in zip(texts, lists, strict=True)
+            (t, 0) if ps is None else (replaced(t, [(p["start"], p["end"], p["kind"], p["surrogate"]) for p in ps]), len(ps))
+            for t, ps in zip(texts, lists, strict=True)
         ]
         return pd.DataFrame(out, columns=["text", "n"])
 

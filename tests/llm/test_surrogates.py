@@ -69,6 +69,19 @@ def test_corpus(spark):
     assert S.pseudonymise(df.limit(0), "k").count() == 0 and S.pseudonymise(df, "k").columns == df.columns
 
 
+def test_crowded_shapes_end_without_error(spark):
+    """5 000 of the 6 561 addresses of four digits other than zero, and 600 of 676 addresses of one letter each."""
+    digits = [f"{i // 729 % 9 + 1}.{i // 81 % 9 + 1}.{i // 9 % 9 + 1}.{i % 9 + 1}" for i in range(5000)]
+    mails = [f"{chr(97 + i // 26)}@{chr(97 + i % 26)}.com" for i in range(600)]
+    rows = [(v, "ip") for v in digits] + [(v, "email") for v in mails]
+    book = S.ledger(spark.createDataFrame(rows, "value string, kind string"), "k").collect()
+    assert len(book) == 5600 and len({(r["kind"], r["surrogate"]) for r in book}) == 5600
+    real = set(rows)
+    assert not any((r["surrogate"], r["kind"]) in real for r in book)
+    for r in book[::97]:
+        assert [k for _, _, k, _ in S.find(f"x {r['surrogate']} y")] == [r["kind"]]
+
+
 def test_query_matches_brute_force(spark):
     """Each text is rewritten with some ledger that is one to one and agrees between texts."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
