@@ -27,6 +27,8 @@ RULE_SCHEMA = "verdict string, host string, path string"
 ALLOW, BLOCK = "allow", "block"
 # Sampled keys for each range bound.
 OVERSAMPLE = 20
+# Characters of a range bound.
+BOUND_CHARS = 256
 
 
 def host_of(url: Column) -> Column:
@@ -44,12 +46,14 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def level_keys(host: Column, path: Column) -> Column:
-    """Keys of a URL, from the whole host to its last label; none for an empty host."""
+def level_keys(host: Column, path: Column, levels: list[int]) -> Column:
+    """Keys of a URL's last labels, as many labels as ``levels`` says; none for an empty host.
+
+    A rule fits at the level of its own host only, so levels that no rule has need no key.
+    """
     labels = F.reverse(F.split(host, r"\.", -1))
-    keys = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit("/"), path)
-    )
+    wanted = F.filter(F.array(*[F.lit(n) for n in levels]).cast("array<int>"), lambda n: n <= F.size(labels))
+    keys = F.transform(wanted, lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("/"), path))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
@@ -73,7 +77,8 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bounds(keys: DataFrame, parts: int) -> list[str]:
     """At most ``parts - 1`` keys that cut the keys into even ranges: quantiles of a uniform sample by hash order."""
-    picked = keys.orderBy(F.xxhash64("key"), "key").limit(OVERSAMPLE * parts).collect()
+    # Any string can be a bound, so a long key gives its beginning.
+    picked = keys.orderBy(F.xxhash64("key"), "key").limit(OVERSAMPLE * parts).select(F.left("key", F.lit(BOUND_CHARS)).alias("key")).collect()
     drawn = sorted(r["key"] for r in picked)
     return sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
 
@@ -130,7 +135,8 @@ def judge(
         )
     )
     urls = parsed.filter("host <> ''").select("host", "path").distinct()
-    levels = urls.select("host", "path", F.explode(level_keys(F.col("host"), F.col("path"))).alias("key"))
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\.", -1)).alias("n")).filter("n > 0").distinct().collect())
+    levels = urls.select("host", "path", F.explode(level_keys(F.col("host"), F.col("path"), depths)).alias("key"))
     found = longest_rules(levels.select("key").distinct(), tidy)
     rule = F.from_json("rule", "host string, path string, verdict string")
     best = (

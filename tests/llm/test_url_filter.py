@@ -51,3 +51,11 @@ def test_odd_rules_and_empty_tables(spark):
     ]
     assert U.judge(df.limit(0), rules).count() == 0
     assert U.judge(df, rules.limit(0)).filter(F.col("verdict") == "allow").count() == 3
+
+
+def test_long_urls_and_hosts_of_many_labels(spark):
+    urls = ["http://x.example.com/de/" + "a" * 200_000 + str(i) for i in range(30)] + ["http://" + "a." * 20_000 + "net/x", "http://example.com/de/" + "b/" * 50_000]
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:] for r in U.judge(df, spark.createDataFrame(rules, U.RULE_SCHEMA)).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
