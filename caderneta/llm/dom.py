@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -15,6 +16,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Sections without an end run to the end of the page.
+UNCLOSED = [("<!--", "-->"), ("<![CDATA[", "]]>")]
+_LABEL = re.compile(r"data-y=\"?([01])")
 
 # Fixed values of HTML: elements without content, with raw content, and that stand in a line of text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,11 +83,18 @@ def _end_tag(name: str) -> re.Pattern:
 class Page:
     """Elements in page order (parents first): tag, parent, families, label; and runs: element, text, characters in links."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
+        """``labelled`` pages are made for training and mark their elements with ``data-y``."""
         self.tag, self.parent, self.families, self.label = ["html"], [-1], [0], [None]
         self.runs: list[tuple[int, str, int]] = []
         stack, pieces, linked, in_link = [0], [], 0, 0
+        opened = Counter()  # names on the stack, but for the root
+        endless: set[str] = set()  # raw elements that nothing ends any more
         at = 0
+        # Behind the last bracket no tag can end, only a comment can begin; looking for one there would read the rest again and again.
+        tail = html.rfind(">") + 1
+        cut = html.find("<!--", tail)
+        html = html[:cut] if cut >= 0 else html
 
         def flush() -> None:
             nonlocal pieces, linked
@@ -92,7 +103,12 @@ class Page:
                 self.runs.append((stack[-1], text, linked))
             pieces, linked = [], 0
 
-        for m in _TOKEN.finditer(html):
+        def close(down_to: int) -> None:
+            for i in stack[down_to:]:
+                opened[self.tag[i]] -= 1
+            del stack[down_to:]
+
+        for m in _TOKEN.finditer(html, 0, tail):
             begin, end = m.span()
             if begin < at:
                 continue  # inside raw content
@@ -105,6 +121,8 @@ class Page:
             at = end
             name = m[2] or m[5]
             if name is None:
+                if any(m[0].startswith(a) and not m[0].endswith(b) for a, b in UNCLOSED):
+                    at = len(html)
                 continue
             name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if name in INLINE:
@@ -114,13 +132,16 @@ class Page:
                 pieces.append(" ")
             elif closing:
                 flush()
-                if name in self._open(stack):
-                    while self.tag[stack.pop()] != name:
-                        pass
-                    stack = stack or [0]
+                if opened[name]:
+                    last = len(stack) - 1
+                    while self.tag[stack[last]] != name:
+                        last -= 1
+                    close(last)
             elif name in RAW:
                 if name != "head" and not attributes.endswith("/"):
-                    stop = _end_tag(name).search(html, end)
+                    stop = None if name in endless else _end_tag(name).search(html, end)
+                    if not stop:
+                        endless.add(name)
                     if stop:
                         at = html.find(">", stop.start()) + 1 or len(html)
                     elif name in ("script", "style"):
@@ -134,28 +155,27 @@ class Page:
                 flush()
                 in_link = 0
                 while self.tag[stack[-1]] == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
                 closes, scope = CLOSES.get(name, ((), ()))
-                if closes:
+                if any(opened[c] for c in closes):
                     for i in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[i]] in scope:
                             break
                         if self.tag[stack[i]] in closes:
-                            del stack[i:]
+                            close(i)
                             break
                 self.tag.append(name)
                 self.parent.append(stack[-1])
                 self.families.append(_families(attributes) if attributes else 0)
-                self.label.append(attributes[attributes.index("data-y=") + 7] == "1" if "data-y=" in attributes else None)
+                mark = _LABEL.search(attributes) if labelled else None
+                self.label.append(mark[1] == "1" if mark else None)
                 stack.append(len(self.tag) - 1)
+                opened[name] += 1
         if at < len(html):
             pieces.append(unescape(html[at:]))
         flush()
         self._name_runs()
 
-    def _open(self, stack: list[int]) -> set[str]:
-        return {self.tag[i] for i in stack[1:]}
-
     def _name_runs(self) -> None:
         """Runs beside child elements become nodes of their own."""
         parents = set(self.parent)
@@ -208,10 +228,10 @@ def features(page: Page) -> np.ndarray:
             before[i] = sums[members[k - 1], 0] if k else 0
             after[i] = sums[members[k + 1], 0] if k + 1 < m else 0
         if m > 1:
-            groups = [group[i] for i in members]
+            groups = Counter(group[i] for i in members)
             total = sum(sums[i, 0] for i in members)
             for i in members:
-                alike[i] = groups.count(group[i]) / m
+                alike[i] = groups[group[i]] / m
                 near[i] = (total - sums[i, 0]) / (m - 1)
     chars = np.maximum(sums[:, 0], 1)
     up = np.maximum(parent, 0)

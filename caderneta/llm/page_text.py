@@ -216,7 +216,7 @@ def fit(pages: int = TRAINING_PAGES, seed: int = SEED) -> Forest:
     """Trees for the node labels of generated pages. The same arguments give the same trees."""
     rows, labels = [], []
     for html in labelled_pages(pages, seed):
-        page = dom.Page(html)
+        page = dom.Page(html, labelled=True)
         found = [page.label[i] if page.label[i] is not None else page.label[p] if p >= 0 else True for i, p in enumerate(page.parent)]
         known = [i for i, y in enumerate(found) if y is not None]
         rows.append(dom.features(page)[known])

@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_held_out_generated_pages():
     right = wrong = 0
-    for page in map(dom.Page, page_text.labelled_pages(120, 12345)):
+    for page in (dom.Page(p, labelled=True) for p in page_text.labelled_pages(120, 12345)):
         opened = page_text.open_nodes(page.parent, page_text.fit().logits(dom.features(page)))
         for element, text, _ in page.runs:
             label = page.label[element] if page.label[element] is not None else page.label[page.parent[element]]
@@ -90,3 +91,24 @@ def test_formulas_stay_in_their_line():
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = {2}</annotation></semantics></math>"
     page = dom.Page(f"<body><p>where {formula} holds</p></body>")
     assert [x for _, x, _ in page.runs] == ["where x=2 holds"]
+
+
+@pytest.mark.parametrize("html", [
+    "<div data-y=><p data-y>text</p></div>", '<a "x' * 7_500, "<a 'x>" * 20_000, "<p>a</p>" * 100_000, "<div>" * 50_000 + "x" + "</div>" * 50_000,
+    "<title>" * 40_000, "<textarea x" * 40_000, "<!--" + "<p>" * 50_000, "</b></div>" * 50_000, "<li><div>" * 2_000 + "<td>" * 20_000, "<" * 200_000,
+])
+def test_hostile_pages_take_linear_time(html):
+    began = time.process_time()
+    page = dom.Page(html)
+    dom.features(page)
+    assert time.process_time() - began < 12
+
+
+def test_unclosed_sections_and_text_behind_the_last_tag():
+    texts = lambda html: [t for _, t, _ in dom.Page(html).runs]
+    assert texts("<p>a</p>b <!-- c <p>d</p> e") == ["a", "b"]
+    assert texts("<p>a</p>b 1 < 2") == ["a", "b 1 < 2"]
+    assert texts("<p>a</p>b <!-- c") == ["a", "b"]
+    assert texts("<div data-y=0><p data-y=0>a</p></div>") == ["a"]
+    assert all(x is None for x in dom.Page("<div data-y=1>a</div>").label)
+    assert dom.Page("<div data-y=1>a</div>", labelled=True).label[1] is True
