@@ -30,7 +30,7 @@ from caderneta.session import materialise
 LEAST_SHARE, MOST_SHARE = 0.002, 0.1
 LEVELS, SUBSETS = 11, 12
 # Hex digits of the exact part and of each hash; a hash of zeros says that the text has no term in the subset.
-EXACT_DIGITS, HASH_DIGITS = 16, 3
+EXACT_DIGITS, HASH_DIGITS = 16, 8
 # A level counts if at most this share of its subsets holds a term of the text.
 MOST_FILLED = 0.75
 # Terms that a task counts before it hands them on.
@@ -110,17 +110,15 @@ class Fingerprints:
     def of(self, text: str) -> str:
         exact = hashlib.sha256(text.encode()).hexdigest()[:EXACT_DIGITS]
         place = self._place
+        # Terms in the order of the lexicon, which is sorted; each subset's list of them is hashed.
         found = np.array(sorted(place[t] for t in terms(text) if t in place), np.int64)
-        # Equal sorted lists of terms have equal sums of term hashes: first by each term's last level, then over all levels from there on.
-        level, hashes = self._level[found].astype(np.int64), self._hash[found]
-        cell = (level * SUBSETS + np.arange(SUBSETS)).ravel()
-        sums = np.zeros((LEVELS + 1) * SUBSETS, np.uint64)
-        np.add.at(sums, cell, np.repeat(hashes, SUBSETS))
-        held = np.bincount(cell, minlength=len(sums))
-        sums, held = (x.reshape(-1, SUBSETS)[::-1].cumsum(axis=0, dtype=x.dtype)[::-1][1:] for x in (sums, held))
-        mixed = (sums ^ (sums >> np.uint64(31))) * _SPREAD
-        out = np.where(held > 0, np.maximum(mixed >> np.uint64(52), np.uint64(1)), np.uint64(0))
-        return exact + "".join([f"{x:03x}" for x in out.ravel().tolist()])
+        level, hashes = self._level[found], self._hash[found]
+        out = np.zeros((LEVELS, SUBSETS), np.uint32)
+        for i in range(LEVELS):
+            inside = level > i
+            for j in np.flatnonzero(inside.any(axis=0)).tolist():
+                out[i, j] = max(1, xxhash.xxh32_intdigest(hashes[inside[:, j]].tobytes()))
+        return exact + out.astype(">u4").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:

@@ -4,6 +4,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import xxhash
+
 import __spark_entry__ as E
 from caderneta.llm import imatch
 
@@ -23,16 +26,6 @@ def slow(rows, words):
     return out
 
 
-def test_query_matches_brute_force(spark):
-    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
-    df = Counter(t for _, x in docs for t in imatch.terms(x))
-    words = sorted(t for t, n in df.items() if imatch.LEAST_SHARE * len(docs) <= n <= imatch.MOST_SHARE * len(docs))
-    got = [tuple(r) for r in E.queries()["op7_imatch"](spark, SF).collect()]
-    assert sorted(got) == sorted(slow(docs, words))
-    near = [r[5] > r[6] for r in got if r[1] > 200]
-    assert sum(near) > 0.95 * len(near)
-
-
 def test_likeness():
     r = random.Random(1)
     words = sorted({f"w{i}" for i in range(3000)})
@@ -79,3 +72,25 @@ def test_query_counts_distinct_texts(spark):
     words = sorted(t for t, n in df.items() if imatch.LEAST_SHARE * len(texts) <= n <= imatch.MOST_SHARE * len(texts))
     got = [tuple(r) for r in E.queries()["op7_imatch"](spark, SF).collect()]
     assert len(texts) < len(docs) and sorted(got) == sorted(slow(docs, words))
+    near = [r[5] > r[6] for r in got if r[1] > 200]
+    assert sum(near) > 0.95 * len(near)
+
+
+def test_hashes_are_those_of_sorted_lists():
+    words = sorted({f"w{i}" for i in range(400)})
+    prints = imatch.Fingerprints(words)
+    own = random.Random(2).sample(words, 90)
+    place = np.array(sorted(words.index(w) for w in own))
+    got = np.frombuffer(bytes.fromhex(prints.of(" ".join(own))[imatch.EXACT_DIGITS:]), ">u4").reshape(imatch.LEVELS, imatch.SUBSETS)
+    for level in range(imatch.LEVELS):
+        for subset in range(imatch.SUBSETS):
+            held = [i for i in place if prints._level[i, subset] > level]
+            listed = b"".join(int(prints._hash[i]).to_bytes(8, "little") for i in held)
+            assert got[level, subset] == (max(1, xxhash.xxh32_intdigest(listed)) if held else 0)
+
+
+def test_long_text(spark):
+    text = "palavra outra " * 150_000
+    df = spark.createDataFrame([(1, text), (2, "curta"), (3, text + "fim")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.compare(df).collect()}
+    assert got[1]["n_chars"] == len(text) and got[1]["edited_sha256"] == hashlib.sha256((text[: len(text) - len(text) // 4] + "curta").encode()).hexdigest()
