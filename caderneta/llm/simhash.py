@@ -15,7 +15,7 @@ alternating large-star and small-star steps, whose number grows with the logarit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +112,16 @@ def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def groups_of(values: np.ndarray, differences: int = DIFFERENCES) -> np.ndarray:
-    """For fingerprints (uint64, by Gray rank): the index of the first member of each one's linked group."""
+def groups_of(
+    values: np.ndarray, differences: int = DIFFERENCES, join: Callable = _joined, labels: np.ndarray | None = None
+) -> np.ndarray:
+    """For fingerprints (uint64, by Gray rank): the index of the first member of each one's linked group.
+
+    ``join`` gets the labels and near pairs (a, b) and returns the new labels; it may leave pairs unlinked. ``labels`` are groups that
+    are known before.
+    """
     n = len(values)
-    labels = np.arange(n)
+    labels = np.arange(n) if labels is None else labels
     # From the leaves up: bits that all members have set, and bits that any has.
     levels = [(values, values)]
     while len(levels[-1][0]) > FAN_OUT:
@@ -137,7 +143,7 @@ def groups_of(values: np.ndarray, differences: int = DIFFERENCES) -> np.ndarray:
         near = np.bitwise_count(apart) <= differences
         i, j = i[near], j[near]
         if level == 0:
-            labels = _joined(labels, i, j)
+            labels = join(labels, i, j)
             continue
         if len(i) > PAIRS_AT_ONCE // FAN_OUT**2 or level == 1:
             span = FAN_OUT**level
