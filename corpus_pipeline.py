@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caderneta.llm import language_id, line_quality, packing, simhash, surrogates
+from caderneta.llm import language_id, line_quality, near_copies, packing, surrogates
 from caderneta.llm.common import cols, fresh, table
 from caderneta.session import materialise
 
@@ -25,16 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies, that is, of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest doc_id.
 
-    Repeated rows are near copies of themselves. A document without doc_id stands behind all that have one, in the order of a hash of its text.
+    Repeated rows are near copies of themselves; rows with one doc_id and different texts are judged by their texts. A document without
+    doc_id stands behind all that have one, in the order of a hash of its text. Null and empty texts are alike.
     """
     (key,) = fresh(docs, "row_key")
     beyond = F.shiftrightunsigned(F.xxhash64("text"), 3) + F.lit(1 << 62)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id"), beyond))
-    found = materialise(simhash.fingerprints(keyed, key), "pipeline-simhash")
-    kept = simhash.cluster(found).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*cols(docs.columns))
+    return near_copies.keep_first(keyed, key).select(*cols(docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
