@@ -198,8 +198,7 @@ def even_chunks(
     """
     keys, order = list(keys), list(order)
     if rows is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = max(LEAST_ROWS, df.count() // (CHUNKS_PER_PARTITION * parts))
+        rows = rows_per_chunk(df)
         rows = min(rows, most) if most else rows
     place = F.struct(*[F.col(c) for c in order])
     rate = max(1, rows // SAMPLES_PER_CHUNK)
@@ -221,7 +220,22 @@ def even_chunks(
     return null_safe_join(df, F.broadcast(bounds), keys, "left").withColumn(name, number).drop("__bounds")
 
 
-def hash_chunk(*columns: Column, digits: int = 3) -> tuple[Column, Column]:
+def rows_per_chunk(df: DataFrame) -> int:
+    """Rows of a chunk that give every shuffle partition a few chunks; counts the table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_ROWS, df.count() // (CHUNKS_PER_PARTITION * parts))
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Leading hexadecimal digits of a hash that give every shuffle partition a few chunks; counts the table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks, digits = min(df.count() / LEAST_ROWS, CHUNKS_PER_PARTITION * parts), 0
+    while 16**digits < chunks:
+        digits += 1
+    return digits
+
+
+def hash_chunk(*columns: Column, digits: int) -> tuple[Column, Column]:
     """(position, chunk) for a reproducible random order: an md5 and its leading digits."""
     position = F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))
     return position, F.substring(position, 1, digits)

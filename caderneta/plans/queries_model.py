@@ -38,6 +38,20 @@ def folds(spark, sf_dir):
     return sampling.folds(rows, "quality", "doc_id").withColumn("fold", F.col("fold").cast("bigint"))
 
 
+@query(
+    "q_grouped_folds",
+    """WITH d AS (SELECT l.doc_id, CAST(quality AS VARCHAR) AS quality, sha256(coalesce(d.text, '')) AS text_key FROM labels l JOIN documents d USING (doc_id)),
+         p AS (SELECT text_key, quality, count(*) AS n FROM d GROUP BY 1, 2),
+         g AS (SELECT text_key, min({'n': -n, 'q': quality}).q AS own, sum(n) AS size FROM p GROUP BY 1),
+         w AS (SELECT *, sum(size) OVER (PARTITION BY own ORDER BY md5(text_key), text_key) AS upto, sum(size) OVER (PARTITION BY own) AS total FROM g)
+       SELECT doc_id, quality, CAST(least(floor((2 * upto - size) * 5 / (2 * total)), 4) AS BIGINT) AS fold FROM d JOIN w USING (text_key)""",
+)
+def grouped_folds(spark, sf_dir):
+    """Copies of a document share a fold."""
+    rows = labelled(spark, sf_dir).withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    return sampling.grouped_folds(rows, "quality", "text_key").select("doc_id", "quality", F.col("fold").cast("bigint").alias("fold"))
+
+
 @query(
     "q_oversample",
     f"""WITH {RANK_SQL}, m AS (SELECT *, CAST(greatest(floor((SELECT max(n) FROM r) * 0.7) - n, 0) AS BIGINT) AS missing FROM r)

@@ -11,7 +11,7 @@ from caderneta.operators import export, layout, ordered, statement
 from caderneta.operators.once import evaluate_once
 from caderneta.plans.catalog import query
 from caderneta.plans.queries_fields import PTBR_TEXT
-from caderneta.plans.tx import transactions, with_tx
+from caderneta.plans.tx import table, transactions, with_tx
 from caderneta.session import materialise
 
 
@@ -153,7 +153,9 @@ def line_fields(spark, sf_dir):
 def export_card_rows(spark, sf_dir):
     """Exports printed per supplier: card block, item rows, subtotal, summary tail."""
     tx = transactions(spark, sf_dir).select("l_suppkey", "s_name", "p_name", "tx_id", "l_partkey", "amount", "l_shipdate")
-    place, chunk = ordered.hash_chunk(F.col("tx_id"), F.col("l_partkey"), F.col("amount"), F.col("l_shipdate"))
+    place, chunk = ordered.hash_chunk(
+        F.col("tx_id"), F.col("l_partkey"), F.col("amount"), F.col("l_shipdate"), digits=ordered.hash_digits(table(spark, sf_dir, "lineitem"))
+    )
     tx = ordered.scan(tx.withColumn("place", place), ["l_suppkey"], ["place"], chunk, [ordered.row_number("line")])
     items = tx.select(
         F.col("l_suppkey").alias("doc_id"), (F.col("line") + 2).alias("line_no"),

@@ -7,9 +7,8 @@ or inside a quoted field); a window over a file's few summaries gives every spli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,26 +87,33 @@ def read_records(spark: SparkSession, path: str, glob: str | None = None, quote:
     return alone.unionByName(pieced).select("file_name", "record_no", _bare(F.col("line"), F.col("record_no") == 0).alias("record"))
 
 
+# A task for each file, from its beginning.
+ONE_FILE = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.openCostInBytes": str(1 << 50)}
+FILES_TOGETHER = 100
+
+
+def first_line(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, line): the first line of one file. The limit ends the task, so the rest of the file isn't read."""
+    return _lines(spark, path, None).select("file_name", "line").limit(1)
+
+
 def first_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_name, line): the first line of each file. A task reads one file and stops after its first batch of lines."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                return
-
-    whole = str(1 << 50)
-    with settings(spark, {"spark.sql.files.maxPartitionBytes": whole, "spark.sql.files.openCostInBytes": whole}):
-        lines = _lines(spark, path, glob).select("file_name", "line")
-        heads = materialise(lines.mapInArrow(first, lines.schema), "first-lines")
+    """(file_name, line): the first line of each file, whatever its size; the driver holds the names."""
+    found = [r["path"] for r in _files(spark, path, glob).select("path").collect()]
+    heads = spark.createDataFrame([], "file_name string, line string")
+    with settings(spark, ONE_FILE):
+        for at in range(0, len(found), FILES_TOGETHER):
+            some = [first_line(spark, p) for p in found[at : at + FILES_TOGETHER]]
+            heads = heads.unionByName(materialise(reduce(DataFrame.unionByName, some), "first-lines"))
     return heads.select("file_name", _bare(F.col("line"), F.lit(True)).alias("line"))
 
 
+def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+
+
 def file_list(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file_name, size, modified) of the files; their content isn't read."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     name = F.element_at(F.split("path", "/"), -1)
-    return reader.load(path).select(name.alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return _files(spark, path, glob).select(name.alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

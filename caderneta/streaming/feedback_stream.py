@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from caderneta.session import settings
 
 BATCH = "ingest_batch"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keys on disk; a store of each partition sets nothing aside for its log.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def target_table(spark: SparkSession, target: str, schema: str | None = None) -> DataFrame | None:
@@ -60,7 +63,7 @@ def ingest(
     for name, value in (options or {}).items():
         reader = reader.option(name, value)
     arrived = reader.load(source)
-    with settings(spark, {STATE_STORE: ROCKS_DB}):
+    with settings(spark, STATE_STORE):
         stream = (
             first_rows(arrived, keys, order)
             .writeStream.outputMode("update").option("checkpointLocation", checkpoint)

@@ -141,6 +141,17 @@ def test_dedup(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_auc_with_piled_scores(spark):
+    """Scores piled at 0 and 1 and many distinct ones, several models at once, against all pairs."""
+    rng = random.Random(3)
+    rows = [(m, rng.choice("yn"), rng.choice([0.0, 1.0, rng.random()])) for m in "ab" for _ in range(300)]
+    df = spark.createDataFrame([(m, t, [p]) for m, t, p in rows], "m string, t string, p array<double>")
+    got = {r["m"]: r["auc"] for r in metrics.auc_per_class(df, "t", F.col("p"), ["y"], ["m"]).collect()}
+    for m in "ab":
+        pos, neg = ([p for k, t, p in rows if (k, t) == (m, y)] for y in "yn")
+        assert got[m] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
 def test_sampling(spark):
     df = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(200)], "id int, y string")
     counts = {(r["y"], r["part"]): r["count"] for r in sampling.stratified_split(df, "y", "id").groupBy("y", "part").count().collect()}
@@ -150,6 +161,19 @@ def test_sampling(spark):
     assert sampling.oversample(df, "y", "id").filter("y = 'b'").count() == int(180 * 0.7)
 
 
+def test_copies_share_a_fold(spark):
+    rows = [(i, f"t{i // 3}" if i < 90 else "hot" if i < 140 else None, "a" if i % 2 else "b") for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, t string, y string")
+    out = sampling.grouped_folds(df, "y", "t", 4).collect()
+    assert sorted(r["id"] for r in out) == list(range(160))
+    folds = {}
+    for r in out:
+        folds.setdefault(r["t"], set()).add(r["fold"])
+    assert all(len(f) == 1 for f in folds.values()) and {f for s in folds.values() for f in s} == {0, 1, 2, 3}
+    single = sampling.grouped_folds(df.withColumn("t", F.col("id")), "y", "t", 4).groupBy("y", "fold").count().collect()
+    assert {r["count"] for r in single} == {20}
+
+
 def test_nulls_keep_their_rows(spark):
     rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 2, 3.0), (None, None, 4.0), ("a", 3, None)]
     df = spark.createDataFrame(rows, "k string, i long, x double")
