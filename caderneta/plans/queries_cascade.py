@@ -148,7 +148,7 @@ def rule_table_parts(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("priority"), F.col("p_partkey").cast("string").alias("name"),
         F.when(F.col("p_partkey") % 2 == 0, REGEX).otherwise(LITERAL).alias("kind"),
-        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("(?:"), F.replace(name, F.lit(" "), F.lit(r"\\s")), F.lit(")"))).otherwise(name).alias("pattern"),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("(?:"), F.replace(name, F.lit(" "), F.lit(r"\s")), F.lit(")"))).otherwise(name).alias("pattern"),
         F.lit("Obra casa").alias("category"), F.lit(0.9).alias("confidence"),
         F.when(F.col("p_partkey") % 5 == 0, 0.0).alias("amount_min"),
         F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice") * 10).alias("amount_max"),
