@@ -19,6 +19,7 @@ def all_strings(columns) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
 
+# Field names of the JSON bodies and files that are exchanged.
 FEEDBACK_ITEM = (
     "transactionId string, description string, amount double, date string, source string, card string, "
     "modelVersion string, createdAt string, category string, flux string, comp string, parcelas int, numero_parcela int"
