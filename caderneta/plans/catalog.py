@@ -30,6 +30,7 @@ def load() -> None:
         queries_cascade,
         queries_fields,
         queries_ingest,
+        queries_jobs,
         queries_model,
         queries_ordered,
         queries_recon,

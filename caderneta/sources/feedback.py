@@ -15,9 +15,9 @@ HEADER = ",".join(schemas.FEEDBACK_COLUMNS)
 LEDGER = "file_name string, status string, ledgered_at timestamp"
 
 
-def file_records(spark: SparkSession, folder: str) -> DataFrame:
+def file_records(spark: SparkSession, folder: str, glob: str = GLOB) -> DataFrame:
     """(file_name, record_no, record) of every daily file. Spark's readers leave out files of no bytes, so these stay pending for nobody."""
-    return records.read_records(spark, folder, GLOB)
+    return records.read_records(spark, folder, glob)
 
 
 def gate(found: DataFrame) -> DataFrame:
@@ -78,27 +78,29 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("file_name").distinct(), "file_name", "left_anti")
 
 
-def collect_new(spark: SparkSession, folder: str, ledger_path: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def collect_new(
+    spark: SparkSession, folder: str, ledger_path: str, done: DataFrame | None = None, glob: str = GLOB
+) -> tuple[DataFrame, DataFrame]:
     """(rows, files) of the files not consumed yet, by the ledger and the file names ``done``. ``files`` lists refused ones too."""
-    found = file_records(spark, folder)
+    found = file_records(spark, folder, glob)
     ledger = read_ledger(spark, ledger_path).select("file_name")
     files = new_files(gate(found), ledger if done is None else ledger.unionByName(done.select("file_name")))
     return unique_rows(rows_of(found, files.filter("status = 'ok'"))), files
 
 
-def status(spark: SparkSession, folder: str, ledger_path: str) -> DataFrame:
+def status(spark: SparkSession, folder: str, ledger_path: str, glob: str = GLOB) -> DataFrame:
     """One row: files found, consumed and pending."""
-    found = records.file_list(spark, folder, GLOB).select("file_name")
+    found = records.file_list(spark, folder, glob).select("file_name")
     done = read_ledger(spark, ledger_path).select("file_name").distinct().withColumn("done", F.lit(1))
     return found.join(done, "file_name", "left").agg(
         F.count("*").alias("found"), F.count("done").alias("processed"), (F.count("*") - F.count("done")).alias("pending")
     )
 
 
-def file_info(spark: SparkSession, folder: str) -> DataFrame:
+def file_info(spark: SparkSession, folder: str, glob: str = GLOB) -> DataFrame:
     """Size, time and header check per daily file; of a file's content only the beginning is read."""
-    heads = records.first_lines(spark, folder, GLOB).select("file_name", is_header(F.col("line")).alias("has_header"))
-    return records.file_list(spark, folder, GLOB).join(heads, "file_name", "left").select(
+    heads = records.first_lines(spark, folder, glob).select("file_name", is_header(F.col("line")).alias("has_header"))
+    return records.file_list(spark, folder, glob).join(heads, "file_name", "left").select(
         "file_name", "size", "modified", F.coalesce("has_header", F.lit(False)).alias("has_header")
     )
 
