@@ -8,7 +8,7 @@ the number of bands follows from the share of near copies at the threshold that
 word of 64 bits before they leave the node, and each node gives a forest of pairs, never all pairs of a group.
 
 Every pair is then decided on whole texts. Texts are equal by a 128-bit hash and enter once; only texts with a candidate are read again. Bands
-are taken in ``ROUNDS``: what a round has connected is known to the next one, so a large group isn't verified once for each band.
+are taken in two rounds: most of what the first one has connected is known to the second, so a large group isn't verified once for each band.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ EXTRA_BITS = 10
 LEAST_BITS, MOST_BITS = 20, 48
 # Bits of the check word in which a pair may differ: chance pairs differ in 32 of 64, near copies in 10, give or take 4 and 3.
 CHECK_DIFFERENCES = 20
-# Bands of the first rounds; the last one takes the rest.
-ROUNDS = (2, 5)
+# Bands of the first round.
+FIRST_BANDS = 2
 SEED = 42
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -226,6 +226,14 @@ def _verify(docs: DataFrame, text: str, numbered: DataFrame, pairs: DataFrame) -
     return materialise(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
 
 
+def _neighbours(links: DataFrame) -> DataFrame:
+    """(id, near): the smallest id at most two links away. Rows of one ``near`` are connected; hubs are pre-aggregated."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "near-neighbours")
+    two = both.join(one.withColumnsRenamed({"a": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("near"))
+    return materialise(two, "near-neighbours")
+
+
 def cluster(docs: DataFrame, key: str, text: str = "text", node_limit: int = simhash.NODE_LIMIT) -> DataFrame:
     """(key, hash, group, first): each distinct (``key``, text) with its group and whether it is the group's first row.
 
@@ -240,19 +248,15 @@ def cluster(docs: DataFrame, key: str, text: str = "text", node_limit: int = sim
     stored = materialise(printed, "near-prints")
     texts = stored.groupBy("hash").agg(F.first("bands").alias("bands"), F.first("check").alias("check"))
     numbered = materialise(texts.withColumn("id", F.monotonically_increasing_id()), "near-texts")
-    links, roots, at = None, None, 0
-    for width in (*ROUNDS, count):
-        if at >= count:
-            break
-        part = numbered.withColumn("bands", F.slice("bands", at + 1, width))
-        part = part.withColumn("known", F.col("id")) if roots is None else part.join(roots, F.col("id") == F.col("node"), "left").withColumn(
-            "known", F.coalesce("root", "id")
-        )
-        pairs = materialise(candidates(part.select("id", "bands", "check", "known"), bits, node_limit), "near-pairs")
-        found = _verify(docs, text, numbered, pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = simhash.components(links)
-        at += width
+    prints = ["id", "bands", "check", "known"]
+    first = numbered.withColumn("bands", F.slice("bands", 1, FIRST_BANDS)).withColumn("known", F.col("id"))
+    links = _verify(docs, text, numbered, materialise(candidates(first.select(*prints), bits, node_limit), "near-pairs"))
+    if count > FIRST_BANDS:
+        rest = numbered.withColumn("bands", F.slice("bands", FIRST_BANDS + 1, count)).join(_neighbours(links), "id", "left")
+        rest = rest.withColumn("known", F.coalesce("near", "id"))
+        pairs = materialise(candidates(rest.select(*prints), bits, node_limit), "near-pairs")
+        links = links.unionByName(_verify(docs, text, numbered, pairs))
+    roots = simhash.components(links)
     members = numbered.select("hash", "id").join(roots, F.col("id") == F.col("node"), "left")
     rows = stored.select("key", "hash").distinct().join(members.select("hash", F.coalesce("root", "id").alias("group")), "hash")
     rows = materialise(rows, "near-rows")
