@@ -112,12 +112,17 @@ class Fingerprints:
         place = self._place
         # Terms in the order of the lexicon, which is sorted; each subset's list of them is hashed.
         found = np.array(sorted(place[t] for t in terms(text) if t in place), np.int64)
-        level, hashes = self._level[found], self._hash[found]
+        level, hashes = self._level[found].T, self._hash[found]
         out = np.zeros((LEVELS, SUBSETS), np.uint32)
         for i in range(LEVELS):
-            inside = level > i
-            for j in np.flatnonzero(inside.any(axis=0)).tolist():
-                out[i, j] = max(1, xxhash.xxh32_intdigest(hashes[inside[:, j]].tobytes()))
+            subset, term = np.nonzero(level > i)
+            if not len(term):
+                break
+            listed, start = hashes[term].tobytes(), 0
+            for j, end in enumerate((8 * np.bincount(subset, minlength=SUBSETS).cumsum()).tolist()):
+                if end > start:
+                    out[i, j] = max(1, xxhash.xxh32_intdigest(listed[start:end]))
+                start = end
         return exact + out.astype(">u4").tobytes().hex()
 
 
