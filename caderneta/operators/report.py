@@ -26,38 +26,33 @@ def top_labels(df: DataFrame, label: str, k: int = 5, unsure: str = "duvida") ->
 
 
 def batch_stats(df: DataFrame, sure: float = 0.7) -> DataFrame:
-    """One row: totals, mean confidence, unsure and fallback counts, and the label distribution."""
-    per_label = df.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.sum("confidence").alias("c"),
-        F.count_if(F.col("confidence") < sure).alias("low"),
-        F.count_if(F.col("method_used").isin("fallback", "error")).alias("fb"),
-        F.count_if(F.col("method_used") == "error").alias("err"),
-    )
-    return per_label.agg(
-        F.sum("n").alias("total"),
-        (F.sum("n") - F.sum("err")).alias("succeeded"),
-        (F.sum("c") / F.sum("n")).alias("mean_confidence"),
-        F.sum("low").alias("low_confidence"),
-        F.sum("fb").alias("fallbacks"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("distribution"),
+    """One row: totals, mean confidence, unsure and fallback counts. The labels are rows of ``frequency``."""
+    return df.agg(
+        F.count("*").alias("total"),
+        F.count_if(F.coalesce(F.col("method_used") != "error", F.lit(True))).alias("succeeded"),
+        (F.sum("confidence") / F.count("*")).alias("mean_confidence"),
+        F.count_if(F.col("confidence") < sure).alias("low_confidence"),
+        F.count_if(F.col("method_used").isin("fallback", "error")).alias("fallbacks"),
     )
 
 
-def balance(base: DataFrame, feedback: DataFrame, category: str) -> DataFrame:
-    """Categories on each side and new ones, in one pass over the pre-aggregated labels."""
-    sides = base.select(F.col(category).alias("c"), F.lit(0).alias("s")).unionByName(
-        feedback.select(F.col(category).alias("c"), F.lit(1).alias("s"))
+def balance_rows(base: DataFrame, feedback: DataFrame, category: str) -> DataFrame:
+    """(category, base, feedback): rows of each category on both sides, in one pass."""
+    sides = base.select(F.col(category).alias("category"), F.lit(0).alias("s")).unionByName(
+        feedback.select(F.col(category).alias("category"), F.lit(1).alias("s"))
     )
-    per = sides.filter(F.col("c").isNotNull()).groupBy("c").agg(
-        F.count_if(F.col("s") == 0).alias("b"), F.count_if(F.col("s") == 1).alias("f")
+    return sides.filter(F.col("category").isNotNull()).groupBy("category").agg(
+        F.count_if(F.col("s") == 0).alias("base"), F.count_if(F.col("s") == 1).alias("feedback")
     )
-    seen = F.when(F.col("f") > 0, F.struct(F.col("c"), F.col("f")))
-    return per.agg(
-        F.count_if(F.col("b") > 0).alias("base_categories"),
-        F.count_if(F.col("f") > 0).alias("feedback_categories"),
-        F.count_if((F.col("f") > 0) & (F.col("b") == 0)).alias("new_categories"),
-        F.map_from_entries(F.sort_array(F.array_compact(F.collect_list(seen)))).alias("distribution"),
+
+
+def balance(base: DataFrame, feedback: DataFrame, category: str) -> DataFrame:
+    """One row: categories on each side, new ones, and rows with a category in the feedback."""
+    return balance_rows(base, feedback, category).agg(
+        F.count_if(F.col("base") > 0).alias("base_categories"),
+        F.count_if(F.col("feedback") > 0).alias("feedback_categories"),
+        F.count_if((F.col("feedback") > 0) & (F.col("base") == 0)).alias("new_categories"),
+        F.coalesce(F.sum("feedback"), F.lit(0)).alias("feedback_rows"),
     )
 
 

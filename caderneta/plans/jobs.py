@@ -37,6 +37,7 @@ class IntegrationReport:
     duplicates: DataFrame | None = None
     quality: DataFrame | None = None
     balance: DataFrame | None = None
+    balance_rows: DataFrame | None = None
 
 
 def check_integration(base: DataFrame, corrections: DataFrame) -> IntegrationReport:
@@ -56,7 +57,7 @@ def check_integration(base: DataFrame, corrections: DataFrame) -> IntegrationRep
     issues = quality.report(plain, critical, [safe[c] for c in numeric]).withColumn("field", F.element_at(names, F.col("field")))
     return IntegrationReport(
         True, None, duplicates(base, corrections), issues.filter("nulls > 0 OR negatives > 0"),
-        report.balance(base, corrections, "natureza do gasto"),
+        report.balance(base, corrections, "natureza do gasto"), report.balance_rows(base, corrections, "natureza do gasto"),
     )
 
 

@@ -217,9 +217,21 @@ def balance(spark, sf_dir):
     tx = transactions(spark, sf_dir).select(
         F.concat("p_brand", "p_type", "p_name").alias("c"), F.year("l_shipdate").alias("y")
     )
-    out = report.balance(tx.filter("y < 1998"), tx.filter("y >= 1998"), "c")
-    rows = F.aggregate(F.map_values("distribution"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select("base_categories", "feedback_categories", "new_categories", rows.alias("feedback_rows"))
+    return report.balance(tx.filter("y < 1998"), tx.filter("y >= 1998"), "c")
+
+
+@query(
+    "q_balance_rows",
+    with_tx(
+        """SELECT p_brand || p_type || p_name AS category, count(*) FILTER (year(l_shipdate) < 1998) AS base,
+             count(*) FILTER (year(l_shipdate) >= 1998) AS feedback FROM tx GROUP BY 1"""
+    ),
+)
+def balance_rows(spark, sf_dir):
+    tx = transactions(spark, sf_dir).select(
+        F.concat("p_brand", "p_type", "p_name").alias("c"), F.year("l_shipdate").alias("y")
+    )
+    return report.balance_rows(tx.filter("y < 1998"), tx.filter("y >= 1998"), "c")
 
 
 @query(
