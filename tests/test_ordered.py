@@ -192,3 +192,15 @@ def test_nulls_keep_their_rows(spark):
 def test_unusable_scores_count_as_lowest(spark):
     df = spark.createDataFrame([("y", [0.9]), ("y", [None]), ("n", [0.5]), ("n", [float("nan")])], "t string, p array<double>")
     assert metrics.auc_per_class(df, "t", F.col("p"), ["y"]).first()["auc"] == (2 + 0.5) / 4
+
+
+def test_states_of_well_packed_rows_are_not_broadcast(spark):
+    """Files of repetitive rows are much smaller than the rows, so their size says nothing about what a broadcast would hold."""
+    from caderneta.session import materialise
+
+    rows = materialise(spark.range(200_000).selectExpr("id % 500 AS k", "id DIV 500 AS i", "cast(null AS int) AS code"), "packed")
+    found = automaton.states_before(rows, ["k"], "i", automaton.fold_chunk("i"), "code", [[1, 0], [0, 0]], 1)
+    scanned = ordered.scan(found, ["k"], ["i"], F.floor(F.col("i") / 100), [ordered.row_number("rn")])
+    assert scanned.filter("state = 1 AND rn = i + 1").count() == 200_000
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
