@@ -128,21 +128,20 @@ def _through(anchor: float | None, enter: Sequence[float], leave: Sequence[float
     return leave[at] if at < len(enter) else anchor
 
 
-def _effect_of(runs: Sequence[Mapping], tolerance: float) -> tuple[list[float], list[float]]:
-    """Effect of neighbouring runs (first, enter, leave) as one run."""
-    enter, leave = [], []
-    for i, run in enumerate(runs):
-        for e, anchor in zip(run["enter"], run["leave"], strict=True):
-            for later in runs[i + 1 :]:
-                anchor = _through(anchor, later["enter"], later["leave"], tolerance)
-            if leave and leave[-1] == anchor:
-                enter[-1] = e
-            else:
-                enter.append(e)
-                leave.append(anchor)
+def _effect_of(runs: Sequence[Mapping], tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Effect of neighbouring runs (first, enter, leave) as one run: from the last run to the first, all entries of a run at once."""
+    enter, leave = np.empty(0), np.empty(0)
+    for run in reversed(runs):
+        ends = np.asarray(run["leave"], dtype=float)
+        if len(enter):
+            at = _next_beyond(enter, ends, tolerance)
+            ends = np.where(at < len(enter), leave[np.minimum(at, len(enter) - 1)], ends)
+        enter, leave = np.append(np.asarray(run["enter"], dtype=float), enter), np.append(ends, leave)
         # An anchor in front of the first value can't pass a value beyond the first one's tolerance.
-        if run["enter"][-1] - runs[0]["first"] > tolerance:
-            break
+        reach = int(_next_beyond(enter, np.array([run["first"]]), tolerance)[0]) + 1
+        enter, leave = enter[:reach], leave[:reach]
+        keep = np.append(leave[1:] != leave[:-1], True)
+        enter, leave = enter[keep], leave[keep]
     return enter, leave
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caderneta.session import materialise
+
 CHUNK = "__chunk"
 PLACE = "__place"
 
@@ -183,6 +185,7 @@ def scan(
 # Sampled rows that a chunk spans on average, chunks for each shuffle partition, and the fewest rows worth a chunk of their own.
 SAMPLES_PER_CHUNK = 16
 CHUNKS_PER_PARTITION = 4
+BOUNDS_PER_NODE = 32
 LEAST_ROWS = 4096
 
 
@@ -192,7 +195,8 @@ def even_chunks(
     """Add a chunk number that grows with ``order`` inside a key; chunks hold about ``rows`` rows each, whatever the values are.
 
     Bounds are quantiles of a sample by hash: every 16th sampled place of a key. ``rows`` follows from the table's size and the shuffle partitions by
-    default, ``most`` at most, so the table of bounds holds a few places for each partition and is broadcast. Keys that are
+    default, ``most`` at most. A row finds its chunk on the way down a tree of bounds with ``BOUNDS_PER_NODE`` to a node, so it never meets all bounds
+    of its key; the levels hold one place for each chunk together, and are broadcast. Keys that are
     smaller have one chunk, 0. A place is the whole of ``order``, so rows piled up at one value are told apart by the columns
     behind it. ``df`` is read three times.
     """
@@ -202,13 +206,13 @@ def even_chunks(
         rows = min(rows, most) if most else rows
     place = F.struct(*[F.col(c) for c in order])
     rate = max(1, rows // SAMPLES_PER_CHUNK)
-    sampled = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(place)).alias("__sample")
-    )
     every = max(1, rows // rate)
-    inner = F.filter("__sample", lambda _x, i: (i % every == 0) & (i > 0))
-    bounds = sampled.select(*keys, inner.alias("__bounds")).filter(F.size("__bounds") > 0)
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(31))])
+    sampled = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0).select(*keys, place.alias("__bound"))
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("__bound")) - 1
+    bounds = sampled.withColumn("__at", number).filter((F.col("__at") % every == 0) & (F.col("__at") > 0))
+    bounds = materialise(bounds.withColumn("__at", F.floor(F.col("__at") / every)), "chunk-bounds")
+    most_bounds = bounds.agg(F.max("__at")).first()[0] or 0
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((BOUNDS_PER_NODE - 1).bit_length()))])
     found = F.aggregate(
         F.filter(steps, lambda step: step <= F.size("__bounds")),
         F.lit(0),
@@ -216,8 +220,20 @@ def even_chunks(
             (acc + step <= F.size("__bounds")) & (F.get(F.col("__bounds"), acc + step - 1) <= place), acc + step
         ).otherwise(acc),
     )
-    number = F.when(F.col("__bounds").isNull(), 0).otherwise(found).cast("bigint")
-    return null_safe_join(df, F.broadcast(bounds), keys, "left").withColumn(name, number).drop("__bounds")
+    span = 1
+    while span * BOUNDS_PER_NODE <= most_bounds:
+        span *= BOUNDS_PER_NODE
+    out = df.withColumn("__node", F.lit(0).cast("bigint"))
+    while span and most_bounds:
+        # Bounds of this level between two of the level above.
+        level = bounds.filter((F.col("__at") % span == 0) & (F.col("__at") % (span * BOUNDS_PER_NODE) != 0)).groupBy(
+            *keys, F.floor(F.col("__at") / (span * BOUNDS_PER_NODE)).alias("__node")
+        ).agg(F.sort_array(F.collect_list("__bound")).alias("__bounds"))
+        inside = F.when(F.col("__bounds").isNull(), 0).otherwise(found)
+        joined = null_safe_join(out, F.broadcast(level), [*keys, "__node"], "left")
+        out = joined.withColumn("__node", F.col("__node") * BOUNDS_PER_NODE + inside).drop("__bounds")
+        span //= BOUNDS_PER_NODE
+    return out.withColumnRenamed("__node", name)
 
 
 def rows_per_chunk(df: DataFrame) -> int:

@@ -204,3 +204,19 @@ def test_states_of_well_packed_rows_are_not_broadcast(spark):
     assert scanned.filter("state = 1 AND rn = i + 1").count() == 200_000
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_many_chunks_of_one_key(spark, monkeypatch):
+    """A tree of bounds of several levels, and composed functions with many entries: no row meets all bounds of its key."""
+    monkeypatch.setattr(ordered, "BOUNDS_PER_NODE", 4)
+    df = spark.range(3000).selectExpr("id AS i", "double(id * 7 % 3000) AS x", "cast(null AS string) AS k")
+    cut = ordered.even_chunks(df, ["k"], ["x"], rows=40)
+    per = {r["chunk"]: (r["low"], r["high"], r["n"]) for r in cut.groupBy("chunk").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect()}
+    assert sorted(per) == list(range(len(per))) and len(per) > 40
+    assert all(per[c][1] < per[c + 1][0] for c in range(len(per) - 1)) and sum(p[2] for p in per.values()) == 3000
+    values = [float(v) for v in range(128_000)]
+    runs = [{"first": run[0], "enter": run, "leave": run} for run in (values[at : at + 500] for at in range(0, len(values), 500))]
+    began = __import__("time").time()
+    enter, leave = grouping._effect_of(runs, 200_000.0)
+    assert list(enter) == values == list(leave)
+    assert __import__("time").time() - began < 10
