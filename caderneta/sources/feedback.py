@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caderneta import schemas
 from caderneta.functions.numbers import money
 from caderneta.operators import dedup, quality
+from caderneta.session import materialise
 from caderneta.sources import records
 
 GLOB = "feedback_*.csv"
@@ -81,10 +82,14 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
 def collect_new(
     spark: SparkSession, folder: str, ledger_path: str, done: DataFrame | None = None, glob: str = GLOB
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of the files not consumed yet, by the ledger and the file names ``done``. ``files`` lists refused ones too."""
-    found = file_records(spark, folder, glob)
+    """(rows, files) of the files not consumed yet, by the ledger and the file names ``done``. ``files`` lists refused ones too.
+
+    Only these files are opened; the driver holds their names.
+    """
     ledger = read_ledger(spark, ledger_path).select("file_name")
-    files = new_files(gate(found), ledger if done is None else ledger.unionByName(done.select("file_name")))
+    fresh = new_files(records.file_list(spark, folder, glob), ledger if done is None else ledger.unionByName(done.select("file_name")))
+    found = records.read_records(spark, folder, glob, names=[r["file_name"] for r in fresh.select("file_name").distinct().collect()])
+    files = materialise(gate(found), "gated")
     return unique_rows(rows_of(found, files.filter("status = 'ok'"))), files
 
 

@@ -265,3 +265,13 @@ def test_svc_and_auxiliary(spark):
     assert abs(out.select(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x).alias("s")).first()["s"] - 1.0) < 1e-9
     _, report = model.fit_auxiliary(df, "tipo", "id", card="cartao", training=model.Training(features=1 << 10, max_iter=15))
     assert report.count() == 3
+
+
+def test_lines_are_not_shuffled_and_consumed_files_not_opened(spark, folder):
+    found = records.read_records(spark, str(folder), "*.csv")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    ledger = f"{folder}/ledger"
+    _, files = feedback.collect_new(spark, str(folder), ledger)
+    feedback.append_ledger(files, ledger)
+    again, none = feedback.collect_new(spark, str(folder), ledger)
+    assert none.count() == 0 and not [p for p in again.inputFiles() if p.endswith(".csv")]
