@@ -12,9 +12,11 @@ from caderneta.operators.once import evaluate_once
 from caderneta.plans.catalog import query
 from caderneta.plans.queries_fields import PTBR_TEXT
 from caderneta.plans.tx import table, transactions, with_tx
-from caderneta.session import materialise
+from caderneta.session import materialise, settings
 
 
+# Sides of joins are broadcast by the size of their rows at run time, never by the size of their files.
+MEASURED_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
 FOOT = 1 << 40  # number of the first line below all items
 
 
@@ -153,10 +155,15 @@ def line_fields(spark, sf_dir):
 def export_card_rows(spark, sf_dir):
     """Exports printed per supplier: card block, item rows, subtotal, summary tail."""
     tx = transactions(spark, sf_dir).select("l_suppkey", "s_name", "p_name", "tx_id", "l_partkey", "amount", "l_shipdate")
+    # Written once, as the numbering and both readers of it would join again. The parts go through the driver only if they are
+    # small when measured: files of repeated names look ten times smaller than their rows.
+    with settings(spark, MEASURED_BROADCAST):
+        tx = materialise(tx, "exported")
     place, chunk = ordered.hash_chunk(
         F.col("tx_id"), F.col("l_partkey"), F.col("amount"), F.col("l_shipdate"), digits=ordered.hash_digits(table(spark, sf_dir, "lineitem"))
     )
     tx = ordered.scan(tx.withColumn("place", place), ["l_suppkey"], ["place"], chunk, [ordered.row_number("line")])
+    tx = materialise(tx.select("l_suppkey", "s_name", "p_name", "amount", "l_shipdate", "line"), "numbered")
     items = tx.select(
         F.col("l_suppkey").alias("doc_id"), (F.col("line") + 2).alias("line_no"),
         F.date_format("l_shipdate", "dd/MM/yyyy").alias("c0"), F.col("p_name").alias("c1"), to_ptbr(F.col("amount")).alias("c3"),

@@ -158,3 +158,18 @@ def test_category_lines_and_columns(spark):
     headers = spark.createDataFrame([("d", "1", 2)], "doc_id string, card string, line_no long")
     ordered = layout.two_column_order(adopted, headers).orderBy("card_rank", "bucket", "major", "minor")
     assert [(r["side"], r["line_no"]) for r in ordered.collect()] == [("left", 0), ("right", 1), ("left", 3), ("right", 4)]
+
+
+def test_export_parts_are_not_broadcast_by_file_size(spark, monkeypatch):
+    from caderneta.plans import queries_statement as Q
+
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    written = Q.materialise
+    monkeypatch.setattr(Q, "materialise", spy)
+    Q.export_card_rows(spark, "/root/testdata/sf0.001")
+    assert "SortMergeJoin" in plans["exported"] and "BroadcastHashJoin" not in plans["exported"]
