@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -81,3 +82,13 @@ def test_decoded_columns_come_from_the_ids(spark):
     for r in rows:
         back = codec.decode(r["ids"])
         assert (r["decoded_chars"], r["decoded_sha256"]) == (len(back), hashlib.sha256(back.encode()).hexdigest())
+
+
+def test_texts_of_a_batch_are_decoded_together():
+    codec = M.Codec(PATH, 0.1, 3)
+    texts = ["", "olá  mundo", " ", "▁ x ▁▁", "日本 \U0001f600 é", "a\nb\tc", "y" * 90]
+    found = codec.encode_batch(texts)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    backs = codec.decoded_batch(np.concatenate(found), bounds)
+    assert [b.decode() for b in backs] == texts == [codec.decode(x.tolist()) for x in found]
+    assert [b.decode() for b in codec.decoded_batch(np.empty(0, np.int32), np.array([0, 0]))] == [""]
