@@ -173,3 +173,30 @@ def test_export_parts_are_not_broadcast_by_file_size(spark, monkeypatch):
     monkeypatch.setattr(Q, "materialise", spy)
     Q.export_card_rows(spark, "/root/testdata/sf0.001")
     assert "SortMergeJoin" in plans["exported"] and "BroadcastHashJoin" not in plans["exported"]
+
+
+def test_facts_travel_without_texts(spark, monkeypatch):
+    """Only the lines themselves hold texts; what is written on the way are facts."""
+    written = {}
+
+    def noted(df, name):
+        out = materialise(df, name)
+        written[name] = out
+        return out
+
+    materialise = statement.materialise
+    monkeypatch.setattr(statement, "materialise", noted)
+    texts, _ = STATEMENTS["one card"]
+    lines = spark.createDataFrame([("a", n, t) for n, t in enumerate(texts)], "doc_id string, line_no long, line string")
+    items, _, _ = statement.parse(lines, keep_repeats=True)
+    assert items.count() == 4
+    assert written and not any("line" in df.columns or "norm" in df.columns for df in written.values())
+
+
+def test_lines_without_year_raise_nothing(spark):
+    """A cast of an empty text fails by an exception for every line, so nothing is cast there."""
+    from caderneta.functions import dates
+
+    df = spark.createDataFrame([("x",), ("Fatura 2024",), (None,)], "line string").select(dates.year_in_text(F.col("line")).alias("y"))
+    assert [r["y"] for r in df.collect()] == [None, 2024, None]
+    assert "try_cast" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
