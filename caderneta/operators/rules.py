@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caderneta.functions import fields
@@ -187,6 +188,12 @@ def _row_conditions(rule: Column, has: Sequence[str]) -> Column:
     return out & installments
 
 
+def _up_to_free(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rules ``c`` up to the first one without conditions of each key: that one always holds, so none behind it can win."""
+    free = F.min(F.when(F.col("c.__free"), F.col("c"))).over(W.partitionBy(*keys))
+    return rules.withColumn("__free", free).filter(F.col("__free").isNull() | (F.col("c") <= F.col("__free"))).drop("__free")
+
+
 def match_rule_table(
     df: DataFrame, rules: DataFrame, text: str, has: Sequence[str] = (), block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -196,47 +203,53 @@ def match_rule_table(
     missing or empty holder or origin passes; a rule on amounts or installments needs these columns. A rule without
     priority comes last.
 
-    Patterns meet the distinct texts in blocks of at most ``block_bytes`` of patterns in the order of priority, so what is sent out
-    has a fixed size. One automaton over the literals that a block's patterns require scans each text once (``patterns``); only the
-    pairs that it finds are tested in full. A text leaves once a rule without conditions has matched it. Conditions are tested
-    on the rows, against the few rules that match their text.
+    Rules that share a pattern are reduced first: of equal conditions the first rule stays, and none behind the pattern's first rule
+    without conditions, as they can never win. Distinct patterns meet the distinct texts in blocks of at most ``block_bytes`` of patterns in the
+    order of their first rules, so what is sent out has a fixed size; rules never pass through the driver. One automaton over the literals that a
+    block's patterns require scans each text once (``patterns``); only the pairs that it finds are tested in full. A text leaves once a rule
+    without conditions has matched it that comes before all later patterns. Conditions are tested on the rows, against the rules up to the first
+    one without conditions that matches their text.
     """
-    table = rules.select(*[f.split()[0] for f in RULE_SCHEMA.split(", ")]).filter("pattern is not null").distinct()
+    table = rules.select(*[f.split()[0] for f in RULE_SCHEMA.split(", ")]).filter("pattern is not null")
     table = table.withColumns({
+        "kind": F.when(F.col("kind") == REGEX, REGEX).otherwise(LITERAL),
         "__rank": F.coalesce("priority", F.lit(2**31 - 1)).cast("bigint"),
         "__free": F.coalesce("amount_min", "amount_max", F.col("installments").cast("double")).isNull() & F.coalesce("holder", "origin").isNull(),
     })
-    order = [c for c in table.columns if c not in ("__rank", "__free")]
+    conditions = ["amount_min", "amount_max", "holder", "origin", "installments"]
+    candidate = F.struct("__rank", "name", F.col("category").alias("label"), "confidence", "__free", *conditions)
+    firsts = table.groupBy("kind", "pattern", *conditions).agg(F.min(candidate).alias("c")).select("kind", "pattern", "c")
+    firsts = materialise(_up_to_free(firsts, ["kind", "pattern"]), "rules")
+    distinct = firsts.groupBy("kind", "pattern").agg(F.min("c").alias("__first")).withColumn("__rank", F.col("__first.__rank"))
     sized = scan(
-        table, [], ["__rank", *order], F.floor(F.col("__rank") / RULES_PER_CHUNK),
+        distinct, [], ["__rank", "__first", "kind", "pattern"], F.floor(F.col("__rank") / RULES_PER_CHUNK),
         [RunningSum("__bytes", F.octet_length("pattern").cast("bigint") + ROW_BYTES), row_number("__id")],
     )
-    blocks = materialise(sized.withColumn("__block", F.floor(F.col("__bytes") / block_bytes)), "rules")
-    candidate = F.struct(
-        "__rank", "name", F.col("category").alias("label"), "confidence", "__free", *[F.col(c) for c in order[6:]]
-    )
+    blocks = sized.select("kind", "pattern", "__rank", "__id", F.floor(F.col("__bytes") / block_bytes).alias("__block"))
+    blocks = materialise(blocks, "rule-patterns")
     open_texts = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct()
     matched = None
-    numbers = [r[0] for r in blocks.select("__block").distinct().orderBy("__block").collect()]
-    for k, number in enumerate(numbers):
+    numbers = blocks.groupBy("__block").agg(F.max("__rank").alias("last")).orderBy("__block").collect()
+    for k, (number, last) in enumerate(numbers):
         if len(numbers) > 1:
             open_texts = materialise(open_texts, "rule-texts")
         hit = F.when(
             F.col("kind") == REGEX, F.expr("__text rlike concat('(?iu)', pattern)")
         ).otherwise(F.contains(F.col("__text"), F.lower(F.col("pattern"))))
-        part = blocks.filter(F.col("__block") == number)
+        part = blocks.filter(F.col("__block") == number).select("__id", "kind", "pattern")
         # A block of bounded size, as a list for the automaton.
-        listed = [(r["__id"], r["pattern"] if r["kind"] == REGEX else r["pattern"].lower(), r["kind"] == REGEX)
-                  for r in part.select("__id", "pattern", "kind").collect()]
+        listed = [(r["__id"], r["pattern"] if r["kind"] == REGEX else r["pattern"].lower(), r["kind"] == REGEX) for r in part.collect()]
         pairs = open_texts.select("__text", F.explode(patterns.candidates(F.col("__text"), listed)).alias("__id"))
-        found = pairs.join(F.broadcast(part), "__id").filter(hit).select("__text", candidate.alias("c"))
+        hits = pairs.join(F.broadcast(part), "__id").filter(hit).select("__text", "kind", "pattern")
+        found = hits.join(firsts, ["kind", "pattern"]).select("__text", "c")
         if k < len(numbers) - 1:
             found = materialise(found, "rule-hits")
-            open_texts = open_texts.join(found.filter("c.__free").select("__text").distinct(), "__text", "left_anti")
+            done = found.filter(F.col("c.__free") & (F.col("c.__rank") < last)).select("__text").distinct()
+            open_texts = open_texts.join(done, "__text", "left_anti")
         matched = found if matched is None else matched.unionByName(found)
     if matched is None:
         return df.withColumn("rule", F.lit(None).cast("struct<label:string,confidence:double,rule:string>"))
-    per_text = matched.groupBy("__text").agg(F.array_sort(F.collect_set("c")).alias("__rules"))
+    per_text = _up_to_free(matched, ["__text"]).groupBy("__text").agg(F.array_sort(F.collect_set("c")).alias("__rules"))
     fitting = F.try_element_at(F.filter("__rules", lambda r: _row_conditions(r, has)), F.lit(1))
     chosen = F.when(fitting.isNotNull(), F.struct(fitting["label"].alias("label"), fitting["confidence"].alias("confidence"), fitting["name"].alias("rule")))
     joined = df.join(per_text, F.col(text) == F.col("__text"), "left")

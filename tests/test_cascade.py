@@ -149,3 +149,49 @@ def test_legacy(tx):
     )
     out = {r["id"]: (r["label"], r["method_used"]) for r in cascade.classify(tx, stages, **cascade.LEGACY_DEFAULT).collect()}
     assert out[5] == ("Farmácia", "ml_model") and out[1][1] == "rules_engine" and out[3] == ("Gastos pessoais", "default")
+
+
+def test_rules_that_share_a_pattern_meet_texts_once(spark, monkeypatch):
+    """Thousands of rules on one pattern send one pattern to the driver; the first fitting rule still wins."""
+    sent = []
+
+    def noted(text, listed):
+        sent.extend(listed)
+        return candidates(text, listed)
+
+    candidates = rules.patterns.candidates
+    monkeypatch.setattr(rules.patterns, "candidates", noted)
+    # Rules 0..9 have limits on the amount, all others none; on "b" a rule with a limit comes between.
+    rows = [(i, f"a{i}", "literal", "aa", "X", 0.9, 0.0 if i < 10 else None, float(i) if i < 10 else None) for i in range(3000)]
+    rows += [(5, "b5", "regex", "b+", "Y", 0.8, None, 7.0), (9, "b9", "regex", "b+", "Y", 0.8, None, None), (20, "b20", "regex", "b+", "Y", 0.8, None, 100.0)]
+    table = spark.createDataFrame(rows, "priority int, name string, kind string, pattern string, category string, confidence double, amount_min double, amount_max double")
+    table = table.selectExpr("*", "cast(null as string) holder", "cast(null as string) origin", "cast(null as int) installments")
+    df = spark.createDataFrame([("xaa", 4.5), ("xaa", 50.0), ("aab", 6.5), ("aab", 50.0), ("b", 6.0), ("b", 8.0), ("c", 1.0)], "t string, amount double")
+    wanted = [("aab", 6.5, "b5"), ("aab", 50.0, "b9"), ("b", 6.0, "b5"), ("b", 8.0, "b9"), ("c", 1.0, None), ("xaa", 4.5, "a5"), ("xaa", 50.0, "a10")]
+    for block in (1 << 20, 1):
+        sent.clear()
+        got = rules.match_rule_table(df, table, "t", ("amount",), block)
+        assert sorted((r["t"], r["amount"], r["rule"] and r["rule"]["rule"]) for r in got.collect()) == sorted(wanted, key=lambda r: r[:2])
+        assert len(sent) == 2
+
+
+def test_stages_in_front_of_a_text_stage_run_once(spark, monkeypatch):
+    """The rows are written behind the column stages; both text stages and the result read them."""
+    names = []
+
+    def noted(df, name):
+        names.append(name)
+        return materialise(df, name)
+
+    materialise = cascade.materialise
+    monkeypatch.setattr(cascade, "materialise", noted)
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "t string")
+
+    def knows(word):
+        return lambda texts: texts.filter(F.col("text") == word).selectExpr("text", "upper(text) as label", "1.0D as confidence")
+
+    rule = F.when(F.col("t") == "a", F.struct(F.lit("rule").alias("label"), F.lit(1.0).alias("confidence")))
+    stages = [cascade.ColumnStage("r", rule), cascade.TextStage("s", knows("b"), F.col("t")), cascade.TextStage("m", knows("c"), F.col("t"))]
+    got = {r["t"]: (r["label"], r["method_used"]) for r in cascade.classify(df, stages).collect()}
+    assert got == {"a": ("rule", "r"), "b": ("B", "s"), "c": ("C", "m")}
+    assert names.count("cascade-rows") == 1
