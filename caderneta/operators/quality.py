@@ -32,7 +32,7 @@ def feedback_rules() -> Rules:
     iso = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9:]+)?)?$"
 
     def iso_date(name: str) -> Column:
-        return F.rlike(F.col(name), F.lit(iso)) & parse_date(F.col(name)).isNotNull()
+        return F.rlike(F.col(name), F.lit(iso)) & F.left(F.col(name), F.lit(10)).try_cast("date").isNotNull()
 
     return (
         ("transactionId missing", F.col("transactionId").isNotNull()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +112,8 @@ def file_info(spark: SparkSession, folder: str, glob: str = GLOB) -> DataFrame:
     )
 
 
-def to_rows(items: DataFrame) -> DataFrame:
-    """Correction items -> rows in file columns. The amount is per installment; one when not given."""
+def to_rows(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Correction items -> rows in file columns and the columns ``keep``. The amount is per installment; one when not given."""
     count = F.coalesce("parcelas", F.lit(1))
 
     def text(name: str):
@@ -122,15 +124,18 @@ def to_rows(items: DataFrame) -> DataFrame:
         F.coalesce(F.col("numero_parcela").cast("string"), F.lit("")), F.col("amount").cast("string"), text("source"),
         text("comp"), text("date"), text("card"), text("transactionId"), text("modelVersion"), text("createdAt"), text("flux"),
     ]
-    return items.select([v.alias(c) for v, c in zip(values, schemas.FEEDBACK_COLUMNS)])
+    return items.select([v.alias(c) for v, c in zip(values, schemas.FEEDBACK_COLUMNS)] + [F.col(c) for c in keep])
 
 
-def check_items(items: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
-    """(valid items, refused items with a reason); a missing ``createdAt`` becomes the given or current time."""
+def checked_items(items: DataFrame, now=None) -> DataFrame:
+    """All items with the ``reason`` for which one is refused, else null; a missing ``createdAt`` becomes the given or current time."""
     stamp = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss")
-    return quality.split(
-        quality.with_reason(items.withColumn("createdAt", F.coalesce("createdAt", stamp)), quality.feedback_rules())
-    )
+    return quality.with_reason(items.withColumn("createdAt", F.coalesce("createdAt", stamp)), quality.feedback_rules())
+
+
+def check_items(items: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
+    """(valid items, refused items with a reason), each read by itself; ``checked_items`` has both in one pass."""
+    return quality.split(checked_items(items, now))
 
 
 def parse_items(df: DataFrame, json: str) -> DataFrame:
