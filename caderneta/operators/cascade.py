@@ -80,12 +80,13 @@ def classify(
     """``df`` with ``label``, ``confidence`` and ``method_used``; every input row comes out once.
 
     A column stage is evaluated for open rows only; a text stage only sees the texts of rows no
-    earlier stage has answered. With n text stages the input is read n + 1 times at most. Rows where ``failed`` holds are unusable:
+    earlier stage has answered. With text stages the input is read once, and written with what the stages in front answered. Rows where ``failed`` holds are unusable:
     no stage sees them, and they get the default answer with method ``error``.
     """
     nothing = F.lit(None).cast(DECIDED)
     error = F.struct(F.lit(default_label).alias("label"), F.lit(default_confidence).alias("confidence"), F.lit("error").alias("method"))
     out = df.withColumn("__answer", nothing if failed is None else F.when(failed, error.cast(DECIDED)))
+    written = False
     for number, stage in enumerate(stages):
         open_row = F.col("__answer").isNull()
         if isinstance(stage, ColumnStage):
@@ -93,6 +94,9 @@ def classify(
         else:
             key = f"__text{number}"
             out = evaluate_once(out, {key: stage.text})
+            if not written:
+                # Rows are read again by every text stage and at the end; what is in front of the first is done once.
+                out, written = materialise(out, "cascade-rows"), True
             # Written once: the next stages read the few scored texts, not the work behind them.
             unanswered = out.filter(open_row & (F.col(key) != "")).select(F.col(key).alias("text")).distinct()
             scored = materialise(stage.score(materialise(unanswered, "cascade-open")), "cascade-scored").select(

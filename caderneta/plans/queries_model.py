@@ -178,7 +178,7 @@ def cascade_full(spark, sf_dir):
     """Rules, then the TF-IDF lookup in earlier transactions, then a classifier trained on them, then the default."""
     from caderneta.operators import similarity
 
-    tx = cleaned(spark, sf_dir)
+    tx = materialise(cleaned(spark, sf_dir), "cleaned")
     # Promotions are known without their brand only, so the lookup leaves some of them to the classifier.
     name = F.when(F.col("p_type") == "PROMO", F.regexp_replace("clean", r"^\S+\s+", "")).otherwise(F.col("clean"))
     history = tx.groupBy(name.alias("text")).agg(
