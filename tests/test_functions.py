@@ -121,3 +121,29 @@ def test_replies(spark):
 def test_headers():
     assert T.header_name("﻿ Descrição ") == "descricao"
     assert T.header_name(" Não Sei ", light=True) == "nao sei"
+
+
+def test_items_are_checked_in_one_pass(spark):
+    """Good and refused items come from one reading of the bodies, by the same rules as apart."""
+    from caderneta.plans import queries_ingest
+    from caderneta.sources import feedback
+
+    bodies = spark.createDataFrame(
+        [('{"feedback": {"transactionId": "1", "description": "x", "amount": 2.0, "date": "%s"}}' % d,) for d in ("2024-02-30", "2024-02-29T00:00:00Z", "29/02/2024")],
+        "body string",
+    )
+    checked = feedback.checked_items(feedback.parse_items(bodies, "body"))
+    assert [r["reason"] for r in checked.collect()] == ["date not ISO", None, "date not ISO"]
+    plan = queries_ingest.feedback_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= 1 and "Union" not in plan
+
+
+def test_amounts_of_a_line_are_searched_once(spark):
+    """``line_value`` looks for amounts once per line."""
+    from caderneta.functions import lines as L
+
+    df = spark.createDataFrame([("01/02 A 1,00 Total 99,00",), ("01/02 A 3,00",), ("x",)], "line string")
+    got = df.select(L.line_value(F.col("line")).alias("v"))
+    assert [r["v"] and float(r["v"]) for r in got.collect()] == [99.0, 3.0, None]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
