@@ -5,8 +5,8 @@ is merged until none is left. With dropout, a pair that is taken from the agenda
 draw, the segment, the pair's place and its piece, so a run can be repeated on any machine in any order. Rate zero is the plain encoding.
 
 No piece joins a letter with a space after it, so a text falls into independent segments, spaces with the word after them. Each occurrence of
-a segment takes one of ``draws`` draws by a hash of the seed, the text and the occurrence. A worker remembers
-the ids of (draw, segment) in a bounded cache.
+a segment takes one of ``draws`` draws by a hash of the seed, the text and the occurrence. A worker numbers the segments it meets and
+remembers the ids of (draw, segment) in one bounded array; those of a batch are gathered from it together.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from caderneta.llm.common import col, short_batches
 
 RATE = 0.1
 DRAWS = 8
-CACHED_SEGMENTS = 400_000
+# A worker forgets what it knows above either: distinct segments, and ids of their draws.
+CACHED_SEGMENTS, CACHED_IDS = 200_000, 8_000_000
 # Segments up to this length are merged together, so many at a time.
 LONGEST_TOGETHER = 40
 TOGETHER = 4096
+# Rows whose agenda is empty leave the matrix when fewer than this share of rows is left.
+STILL_LIVE = 0.75
 SPACE = "▁"
 
 _SEGMENT = re.compile(r" *[^ ]+| +")
@@ -36,11 +39,32 @@ _MASK = (1 << 64) - 1
 _PLACE_KEY, _RANK_KEY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _MIX, _SPREAD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PAIR = 1 << 22  # above every symbol
-_NEVER = 1 << 40
+_NEVER = 1 << 30
+# Addresses in the table of pairs, twice the pairs at least; an entry is a pair and its rank, -1 if free.
+_ADDRESSES, _RANK_BITS = 1 << 20, 19
 # A space mark that stands in the text itself: no piece, so it is written as bytes and isn't decoded to a space.
 _LITERAL = "▁\x00"
 
 
+def _address(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * _MIX >> np.uint64(65 - _ADDRESSES.bit_length())).astype(np.int64)
+
+
+def _table(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Entries by the address of their key, or the next free one behind it."""
+    if 2 * len(key) > _ADDRESSES or rank.max(initial=0) >> _RANK_BITS:
+        raise ValueError("the model has more pairs than the table of pairs holds")
+    out = np.full(_ADDRESSES, -1, np.int64)
+    at, left = _address(key), np.arange(len(key))
+    while len(left):
+        free = left[out[at[left]] < 0]
+        took = free[np.unique(at[free], return_index=True)[1]]
+        out[at[took]] = key[took] << _RANK_BITS | rank[took]
+        left = np.setdiff1d(left, took, assume_unique=True)
+        at[left] = at[left] + 1 & _ADDRESSES - 1
+    return out
+
+
 class Codec:
     """Encoder and decoder for a SentencePiece model file of the merge type with byte fallback."""
 
@@ -59,29 +83,29 @@ class Codec:
         self._rank = {model.id_to_piece(i): r for r, i in enumerate(order)}
         self._piece_at = np.array(order, np.int64)
         self._first_char = model.get_piece_size()  # symbols from here on are characters that are no piece
-        pairs = sorted(
+        pairs = [
             (self._symbol(p[:k]) * _PAIR + self._symbol(p[k:]), self._rank[p])
             for p in self._id for k in range(1, len(p)) if all(x in self._id or len(x) == 1 for x in (p[:k], p[k:]))
-        )
-        self._pair, self._pair_rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        ]
+        self._pairs = _table(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
         self._char = np.arange(1 << 16) + self._first_char
         for piece, i in self._id.items():
             if len(piece) == 1 and ord(piece) < 1 << 16 and piece != SPACE:
                 self._char[ord(piece)] = i
         self._char[ord(" ")] = self._id[SPACE]
-        self._byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self._data = {i: p.replace(SPACE, " ").encode() for p, i in self._id.items()} | {i: bytes([b]) for b, i in enumerate(self._byte)}
+        self._byte = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self._data = {i: p.replace(SPACE, " ").encode() for p, i in self._id.items()} | {i: bytes([b]) for b, i in enumerate(self._byte.tolist())}
         # The bytes of every id, to be gathered for many ids at a time; ids that write nothing have none.
         self._bytes = pa.array([self._data.get(i) for i in range(model.get_piece_size())], pa.binary())
         self._below = min(int(rate * (1 << 64)), _MASK)
         self._seed, self._draws = seed, draws if rate else 1
-        self._known: dict[tuple[int, str], bytes] = {}
+        self._forget()
 
     def _symbols(self, segment: str, draw: int) -> list[str]:
         """Pieces of one segment, by an agenda in a heap."""
         symbols: list = [_LITERAL if c == SPACE else SPACE if c == " " else c for c in segment]
         rank, below, n = self._rank, self._below, len(symbols)
-        base = self._base(segment, draw)
+        base = xxhash.xxh64_intdigest(segment, self._draw_seed(draw))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -118,118 +142,177 @@ class Codec:
         return self._id[piece] if piece in self._id else self._first_char + ord(piece[0])
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the piece that each pair forms; most pairs are settled at their first address."""
         key = left * _PAIR + right
-        at = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
-        return np.where(self._pair[at] == key, self._pair_rank[at], _NEVER)
+        at = _address(key)
+        met = self._pairs[at]
+        same = met >> _RANK_BITS == key
+        out = np.where(same, met & (1 << _RANK_BITS) - 1, _NEVER)
+        more = np.flatnonzero(~same & (met >= 0))
+        while len(more):
+            at[more] = at[more] + 1 & _ADDRESSES - 1
+            met = self._pairs[at[more]]
+            same = met >> _RANK_BITS == key[more]
+            out[more[same]] = met[same] & (1 << _RANK_BITS) - 1
+            more = more[~same & (met >= 0)]
+        return out
 
-    def _base(self, segment: str, draw: int) -> int:
-        return xxhash.xxh64_intdigest(segment.encode(), (self._seed * 0x9E3779B97F4A7C15 + draw) & _MASK)
+    def _draw_seed(self, draw: int) -> int:
+        return (self._seed * 0x9E3779B97F4A7C15 + draw) & _MASK
 
-    def _together(self, segments: list[str], draws: list[int]) -> list[bytes]:
-        """Ids of short segments of similar length: each has its agenda in a row of a matrix, and every round takes one pair from each."""
+    def _together(self, segments: list[str], draws: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of short segments of similar length, and how many each has. Each segment has its agenda in a row of a matrix, and every round takes
+        one pair from each. Symbols keep their place, neighbours are linked; a symbol that went into the one on its left is -1."""
         n = np.array([len(s) for s in segments])
         m, width = len(segments), int(n.max())
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").astype(np.int64)
-        at = np.arange(width)
-        symbols = np.full((m, width), -1, np.int64)
-        symbols[at < n[:, None]] = np.where(codes < 1 << 16, self._char[codes & 0xFFFF], codes + self._first_char)
+        mapped = self._char[np.minimum(codes, 0xFFFF)]
         astral = codes >= 1 << 16
         if astral.any():
-            own = {c: self._id.get(chr(c)) for c in set(codes[astral].tolist())}
-            fixed = np.array([self._first_char + c if own[c] is None else own[c] for c in codes[astral].tolist()])
-            flat = symbols[at < n[:, None]]
-            flat[astral] = fixed
-            symbols[at < n[:, None]] = flat
-        place = np.broadcast_to(at, (m, width)).copy()
-        agenda = np.full((m, width), _NEVER)
-        agenda[:, :-1] = np.where(at[1:] < n[:, None], self._ranks(symbols[:, :-1], symbols[:, 1:]), _NEVER)
-        base = np.array([self._base(s, d) for s, d in zip(segments, draws, strict=True)], np.uint64)
-        done, count, row = symbols.copy(), n.copy(), np.arange(m)
-        while len(row):
+            own = {c: self._id.get(chr(c), self._first_char + c) for c in set(codes[astral].tolist())}
+            mapped[astral] = [own[c] for c in codes[astral].tolist()]
+        inside = np.arange(width) < n[:, None]
+        grid = np.full((m, width), -1, np.int64)
+        grid[inside] = mapped
+        agenda = np.full((m, width), _NEVER, np.int32)
+        pair = inside[:, 1:]
+        agenda[:, :-1][pair] = self._ranks(grid[:, :-1][pair], grid[:, 1:][pair])
+        symbols = grid.ravel()
+        after, before = np.arange(1, m * width + 1), np.arange(-1, m * width - 1)
+        row = np.arange(m)
+        after[row * width + n - 1] = -1
+        before[row * width] = -1
+        seeds = [self._draw_seed(d) for d in range(max(draws) + 1)]
+        base = np.fromiter(map(xxhash.xxh64_intdigest, segments, [seeds[d] for d in draws]), np.uint64, m)
+        while True:
             best = agenda.argmin(axis=1)
             every = np.arange(len(row))
             rank = agenda[every, best]
-            live = rank < _NEVER
-            if not live.all():
-                done[row[~live]], count[row[~live]] = symbols[~live], n[~live]
-                symbols, place, agenda, base, n, row, best, rank = (x[live] for x in (symbols, place, agenda, base, n, row, best, rank))
-                every = np.arange(len(row))
-                if not len(row):
-                    break
-            go = every
+            live = np.flatnonzero(rank < _NEVER)
+            if not len(live):
+                break
+            if len(live) < STILL_LIVE * len(row):
+                agenda, row, best, rank = agenda[live], row[live], best[live], rank[live]
+                live = np.arange(len(live))
+            elif len(live) < len(row):
+                best, rank = best[live], rank[live]
+            asked, own = agenda.ravel(), row[live]
+            i, shift = own * width + best, (live - own) * width
             if self._below:
-                h = base ^ (place[every, best].astype(np.uint64) * _PLACE_KEY + rank.astype(np.uint64) * _RANK_KEY)
+                h = base[own] ^ (best.astype(np.uint64) * _PLACE_KEY + rank.astype(np.uint64) * _RANK_KEY)
                 h = (h ^ (h >> np.uint64(32))) * _MIX
                 skipped = (h ^ (h >> np.uint64(29))) * _SPREAD < np.uint64(self._below)
-                agenda[every[skipped], best[skipped]] = _NEVER
-                go = every[~skipped]
-            i = best[go]
-            later = np.minimum(at + (at > i[:, None]), width - 1)
-            for grid, last in ((symbols, -1), (place, 0)):
-                grid[go] = np.take_along_axis(grid[go], later, 1)
-                grid[go, width - 1] = last
-            symbols[go, i] = self._piece_at[rank[go]]
-            n[go] -= 1
-            agenda[go] = np.take_along_axis(agenda[go], later, 1)
-            agenda[go, width - 1] = _NEVER
-            for j in (i - 1, i):
-                some = (j >= 0) & (j + 1 < n[go])
-                r, c = go[some], j[some]
-                agenda[r, c] = self._ranks(symbols[r, c], symbols[r, c + 1])
-            ended = i + 1 >= n[go]
-            agenda[go[ended], i[ended]] = _NEVER
-        flat = done[at < count[:, None]]
-        ends = np.cumsum(count).tolist()
-        data = flat.astype("<i4").tobytes()
-        out = [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        odd = np.flatnonzero(((done >= self._first_char) & (at < count[:, None])).any(axis=1))
-        for k in odd.tolist():
-            out[k] = self._packed(done[k, : count[k]].tolist())
-        return out
-
-    def _packed(self, symbols: list[int]) -> bytes:
-        ids: list[int] = []
-        for s in symbols:
-            ids += [s] if s < self._first_char else [self._byte[b] for b in chr(s - self._first_char).encode()]
-        return np.array(ids, "<i4").tobytes()
-
-    def _learn(self, wanted: list[tuple[int, str]]) -> dict[tuple[int, str], bytes]:
-        found = {}
-        short = []
-        for draw, segment in wanted:
-            if len(segment) > LONGEST_TOGETHER:
-                found[draw, segment] = self._packed([self._symbol(x) for x in self._symbols(segment, draw)])
-            else:
-                short.append((draw, segment))
-        short.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(short), TOGETHER):
-            part = short[i : i + TOGETHER]
-            found.update(zip(part, self._together([s for _, s in part], [d for d, _ in part]), strict=True))
-        return found
-
-    def _draws_of(self, text: str, n: int) -> list[int]:
+                asked[(i + shift)[skipped]] = _NEVER
+                go = ~skipped
+                i, shift, rank = i[go], shift[go], rank[go]
+            merged = self._piece_at[rank]
+            j = after[i]
+            k, left = after[j], before[i]
+            symbols[i], symbols[j] = merged, -1
+            asked[j + shift] = _NEVER
+            after[i] = k
+            right_of, left_of = k >= 0, left >= 0
+            k, left = k[right_of], left[left_of]
+            before[k] = i[right_of]
+            asked[i + shift] = _NEVER
+            changed = np.concatenate([i[right_of], left]) + np.concatenate([shift[right_of], shift[left_of]])
+            asked[changed] = self._ranks(
+                np.concatenate([merged[right_of], symbols[left]]), np.concatenate([symbols[k], merged[left_of]])
+            )
+        kept = grid >= 0
+        return self._written(grid[kept], kept.sum(axis=1))
+
+    def _written(self, symbols: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, ``count`` to a segment, with characters that are no piece as bytes, and how many ids each segment has."""
+        bare = symbols >= self._first_char
+        if not bare.any():
+            return symbols.astype(np.int32), count
+        data = [chr(c).encode() for c in (symbols[bare] - self._first_char).tolist()]
+        size = np.ones(len(symbols), np.int64)
+        size[bare] = [len(d) for d in data]
+        ids = np.repeat(symbols, size).astype(np.int32)
+        ids[np.repeat(bare, size)] = self._byte[np.frombuffer(b"".join(data), np.uint8)]
+        ends = np.concatenate([[0], size.cumsum()])[count.cumsum()]
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, wanted: list[tuple[int, str]]) -> tuple[bytes, list[int], list[int]]:
+        """Ids of (draw, segment), and where in them those of each wanted one begin and how many they are."""
+        size = np.array([len(s) for _, s in wanted], np.int64)
+        order = np.argsort(size, kind="stable")
+        short = int(np.searchsorted(size[order], LONGEST_TOGETHER, "right"))
+        listed = [wanted[i] for i in order.tolist()]
+        ids, count = [], []
+        for i in range(0, short, TOGETHER):
+            part = listed[i : min(i + TOGETHER, short)]
+            found = self._together([s for _, s in part], [d for d, _ in part])
+            ids.append(found[0])
+            count.append(found[1])
+        for draw, segment in listed[short:]:
+            symbols = np.array([self._symbol(x) for x in self._symbols(segment, draw)], np.int64)
+            found = self._written(symbols, np.array([len(symbols)]))
+            ids.append(found[0])
+            count.append(found[1])
+        lengths, starts = np.empty(len(wanted), np.int64), np.empty(len(wanted), np.int64)
+        if count:
+            lengths[order] = (every := np.concatenate(count))
+            starts[order] = every.cumsum() - every
+        return b"".join(x.tobytes() for x in ids), starts.tolist(), lengths.tolist()
+
+    def _forget(self) -> None:
+        self._known, self._segments = {}, []
+        self._ids = np.empty(0, np.int32)
+        # Of draw d of segment s: place s * draws + d; below 0 if not learnt.
+        self._start, self._count = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _draws_of(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
+        """Draw of each occurrence of a segment, by its number in its text."""
         if self._draws == 1:
-            return [0] * n
-        h = np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(text.encode(), self._seed & _MASK))
+            return np.zeros(int(counts.sum()), np.int64)
+        seed = self._seed & _MASK
+        own = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in texts), np.uint64, len(texts))
+        number = np.arange(int(counts.sum())) - np.repeat(counts.cumsum() - counts, counts)
+        h = number.astype(np.uint64) + np.repeat(own, counts)
         h = (h ^ (h >> np.uint64(30))) * _MIX
         h = (h ^ (h >> np.uint64(27))) * _SPREAD
-        return ((h >> np.uint64(33)) % np.uint64(self._draws)).tolist()
+        return ((h >> np.uint64(33)) % np.uint64(self._draws)).astype(np.int64)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, and the bounds between texts; a text without characters has none."""
+        segments: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                own = _SEGMENT.findall(f" {text}")
+                counts[i] = len(own)
+                segments += own
+        distinct = dict.fromkeys(segments)
+        new = [s for s in distinct if s not in self._known]
+        if len(self._known) + len(new) > CACHED_SEGMENTS or len(self._ids) > CACHED_IDS:
+            self._forget()
+            new = list(distinct)
+        self._known.update(zip(new, range(len(self._segments), len(self._segments) + len(new)), strict=True))
+        self._segments += new
+        unknown = len(new) * self._draws
+        self._start = np.concatenate([self._start, np.full(unknown, -1)])
+        self._count = np.concatenate([self._count, np.zeros(unknown, np.int32)])
+        place = np.fromiter(map(self._known.__getitem__, segments), np.int64, len(segments))
+        place = place * self._draws + self._draws_of(texts, counts)
+        wanted = np.unique(place[self._start[place] < 0])
+        if len(wanted):
+            names = self._segments
+            ids, starts, lengths = self._learn([(w % self._draws, names[w // self._draws]) for w in wanted.tolist()])
+            self._start[wanted] = np.array(starts) + len(self._ids)
+            self._count[wanted] = lengths
+            self._ids = np.concatenate([self._ids, np.frombuffer(ids, np.int32)])
+        size = self._count[place].astype(np.int64)
+        ends = np.concatenate([[0], size.cumsum()])
+        ids = self._ids[np.arange(ends[-1]) + np.repeat(self._start[place] - ends[:-1], size)]
+        return ids, ends[np.concatenate([[0], counts.cumsum()])]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; a text without characters has none."""
-        keys = []
-        for text in texts:
-            segments = _SEGMENT.findall(f" {text}") if text else []
-            keys.append(list(zip(self._draws_of(text, len(segments)), segments, strict=True)))
-        known = self._known
-        wanted = list({k for row in keys for k in row if k not in known})
-        found = self._learn(wanted)
-        if len(known) + len(found) > CACHED_SEGMENTS:
-            known = self._known = {}
-            found |= self._learn(list({k for row in keys for k in row if k not in found}))
-        known.update(found)
-        out = [np.frombuffer(b"".join([known[k] for k in row]), "<i4") for row in keys]
-        return out
+        ids, bounds = self.encode_all(texts)
+        return np.split(ids, bounds[1:-1]) if texts else []
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -261,11 +344,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, rate, seed, draws)
         for batch in batches:
-            found = codec.encode_batch([v or "" for v in batch.column(1).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
+            values, offsets = codec.encode_all([v or "" for v in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], ["doc_id", "ids"]
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["doc_id", "ids"]
             )
 
     return docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(run, "doc_id long, ids array<int>")
@@ -283,13 +364,11 @@ def round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, rate, seed, draws)
         for batch in batches:
-            found = codec.encode_batch([v or "" for v in batch.column(1).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
+            values, offsets = codec.encode_all([v or "" for v in batch.column(1).to_pylist()])
             backs = codec.decoded_batch(values, offsets)
             lengths = [len(back.decode()) for back in backs]
             sums = [hashlib.sha256(back).hexdigest() for back in backs]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), lists, pa.array(lengths, pa.int64()), pa.array(sums, pa.string())],
                 ["doc_id", "ids", "decoded_chars", "decoded_sha256"],

@@ -92,3 +92,33 @@ def test_texts_of_a_batch_are_decoded_together():
     backs = codec.decoded_batch(np.concatenate(found), bounds)
     assert [b.decode() for b in backs] == texts == [codec.decode(x.tolist()) for x in found]
     assert [b.decode() for b in codec.decoded_batch(np.empty(0, np.int32), np.array([0, 0]))] == [""]
+
+
+def test_pairs_that_share_an_address_are_all_found():
+    codec = M.Codec(PATH)
+    held = codec._pairs[codec._pairs >= 0]
+    key, rank = held >> M._RANK_BITS, held & (1 << M._RANK_BITS) - 1
+    assert (M._address(key) != np.flatnonzero(codec._pairs >= 0)).any()  # some had to move on
+    assert (codec._ranks(key // M._PAIR, key % M._PAIR) == rank).all()
+    pieces = {i: p for p, i in codec._id.items()}
+    for left, right, r in zip((key // M._PAIR)[:2000].tolist(), (key % M._PAIR)[:2000].tolist(), rank.tolist()):
+        names = [pieces[x] if x in pieces else chr(x - codec._first_char) for x in (left, right)]
+        assert codec._rank["".join(names)] == r
+    assert (codec._ranks(key % M._PAIR, np.full(len(key), M._PAIR - 1)) == M._NEVER).all()
+
+
+@pytest.mark.parametrize("limits", [(M.CACHED_SEGMENTS, M.CACHED_IDS), (30, M.CACHED_IDS), (M.CACHED_SEGMENTS, 50)])
+def test_a_batch_gives_one_array_whatever_is_forgotten(limits, monkeypatch):
+    texts = [*ODD, "some words and some other words, some again", *ODD, "other words"]
+    alone = [M.Codec(PATH, 0.3, 7).encode(t).tolist() for t in texts]
+    monkeypatch.setattr(M, "CACHED_SEGMENTS", limits[0])
+    monkeypatch.setattr(M, "CACHED_IDS", limits[1])
+    codec = M.Codec(PATH, 0.3, 7)
+    for size in (1, 3, len(texts)):
+        got = []
+        for i in range(0, len(texts), size):
+            ids, bounds = codec.encode_all(texts[i : i + size])
+            assert ids.dtype == np.int32 and bounds[0] == 0 and bounds[-1] == len(ids)
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == alone
+    assert [x.tolist() for x in codec.encode_all([])] == [[], [0]] and codec.encode_batch([]) == []
