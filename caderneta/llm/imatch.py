@@ -35,6 +35,8 @@ EXACT_DIGITS, HASH_DIGITS = 16, 8
 MOST_FILLED = 0.75
 # Terms that a task counts before it hands them on.
 COUNTED_TERMS = 200_000
+# Repeated texts whose hashes and numbers of copies are sent to the executors, some hundred bytes each.
+MOST_SENT = 1_000_000
 
 _TERM = re.compile(r"\w+")
 _STEP, _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -45,12 +47,18 @@ def terms(text: str) -> set[str]:
     return set(_TERM.findall(text.lower()))
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text): each text once, null as the empty one. Of all texts only hashes are shuffled; texts whose hash occurs again are compared whole."""
-    keyed = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    again = materialise(keyed.groupBy("h").count().filter("count > 1").select("h"), "imatch-repeated")
-    once = keyed.join(again, "h", "left_anti")
-    return once.select("text").unionByName(keyed.join(again, "h", "left_semi").select("h", "text").distinct().select("text"))
+def with_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text, copies) for every row, null as the empty text: how many rows hold an equal text.
+
+    Texts are told apart by 128 bits of their SHA-256, and only these are shuffled. Those that occur again are sent to the executors up to a
+    bounded number; above it Spark decides on the join.
+    """
+    key = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+    keyed = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).withColumn("key", key)
+    again = materialise(keyed.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"), "imatch-repeated")
+    if again.count() <= MOST_SENT:
+        again = F.broadcast(again)
+    return keyed.join(again, "key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def lexicon(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> list[str]:
@@ -64,22 +72,28 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHAR
         def hand_on() -> pa.RecordBatch:
             # The empty term counts texts, a blank one the distinct terms of all of them; neither is a word.
             names, n = [*found, "", " "], [*found.values(), rows, distinct]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], ["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.float64())], ["term", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                own = terms(value.as_py() or "")
-                found.update(own)
-                rows += 1
-                distinct += len(own)
+            for value, copies in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = terms(value.as_py())
+                # The copies of a text have a share each, which sum to one text.
+                if copies == 1:
+                    found.update(own)
+                else:
+                    for term in own:
+                        found[term] += 1 / copies
+                rows += 1 / copies
+                distinct += len(own) / copies
             if len(found) > COUNTED_TERMS:
                 yield hand_on()
                 found.clear()
                 rows = distinct = 0
         yield hand_on()
 
-    counted = distinct_texts(docs, text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
+    shares = with_copies(docs, text).mapInArrow(count, "term string, n double").groupBy("term").agg(F.sum("n").alias("n"))
+    # Every count is whole; sums of shares miss it by far less than a half.
+    counted = shares.select("term", F.round("n").cast("long").alias("n")).persist()
     try:
         totals = {r["term"]: r["n"] for r in counted.filter("term in ('', ' ')").collect()}
         rows, distinct = totals.get("", 0), totals.get(" ", 0)

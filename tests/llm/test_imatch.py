@@ -94,3 +94,27 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, "curta"), (3, text + "fim")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in imatch.compare(df).collect()}
     assert got[1]["n_chars"] == len(text) and got[1]["edited_sha256"] == hashlib.sha256((text[: len(text) - len(text) // 4] + "curta").encode()).hexdigest()
+
+
+def test_copies_are_counted_by_hash_and_no_text_is_shuffled_for_it(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(20)) for _ in range(40)] + ["", "é é", "É é"]
+    rows = [x for i, x in enumerate(texts) for _ in range(1 + i % 7)] + [None] * 3
+    df = spark.createDataFrame([(i % 4, x) for i, x in enumerate(rows)], "doc_id long, text string").repartition(5)
+    copies = Counter(x or "" for x in rows)
+    got = imatch.with_copies(df)
+    assert Counter((x["text"], x["copies"]) for x in got.collect()) == Counter({(x, n): n for x, n in copies.items()})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    held = Counter(t for x in copies for t in imatch.terms(x))
+    share = 2.5 / len(copies)
+    assert imatch.lexicon(df, least_share=share, most_share=0.5) == sorted(
+        t for t, n in held.items() if share * len(copies) <= n <= 0.5 * len(copies)
+    )
+
+
+def test_copies_beyond_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "MOST_SENT", 1)
+    df = spark.createDataFrame([(i, f"a{i % 3} b") for i in range(9)] + [(9, "c"), (None, None)], "doc_id long, text string")
+    got = Counter((x["text"], x["copies"]) for x in imatch.with_copies(df).collect())
+    assert got == {("a0 b", 3): 3, ("a1 b", 3): 3, ("a2 b", 3): 3, ("c", 1): 1, ("", 1): 1}
