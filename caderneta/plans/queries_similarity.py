@@ -46,7 +46,7 @@ def _index(spark, sf_dir):
     f"WITH {INDEX_SQL} SELECT term, df, CAST(total_tf AS BIGINT) AS total_tf, round(idf, 6) AS idf FROM idf",
 )
 def tfidf_terms(spark, sf_dir):
-    vocab = S.fit_vocabulary(table(spark, sf_dir, "documents"), "text", "doc_id")
+    vocab = S.fit_vocabulary(table(spark, sf_dir, "documents"), "text")
     return vocab.select("term", "df", "total_tf", F.round("idf", 6).alias("idf"))
 
 
