@@ -37,16 +37,17 @@ def corrections(spark, sf_dir):
     ),
 )
 def correction_files(spark, sf_dir):
-    """Written as CSV files, gated, collected, ledgered; a second look finds no new file and no new row."""
+    """Written as compressed CSV files, gated, collected, ledgered; a second look finds no new file and no new row."""
     folder, ledger = scratch_path(spark, "corrections"), scratch_path(spark, "ledger")
     rows = feedback.to_rows(corrections(spark, sf_dir))
-    rows.write.option("header", True).option("escape", '"').csv(folder)
-    found, files = feedback.collect_new(spark, folder, ledger, glob="*.csv")
+    # A compressed file is read by one task, so files are of limited length.
+    rows.write.option("header", True).option("escape", '"').option("compression", "gzip").option("maxRecordsPerFile", 500_000).csv(folder)
+    found, files = feedback.collect_new(spark, folder, ledger, glob="*.csv.gz")
     found = materialise(found, "collected")
     feedback.append_ledger(files, ledger)
-    again = feedback.collect_new(spark, folder, ledger, glob="*.csv")[0].count()
-    pending = feedback.status(spark, folder, ledger, "*.csv").first()["pending"]
-    headed = feedback.file_info(spark, folder, "*.csv").agg(F.bool_and("has_header")).first()[0]
+    again = feedback.collect_new(spark, folder, ledger, glob="*.csv.gz")[0].count()
+    pending = feedback.status(spark, folder, ledger, "*.csv.gz").first()["pending"]
+    headed = feedback.file_info(spark, folder, "*.csv.gz").agg(F.bool_and("has_header")).first()[0]
     total = F.round(F.sum(F.col("`valor total`").cast("double")), 2)
     return found.groupBy(F.col("`natureza do gasto`").alias("category")).agg(
         F.count("*").alias("n"), total.alias("total"), F.count_distinct("`aonde gastou`").alias("names"),

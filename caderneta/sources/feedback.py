@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caderneta import schemas
 from caderneta.functions.numbers import money
-from caderneta.operators import dedup, quality
+from caderneta.operators import quality
+from caderneta.operators.ordered import null_safe_join
 from caderneta.session import materialise
 from caderneta.sources import records
 
@@ -48,15 +50,26 @@ def rows_of(found: DataFrame, good: DataFrame) -> DataFrame:
     return body.select("file_name", F.col("record_no").alias("row_no"), parsed.alias("r")).select("file_name", "row_no", "r.*")
 
 
-def unique_rows(rows: DataFrame) -> DataFrame:
-    """Per id the last row of the first file (by name) that has it."""
-    return dedup.first_file_wins(rows, "transactionId", "file_name", ["row_no"])
+def unique_rows(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Per id the last row of the first file (by name) that has it. ``files(file_name)`` may name the files, if that is known.
+
+    Only ids and places, as one number each, are shuffled; most ids come once, and the rows themselves meet the places of the others where they are read.
+    """
+    names = (rows if files is None else files).select("file_name").distinct()
+    numbered = names.select("file_name", F.row_number().over(W.orderBy("file_name")).cast("bigint").alias("__file"))  # a row for each file
+    placed = rows.join(F.broadcast(numbered), "file_name")
+    place = F.shiftleft("__file", 40) - F.col("row_no")
+    places = placed.groupBy("transactionId").agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
+    repeated = materialise(places.filter("__n > 1").select("transactionId", "__first"), "repeated")
+    wins = F.col("__first").isNull() | (F.col("__first") == place)
+    return null_safe_join(placed, repeated, ["transactionId"], "left").filter(wins).select(*rows.columns)
 
 
 def collect(spark: SparkSession, folder: str) -> DataFrame:
     """All corrections of a folder."""
     found = file_records(spark, folder)
-    return unique_rows(rows_of(found, gate(found).filter("status = 'ok'")))
+    files = materialise(gate(found).filter("status = 'ok'"), "gated")
+    return unique_rows(rows_of(found, files), files)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +105,8 @@ def collect_new(
     fresh = new_files(records.file_list(spark, folder, glob), ledger if done is None else ledger.unionByName(done.select("file_name")))
     found = records.read_records(spark, folder, glob, names=[r["file_name"] for r in fresh.select("file_name").distinct().collect()])
     files = materialise(gate(found), "gated")
-    return unique_rows(rows_of(found, files.filter("status = 'ok'"))), files
+    good = files.filter("status = 'ok'")
+    return unique_rows(rows_of(found, good), good), files
 
 
 def status(spark: SparkSession, folder: str, ledger_path: str, glob: str = GLOB) -> DataFrame:

@@ -275,3 +275,26 @@ def test_lines_are_not_shuffled_and_consumed_files_not_opened(spark, folder):
     feedback.append_ledger(files, ledger)
     again, none = feedback.collect_new(spark, str(folder), ledger)
     assert none.count() == 0 and not [p for p in again.inputFiles() if p.endswith(".csv")]
+
+
+def test_rows_are_not_shuffled_to_find_repeated_ids(spark, monkeypatch):
+    from caderneta.operators import dedup
+
+    written = {}
+
+    def spy(df, name):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    materialise = feedback.materialise
+    monkeypatch.setattr(feedback, "materialise", spy)
+    rng = random.Random(2)
+    ids = [f"t{rng.randrange(400)}" if i % 9 else None for i in range(300)]
+    rows = spark.createDataFrame([(f"f{rng.randrange(5)}", i, x, f"text {i}") for i, x in enumerate(ids)], "file_name string, row_no long, transactionId string, text string")
+    rows = rows.repartition(6)
+    out = feedback.unique_rows(rows)
+    assert {r["transactionId"] for r in written["repeated"].collect()} == {x for x in ids if ids.count(x) > 1}
+    want = dedup.first_file_wins(rows, "transactionId", "file_name", ["row_no"])
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.columns == rows.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(transactionId" not in plan
