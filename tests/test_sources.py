@@ -298,3 +298,30 @@ def test_rows_are_not_shuffled_to_find_repeated_ids(spark, monkeypatch):
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.columns == rows.columns
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(transactionId" not in plan
+
+
+def test_shuffle_files_of_a_write_go_with_it(spark):
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from caderneta import session
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    [key] = session.CLEANED_UP
+    setting, before = spark.conf.get(key), shuffled()
+    df = spark.range(5000).withColumn("k", F.col("id") % 1009).groupBy("k").agg(F.sum("id").alias("s"))
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(lambda i: session.materialise(df.withColumn("i", F.lit(i)), "part"), range(6)))
+    assert [p.count() for p in parts] == [1009] * 6 and spark.conf.get(key) == setting
+    for _ in range(50):
+        ids = {n.split("_")[1] for n in shuffled() - before}
+        if len(ids) <= 6:  # those of the counts above, which are no writes
+            break
+        time.sleep(0.2)
+    assert len(ids) <= 6, ids
